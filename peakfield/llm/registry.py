@@ -7,6 +7,15 @@ from importlib import import_module
 #: name -> module of the operator's query.
 MODULES = {
     "op1_simhash": "simhash",
+    "op3_token_counts": "lengths",
+    "op6_arrow_ids": "arrowfile",
+    "op10_pattern_packing": "packing",
+    "op5_curriculum": "curriculum",
+    "op7_polynomial_dedup": "exact",
+    "op4_label_propagation": "sharding",
+    "op2_hidden_markov": "hmm",
+    "op8_word_backoff": "langid",
+    "op9_spotsigs": "spotsigs",
 }
 
 
