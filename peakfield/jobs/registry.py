@@ -1,11 +1,284 @@
-"""The queries over point clouds, by name, and SQL for them."""
+"""The queries over point clouds, by name, and SQL for them.
+
+The driver's tables are no mass spectra; ``functions.points`` views events (and lineitem) as points.
+Runs, boxes and sizes are those of these tables.
+"""
 
 from __future__ import annotations
 
+import base64
+import zlib
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from peakfield.functions.points import AXES, POINT, VALUE, from_events, from_lineitem, project_axes, round_outward
+from peakfield.functions.scratch import scratch_path, written
+from peakfield.jobs.import_run import import_run, numbered
+from peakfield.operators import bounds, boxes, lookups, ordering, pyramid, sampling, tiling, viewports
+from peakfield.operators.boxes import Box
+from peakfield.sources import mzml, records, store, text
+from peakfield.streaming import ingest
+
+BOX = Box(5.0, 60.0, 3600.0, 2_000_000.0)
+CAPACITY, HEIGHT = 512, 2
+N, SEED = 777, 7
+
+
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return from_events(spark, sf_dir)
+
+
+def shown(df: DataFrame) -> DataFrame:
+    """The columns that results have: rt in double precision."""
+    return df.select("run_id", "point_id", "meta1", "mz", F.col("rt").cast("double").alias("rt"), "intensity")
+
+
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem as points with ids: the rank over all columns."""
+    order = ["run_id", "rt", "mz", "meta1", "intensity", "l_orderkey", "l_partkey", "l_suppkey"]
+    return ordering.assign_point_ids(from_lineitem(spark, sf_dir), order).select(*POINT.names)
+
+
+def built(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """The pyramid over events, with its fan-out."""
+    df = points(spark, sf_dir)
+    _, fan_out = tiling.tree_config(tiling.largest_run(df), CAPACITY, HEIGHT)
+    tiled = tiling.tile(df, fan_out, CAPACITY, HEIGHT)
+    return pyramid.levels(tiled, fan_out, CAPACITY, HEIGHT, "IntensityCutoff"), fan_out
+
+
+def tiled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    df = points(spark, sf_dir)
+    _, fan_out = tiling.tree_config(tiling.largest_run(df), CAPACITY, HEIGHT)
+    return tiling.tile(df, fan_out, CAPACITY, HEIGHT), fan_out
+
+
+def tiles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int]:
+    """(points, tiles table, fan-out)"""
+    df, fan_out = tiled(spark, sf_dir)
+    return df, bounds.tile_bounds_rollup(bounds.tile_bounds(df), fan_out), fan_out
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A viewport around each supplier's balance and key."""
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    mid = F.col("s_acctbal").cast("double") / 100
+    start = (F.col("s_suppkey") * 7919 % 50_000).cast("float")
+    return s.select(F.col("s_suppkey").alias("viewport_id"), F.lit("events").alias("run_id"), F.abs(mid).alias("mz_min"), (F.abs(mid) + 10).alias("mz_max"), start.alias("rt_min"), (start + 1_000_000).cast("float").alias("rt_max"), (F.col("s_suppkey") % 40).cast("int").alias("num_points"))
+
+
+def tile_table(t: DataFrame) -> DataFrame:
+    return t.select("run_id", "depth", "tile_id", "parent_id", "is_leaf", "n_points", "mz_min", "mz_max", F.col("rt_min").cast("double").alias("rt_min"), F.col("rt_max").cast("double").alias("rt_max"), "int_min", "int_max")
+
+
+def spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as spectra, one for each user: arrays in the order of event_id."""
+    peaks = F.sort_array(F.collect_list(F.struct("point_id", "mz", "intensity")))
+    return points(spark, sf_dir).groupBy("run_id", "meta1").agg(F.min("rt").alias("rt"), peaks.alias("peaks")).select(
+        "run_id", F.col("meta1").cast("long").alias("spectrum_index"), (F.col("meta1") % 3).cast("short").alias("ms_level"), "rt",
+        F.transform("peaks", lambda p: p["mz"]).alias("mz"), F.transform("peaks", lambda p: p["intensity"]).alias("intensity"),
+    )
+
+
+def as_mzml(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each spectrum as an mzML element: even ones as raw 64-bit, odd ones as compressed 32-bit arrays."""
+    for frame in frames:
+        out = []
+        for row in frame.itertuples():
+            wide = row.spectrum_index % 2 == 0
+            arrays = ""
+            for accession, values in ((mzml.MZ_ARRAY, row.mz), (mzml.INTENSITY_ARRAY, row.intensity)):
+                raw = np.asarray(values, "<f8" if wide else "<f4").tobytes()
+                data = base64.b64encode(raw if wide else zlib.compress(raw)).decode()
+                terms = [accession, mzml.FLOAT_64 if wide else mzml.FLOAT_32, mzml.RAW if wide else mzml.ZLIB]
+                arrays += "<binaryDataArray>" + "".join(f'<cvParam accession="{t}" value=""/>' for t in terms) + f"<binary>{data}</binary></binaryDataArray>"
+            out.append(f'<spectrum index="{row.spectrum_index}"><cvParam accession="{mzml.MS_LEVEL}" value="{row.ms_level}"/><scanList count="1"><scan><cvParam accession="{mzml.SCAN_START}" value="{row.rt}" unitName="second"/></scan></scanList><binaryDataArrayList count="2">{arrays}</binaryDataArrayList></spectrum>')
+        yield pd.DataFrame({"value": out})
+
+
+def mzml_files(spark: SparkSession, sf_dir: str) -> str:
+    """The events as mzML files in the shared folder; returns where."""
+    path = scratch_path(spark, "mzml")
+    spectra(spark, sf_dir).mapInPandas(as_mzml, "value string").write.text(path)
+    return path
+
+
+def csv_files(spark: SparkSession, sf_dir: str) -> str:
+    path = scratch_path(spark, "csv")
+    text.export_csv(points(spark, sf_dir), path, Box())
+    return path
+
+
+def exported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "export")
+    n = text.export_csv(points(spark, sf_dir), path, BOX)
+    back = text.read_points_csv(spark, path)
+    return back.groupBy("meta1").agg(F.count("*").alias("n_rows"), F.max("mz").alias("mz_max"), F.lit(n).cast("long").alias("n_exported"))
+
+
+def saved(spark: SparkSession, sf_dir: str) -> str:
+    path = scratch_path(spark, "store")
+    df, table, _ = tiles(spark, sf_dir)
+    store.write_store(df.withColumn("lod", F.col("leaf_depth")), table, path)
+    return path
+
 
-def queries() -> dict:
-    return {}
+def copied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source, target = saved(spark, sf_dir), scratch_path(spark, "store")
+    store.copy_store(spark, source, target)
+    return tile_table(store.open_store(spark, target)[1])
+
+
+def streamed(spark: SparkSession, sf_dir: str, capacity: int | None = None) -> str:
+    """events, written as one file for each slice of ids, imported file by file."""
+    source, out = scratch_path(spark, "incoming"), scratch_path(spark, "streamed")
+    points(spark, sf_dir).repartitionByRange(4, "point_id").write.parquet(source)
+    ingest.ingest_stream(spark, source, POINT, out, scratch_path(spark, "offsets"), capacity=capacity).awaitTermination()
+    return out
+
+
+def imported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scratch_path(spark, "imported")
+    import_run(spark, mzml_files(spark, sf_dir), out, CAPACITY, HEIGHT, "IntensityCutoff")
+    df, _ = store.open_store(spark, out)
+    return df.groupBy("lod").agg(F.count("*").alias("n_points"), F.sum("intensity").alias("int_sum"))
+
+
+def ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list of ids with repeats, some of them unknown: order keys."""
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select((F.col("o_orderkey") % 20_000).alias("point_id"))
+
+
+def rounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = bounds.dataset_summary(points(spark, sf_dir))
+    out = s.select("run_id")
+    pairs = {a: round_outward(F.col(f"{a}_min"), F.col(f"{a}_max")) for a in ("mz", "rt")}
+    return s.select(*out.columns, *(x.alias(f"{a}_{e}") for a, p in pairs.items() for e, x in zip(("min", "max"), p, strict=True)))
+
+
+def weakest(pdf: pd.DataFrame, n: int) -> pd.DataFrame:
+    """A strategy of a user's own: the n least intense."""
+    return pdf.sort_values(["intensity", "point_id"]).head(n)
+
+
+def by_pick(pick: Callable) -> Callable:
+    return lambda s, d: shown(pick(points(s, d)))
+
+
+def one_tree(s: SparkSession, d: str) -> DataFrame:
+    df, fan_out = built(s, d)
+    return df.select("run_id", "point_id", "tile_id", "leaf_depth", "lod")
+
+
+def window(s: SparkSession, d: str, n: int = 300) -> DataFrame:
+    return shown(pyramid.query_viewport(built(s, d)[0], BOX, n, "IntensityCutoff"))
+
+
+def windows(s: SparkSession, d: str) -> DataFrame:
+    df, _ = built(s, d)
+    got = viewports.query_viewports(df, bounds.tile_bounds(df), asked(s, d))
+    return got.select("viewport_id", "point_id", "lod")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {
+        "query_viewport": window,
+        "query_viewports": windows,
+        "build_pyramid": one_tree,
+        "read_points_csv": lambda s, d: text.read_points_csv(s, csv_files(s, d)).select("meta1", "mz", F.col("rt").cast("double").alias("rt"), "intensity"),
+        "read_mzml_spectra": lambda s, d: mzml.read_mzml_spectra(s, mzml_files(s, d)).select("spectrum_index", F.col("ms_level").cast("int").alias("ms_level"), F.col("rt").cast("double").alias("rt"), "rt_unit", F.size("arrays").cast("long").alias("n_arrays")),
+        "decode_spectra": lambda s, d: mzml.decode_spectra(mzml.read_mzml_spectra(s, mzml_files(s, d))).select("spectrum_index", F.col("position").cast("long").alias("position"), F.col("mz").cast("float").cast("double").alias("mz"), "intensity"),
+        "read_point_records": lambda s, d: records.unpack_records(records.pack_records(points(s, d))).select("point_id", "meta1", "mz", F.col("rt").cast("double").alias("rt"), "intensity"),
+        "write_store": lambda s, d: shown(store.open_store(s, saved(s, d))[0]),
+        "copy_store": copied,
+        "export_csv": exported,
+        "to_json_rows": lambda s, d: text.to_json_rows(points(s, d).select("point_id", "meta1", F.col("mz").cast("long").alias("mz"), F.col("rt").cast("long").alias("rt"), F.col("intensity").cast("long").alias("intensity")), True, 500),
+        "ingest_stream": lambda s, d: summary_table(ingest.merged_summary(s, streamed(s, d))),
+        "build_incremental": lambda s, d: ingest.root_summary(s, streamed(s, d, CAPACITY), 50).select("run_id", "point_id"),
+        "load": lambda s, d: store.load(s, csv_files(s, d), "csv").groupBy("meta1").agg(F.count("*").alias("n_points"), F.sum("intensity").alias("int_sum")),
+        "import_run": imported,
+        "numbered_import": lambda s, d: numbered(s, mzml_files(s, d), 50.0).groupBy("run_id").agg(F.count("*").alias("n")).agg(F.sum("n").alias("n_points")),
+        "filter_min_intensity": lambda s, d: shown(boxes.filter_min_intensity(points(s, d), 50.0)),
+        "filter_ms_level": lambda s, d: boxes.filter_ms_level(spectra(s, d)).select("spectrum_index", F.col("ms_level").cast("int").alias("ms_level"), F.size("mz").cast("long").alias("n_peaks")),
+        "in_box": lambda s, d: shown(boxes.in_box(points(s, d), BOX)),
+        "validate_box": lambda s, d: boxes.validated(asked(s, d).withColumn("mz_max", F.col("mz_max") - F.col("num_points"))).select("viewport_id", "reason"),
+        "tiles_overlapping": lambda s, d: tile_table(boxes.tiles_overlapping(tiles(s, d)[1], BOX)),
+        "open_box": lambda s, d: shown(boxes.in_box(points(s, d), boxes.open_box("", 20.0, " ", None))),
+        "project_axes": lambda s, d: project_axes(points(s, d), False).withColumn("rt", F.col("rt").cast("double")),
+        "points_by_ids": lambda s, d: shown(lookups.points_by_ids(points(s, d), ids(s, d))),
+        "unknown_ids": lambda s, d: lookups.unknown_ids(points(s, d), ids(s, d)),
+        "tile_members": lambda s, d: members(s, d),
+        "tile_children": lambda s, d: children(s, d),
+        "subtree": lambda s, d: below(s, d),
+        "viewport_tiles": lambda s, d: viewports.viewport_tiles(bounds.tile_bounds(tiled(s, d)[0]), asked(s, d)).select("viewport_id", F.col("leaf_depth").alias("depth"), "tile_id"),
+        "viewport_points": lambda s, d: around(s, d),
+        "dataset_summary": lambda s, d: summary_table(bounds.dataset_summary(points(s, d))),
+        "count_points": lambda s, d: bounds.count_points(boxes.filter_ms_level(spectra(s, d)), 50.0),
+        "tile_bounds": lambda s, d: bounds.tile_bounds(tiled(s, d)[0]).withColumns({c: F.col(c).cast("double") for c in ("rt_min", "rt_max")}),
+        "tile_bounds_rollup": lambda s, d: tile_table(tiles(s, d)[1]),
+        "axis_sums": lambda s, d: bounds.axis_sums(points(s, d).withColumn("mz", F.round(F.col("mz") * 100))),
+        "points_per_level": lambda s, d: bounds.points_per_level(boxes.in_box(built(s, d)[0], BOX)),
+        "tile_point_ids": lambda s, d: bounds.tile_point_ids(tiled(s, d)[0]).select("leaf_depth", "tile_id", F.concat_ws(",", "point_ids").alias("point_ids")),
+        "tree_shape": lambda s, d: bounds.tree_shape(tiles(s, d)[1]),
+        "distinct_points": lambda s, d: shown(bounds.distinct_points(points(s, d).withColumn("rt", F.lit(0).cast("float")).withColumn("mz", F.floor("mz").cast("double")))),
+        "union_points": lambda s, d: shown(boxes.in_box(points(s, d), Box(mz_max=5.0)).unionByName(boxes.filter_min_intensity(points(s, d), 90.0))),
+        "assign_point_ids": lambda s, d: shown(items(s, d)),
+        "chunk_split": lambda s, d: ordering.chunk_split(points(s, d), ["run_id"], ["mz", "point_id"], 7).select("point_id", "chunk"),
+        "fixed_chunks": lambda s, d: ordering.fixed_chunks(points(s, d), ["rt", "point_id"], 300).groupBy("chunk").agg(F.count("*").alias("n"), F.min("point_id").alias("first_id"), F.max("mz").alias("mz_max")),
+        "tile": lambda s, d: tiled(s, d)[0].select("point_id", "leaf_depth", "tile_id"),
+        "tree_config": lambda s, d: config(s, d),
+        "sort_points": lambda s, d: shown(ordering.sort_points(points(s, d), "mz")),
+        "limit_points": lambda s, d: shown(ordering.limit_points(points(s, d), 100, ["rt", "point_id"])),
+        "top_intensity": by_pick(lambda p: sampling.top_intensity(p, N)),
+        "top_intensity_by_group": by_pick(lambda p: sampling.top_intensity(p, 5, ["run_id", "meta1"])),
+        "stride_uniform": by_pick(lambda p: sampling.stride_uniform(p, N)),
+        "stride_weighted": by_pick(lambda p: sampling.stride_weighted(p, N)),
+        "stride_weighted_by_group": by_pick(lambda p: sampling.stride_weighted(p, 20, ["run_id", "meta1"], large=False)),
+        "stride_weighted_items": lambda s, d: sampling.stride_weighted(items(s, d), 5000).groupBy("run_id").agg(F.count("*").alias("n"), F.sum("point_id").alias("id_sum"), F.sum("intensity").alias("int_sum")),
+        "sample_uniform": by_pick(lambda p: sampling.sample_uniform(p, N, SEED)),
+        "sample_weighted": lambda s, d: sampling.sample_weighted(points(s, d), N, SEED).select("pass", "point_id"),
+        "sample_reservoir": by_pick(lambda p: sampling.sample_reservoir(p, N, SEED)),
+        "summarize": by_pick(lambda p: sampling.summarize(p, N, "IntensityCutoff")),
+        "summarize_custom": by_pick(lambda p: sampling.summarize(p, 3, weakest, ["run_id", "meta1"])),
+        "round_bounds_outward": rounded,
+    }
+
+
+def summary_table(s: DataFrame) -> DataFrame:
+    return s.withColumns({c: F.col(c).cast("double") for c in ("rt_min", "rt_max")})
+
+
+def members(s: SparkSession, d: str) -> DataFrame:
+    df, table, _ = tiles(s, d)
+    return shown(lookups.tile_members(boxes.tiles_overlapping(table.where("is_leaf"), BOX), df))
+
+
+def children(s: SparkSession, d: str) -> DataFrame:
+    table = tiles(s, d)[1]
+    return tile_table(lookups.tile_children(table, table.where("depth = 1 AND mz_max > 30")))
+
+
+def below(s: SparkSession, d: str) -> DataFrame:
+    _, table, fan_out = tiles(s, d)
+    return tile_table(lookups.subtree(table, fan_out, 1, 1))
+
+
+def around(s: SparkSession, d: str) -> DataFrame:
+    df, _ = tiled(s, d)
+    return viewports.viewport_points(df, bounds.tile_bounds(df), asked(s, d)).select("viewport_id", "point_id")
+
+
+def config(s: SparkSession, d: str) -> DataFrame:
+    n = bounds.dataset_summary(points(s, d)).select("run_id", "point_count")
+    leaves, fan_out = tiling.tree_config(tiling.largest_run(points(s, d)), CAPACITY, HEIGHT)
+    return n.select("run_id", F.lit(leaves).cast("long").alias("leaves"), F.lit(fan_out).cast("long").alias("fan_out"))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from peakfield.jobs.oracles import sql
+
+    return sql()
