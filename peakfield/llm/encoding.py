@@ -14,13 +14,17 @@ import numpy as np
 import regex
 
 #: Pieces that a worker remembers; further ones are encoded each time they come.
-REMEMBERED = 600_000
+REMEMBERED = 250_000
 
 #: The pre-token patterns of the two public vocabularies.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+#: Marks that may end a word; each is a pre-token of its own there.
+ENDS = frozenset(".,;:!?%#&*|")
+
+
 def byte_letters() -> list[str]:
     """The letter that stands for each byte: itself where it can be seen, else the next one from 256 on."""
     seen = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -42,43 +46,89 @@ class Encoder:
 
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.model = self.whole.model
+        self.tokenize = self.whole.model.tokenize
         self.folds = self.whole.normalizer is not None
         self.pattern = regex.compile(WORD_PATTERN if self.folds else BYTE_PATTERN)
         self.known: dict[str, bytes] = {"": b""} if self.folds else {}
+        self.packed = [i.to_bytes(4, "little") for i in range(self.whole.get_vocab_size())]
 
     def _run(self, pre_token: str) -> bytes:
         letters = pre_token.encode().decode("latin-1").translate(LETTERS)
-        return np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
-
-    def _new(self, piece: str) -> bytes:
-        """The ids of a piece between spaces; with a byte-level vocabulary the space before is part of it."""
-        if self.folds:
-            piece = self.whole.normalizer.normalize_str(piece)
-            return self._run(piece) if piece.isalpha() else b"".join(map(self._run, self.pattern.findall(piece)))
-        return self._run(f" {piece}") if piece.isalpha() else b"".join(map(self._run, self.pattern.findall(f" {piece}")))
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.tokenize(letters)])
+
+    def _runs(self, text: str) -> bytes:
+        return b"".join(map(self._run, self.pattern.findall(text)))
+
+    def _piece(self, piece: str) -> bytes | None:
+        """The ids of a piece between spaces, the space before included where the vocabulary has it; None if no piece of its own."""
+        found = self.known.get(piece)
+        if found is not None:
+            return found
+        lead = "" if self.folds else " "
+        if piece.isalpha():
+            found = self._run(lead + piece)
+        elif not self.folds and (not piece or piece[0].isspace() or piece[-1].isspace()):
+            return None
+        elif piece[-1] in ENDS and piece[:-1].isalpha():
+            again = piece[:-1] in self.known
+            found = self._piece(piece[:-1]) + self._mark(piece[-1])
+            if not again:  # a rare word is remembered once, whatever ends it
+                return found
+        elif "\n" in piece:
+            first, *lines = piece.split("\n")
+            parts = [self._piece(first), *(self._line(x) for x in lines)]
+            return None if None in parts else b"".join(parts)
+        else:
+            found = self._runs(lead + piece)
+        if len(self.known) < REMEMBERED:
+            self.known[piece] = found
+        return found
+
+    def _mark(self, mark: str) -> bytes:
+        key = f"\n{mark}"
+        if key not in self.known:
+            self.known[key] = self._run(mark)
+        return self.known[key]
+
+    def _line(self, piece: str) -> bytes | None:
+        """A line break and the piece after it, which has no space before."""
+        if not piece or piece[0].isspace() or piece[-1].isspace():
+            return None
+        if piece[-1] in ENDS and piece[:-1].isalpha():
+            return self._line(piece[:-1]) + self._mark(piece[-1])
+        key = f"\n\n{piece}"
+        found = self.known.get(key)
+        if found is None:
+            found = self._run("\n") + self._runs(piece)
+            if len(self.known) < REMEMBERED:
+                self.known[key] = found
+        return found
 
     def _plain(self, text: str) -> bytes:
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return b"".join(map(self.packed.__getitem__, self.whole.encode(text, add_special_tokens=False).ids))
 
     def ids(self, text: str) -> bytes:
         if self.folds:
+            try:
+                text.encode("latin-1")
+                text = text.lower()  # for these characters all that the normaliser does
+            except UnicodeEncodeError:
+                text = self.whole.normalizer.normalize_str(text)
             pieces, head = text.replace("\n", " ").split(" "), b""
         else:
             first, *pieces = text.split(" ")
             if not first or first[-1].isspace():
                 return self._plain(text)
-            head = b"".join(map(self._run, self.pattern.findall(first)))
+            head = self._runs(first)
         known = self.known
         found = [known.get(p) for p in pieces]
         if None in found:
             for i, x in enumerate(found):
                 if x is None:
-                    if not self.folds and (not pieces[i] or pieces[i][0].isspace() or pieces[i][-1].isspace()):
+                    found[i] = x = self._piece(pieces[i])
+                    if x is None:
                         return self._plain(text)
-                    found[i] = x = known.get(pieces[i]) or self._new(pieces[i])
-                    if len(known) < REMEMBERED:
-                        known[pieces[i]] = x
         return head + b"".join(found)
 
 
