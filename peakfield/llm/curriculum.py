@@ -67,16 +67,25 @@ def position(demand, slope):
 def mixed(sizes: DataFrame) -> DataFrame:
     """sizes: a written table of ``measured`` -> its rows with source_size, target, slope, before and copies.
 
-    A pass over a source's order delivers source_size words; a document is used in pass k if the
-    middle of its words there lies below the target. Each source's words so miss its target by half
-    a document at most, and no document is used in more than MOST passes.
+    A pass over a source's order delivers source_size words; a document is used in pass k if its
+    words there end by the target. The one document whose size comes closest to what is then
+    missing is used once more, if that brings the source nearer to its target. No document is used
+    more than MOST times.
     """
     at = running(sizes.withColumn("bucket", F.substring("key", 1, DIGITS)), ["source"], "bucket", ["key", "doc_id", "size"], F.col("size"), "before").drop("bucket")
     per_source = targets(sizes).withColumnRenamed("source", "_source")
-    rows = at.join(F.broadcast(per_source), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    passes = F.ceil((F.col("target") - (F.col("before") + F.col("size") / 2)) / F.col("source_size"))
+    rows = at.join(per_source, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    passes = F.floor((F.col("target") - (F.col("before") + F.col("size"))) / F.col("source_size")) + 1
     copies = F.when((F.col("size") == 0) | (F.col("source_size") == 0), 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(MOST), passes)))
-    return rows.withColumn("copies", copies.cast("int"))
+    rows = written(rows.withColumn("copies", copies.cast("int")), "mix")
+    gaps = rows.groupBy("source").agg((F.max("target") - F.sum(F.col("size") * F.col("copies"))).alias("gap"))
+    gaps = gaps.withColumnRenamed("source", "_source")
+    free = rows.where((F.col("size") > 0) & (F.col("copies") < MOST)).join(gaps, F.col("source").eqNullSafe(F.col("_source")))
+    miss = F.abs(F.col("gap") - F.col("size"))
+    extra = free.where(miss < F.col("gap")).groupBy("source").agg(F.min(F.struct(miss, "key", "doc_id", "size", "before")).alias("x")).select("x.doc_id", "x.size", "x.before").distinct()
+    extra = extra.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("before").alias("_before"))
+    rows = rows.join(extra, (F.col("doc_id") == F.col("_id")) & (F.col("size") == F.col("_size")) & (F.col("before") == F.col("_before")), "left")
+    return rows.withColumn("copies", F.col("copies") + F.when(F.col("_id").isNull(), 0).otherwise(1)).drop("_id", "_size", "_before")
 
 
 def curriculum(rows: DataFrame) -> DataFrame:
@@ -129,13 +138,21 @@ WITH sizes AS (
   SELECT l.source, source_size, slope, CASE WHEN stops THEN CAST(room AS DOUBLE) ELSE CAST(weight * level.rest AS DOUBLE) / level.weights END AS target
   FROM leveled l, level
 ), placed AS (
-  SELECT s.doc_id, s.size, source_size, target, slope,
+  SELECT s.doc_id, s.source, s.size, s.key, source_size, target, slope,
     CAST(coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before
   FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
-), mixed AS (
-  SELECT *, CASE WHEN size = 0 OR source_size = 0 THEN 0 ELSE CAST(greatest(0, least(3, ceil((target - (before + CAST(size AS DOUBLE) / 2)) / source_size))) AS BIGINT) END AS copies,
+), based AS (
+  SELECT *, CASE WHEN size = 0 OR source_size = 0 THEN 0 ELSE CAST(greatest(0, least(3, floor((target - (before + size)) / source_size) + 1)) AS BIGINT) END AS base,
     least(1.0, (before + CAST(size AS DOUBLE) / 2) / target) AS demand
   FROM placed
+), gaps AS (
+  SELECT *, target - CAST(sum(size * base) OVER (PARTITION BY source) AS DOUBLE) AS gap FROM based
+), nearest AS (
+  SELECT source, doc_id, size, before FROM gaps WHERE size > 0 AND base < 3 AND abs(gap - size) < gap
+  QUALIFY row_number() OVER (PARTITION BY source ORDER BY abs(gap - size), key, doc_id, size) = 1
+), mixed AS (
+  SELECT g.*, base + CASE WHEN n.doc_id IS NULL THEN 0 ELSE 1 END AS copies
+  FROM gaps g LEFT JOIN nearest n ON g.doc_id = n.doc_id AND g.size = n.size AND g.before = n.before
 )
 SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken,
   CASE WHEN copies > 0 THEN CASE WHEN slope = 0 THEN demand ELSE (sqrt((1 - slope) * (1 - slope) + 4 * slope * demand) - (1 - slope)) / (2 * slope) END END AS first_position

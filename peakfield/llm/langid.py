@@ -84,7 +84,7 @@ class Model:
         for kind, table in enumerate(tables):
             total = np.array([shape.get((lang, kind), (0, 0))[0] for lang in langs], float)
             kinds = np.array([shape.get((lang, kind), (0, 0))[1] for lang in langs], float)
-            self.logs.append(np.log((np.array(table, float).reshape(-1, len(langs)) + 0.5) / (total + 0.5 * kinds + 1)))
+            self.logs.append(np.log((np.array(table, float).reshape(len(table), len(langs)) + 0.5) / (total + 0.5 * kinds + 1)))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = Counter(words_of(text or ""))
