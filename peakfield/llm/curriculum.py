@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from peakfield.llm.common import WORD, documents, named, running, written
+from peakfield.llm.common import WORD, documents, named, one_row_per_id, running, written
 
 #: Fixed by the contract: weights that sources take in turn, and how often a document may be used.
 WEIGHTS, MOST = (1, 2, 3), 3
@@ -99,8 +99,9 @@ def curriculum(rows: DataFrame) -> DataFrame:
 def mixture(docs: DataFrame) -> DataFrame:
     """``docs`` as the mix takes them: each document's row as often as it is used, none if never, in training order.
 
-    Rows that share a doc_id are each measured; a document's row is matched to its uses by doc_id and size.
+    Of rows that share a doc_id the one with the greatest text stands for the document.
     """
+    docs = one_row_per_id(docs)
     rows = mixed(written(measured(docs), "sizes"))
     uses = curriculum(rows).select(F.col("doc_id").alias("_id"), F.col("position").alias("_position"), F.col("copy").alias("_copy"))
     joined = docs.join(uses, F.col("doc_id") == F.col("_id"))
@@ -110,8 +111,9 @@ def mixture(docs: DataFrame) -> DataFrame:
 def op5_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """taken is summed from the curriculum itself; documents that it does not use have 0."""
     rows = mixed(written(measured(documents(spark, sf_dir)), "sizes"))
-    uses = curriculum(rows).groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size")).agg(F.sum("size").alias("taken"), F.min("position").alias("first_position"))
-    joined = rows.join(uses, (F.col("doc_id") == F.col("_id")) & (F.col("size") == F.col("_size")), "left")
+    place = {"doc_id": "_id", "size": "_size", "before": "_before"}  # rows that repeat doc_id and size still stand at places of their own
+    uses = curriculum(rows).groupBy(*(F.col(c).alias(k) for c, k in place.items())).agg(F.sum("size").alias("taken"), F.min("position").alias("first_position"))
+    joined = rows.join(uses, [F.col(c) == F.col(k) for c, k in place.items()], "left")
     return joined.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "first_position")
 
 

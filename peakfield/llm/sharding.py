@@ -7,9 +7,10 @@ their group is in; between two shards as many may go one way as go the other, pl
 has to spare, and a hash of the group decides who. A last pass moves just enough documents, those
 without neighbours first, to make the sizes even.
 
-Law ``rows``: shards hold the same number of documents, give or take one. A group that is large
-against a shard is split by a hash into pieces of an eighth of a shard at most; the pieces, a bounded
-number of rows, are dealt to the emptiest shards, and each stays whole.
+Law ``rows``: shards hold the same number of documents, give or take one. A group that no shard can
+hold is split by a hash into pieces of about half a shard. Such pieces, and groups of over an eighth
+of a shard, are a bounded number of rows; they are dealt to the emptiest shards, and each stays whole
+as far as the sizes allow.
 
 Nulls: a null text is an empty one, of size 1; rows without a doc_id are left out. Repeated rows are
 linked like any equal texts, and each is placed. An empty table gives an empty result.
@@ -38,24 +39,24 @@ def _counts(nodes: DataFrame, shards: int) -> list[int]:
 
 
 def linked(docs: DataFrame, shards: int) -> DataFrame:
-    """(doc_id, size, text_crc32, team, team_size, large): a team is a group of equal texts or a piece of a large one."""
+    """(doc_id, size, text_crc32, team, large): a team is a group of equal texts, or a piece of one that no shard can hold."""
     text = F.col("text").cast("binary")
     nodes = named(docs).select("doc_id", (F.octet_length("text") + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("digest"))
     nodes = written(nodes, "nodes")
-    most = max(1, nodes.count() // shards // 8)
+    most = max(1, nodes.count() // shards)
     groups = nodes.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
     nodes = nodes.join(groups, "digest", "left")
-    parts = F.ceil(F.coalesce("n", F.lit(1)) / most)
-    piece = F.when(parts > 1, F.pmod(F.xxhash64("doc_id"), parts * 2)).otherwise(0)
+    parts = F.ceil(F.col("n") / most) * 2
+    piece = F.when(F.col("n") > most, F.pmod(F.xxhash64("doc_id"), parts)).otherwise(0)
     team = F.when(F.col("n") > 1, F.xxhash64("digest", piece)).otherwise(F.lit(None))
-    return nodes.select("doc_id", "size", "text_crc32", team.alias("team"), (parts > 1).alias("large"))
+    return nodes.select("doc_id", "size", "text_crc32", team.alias("team"), F.coalesce(F.col("n") * 8 > most, F.lit(False)).alias("large"))
 
 
 def seeded(nodes: DataFrame, shards: int) -> DataFrame:
     """Adds ``shard``: by a hash of the doc_id; pieces of large groups whole, the largest first to the emptiest shard.
 
-    A large group has over an eighth of a shard and is cut into twice as many pieces as it has
-    eighths, so there are at most 32 pieces for each shard, and the driver can deal them.
+    A large team has over an eighth of a shard, or is one of the pieces, about half a shard each, of
+    a group; so there are about eight for each shard at most, and the driver can deal them.
     """
     pieces = nodes.where("large").groupBy("team").agg(F.count("*").alias("n")).collect()
     load = [(0, s) for s in range(shards)]

@@ -60,7 +60,7 @@ def written_out(sigs: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Jaccard similarity of two sets; disjoint ranges need no intersection."""
+    """Jaccard similarity of two sets; equal and empty ones need no intersection."""
     apart = (F.size(a) == 0) | (F.size(b) == 0)
     both = F.size(F.array_intersect(a, b))
     value = both / (F.size(a) + F.size(b) - both)
