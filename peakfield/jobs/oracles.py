@@ -136,6 +136,7 @@ def sql() -> dict[str, str]:
         "export_csv": f"WITH {P} SELECT meta1, count(*) AS n_rows, max(mz) AS mz_max, (SELECT count(*) FROM p WHERE {IN_BOX}) AS n_exported FROM p WHERE {IN_BOX} GROUP BY meta1",
         "to_json_rows": f"WITH {P} SELECT '[' || point_id || ',' || meta1 || ',' || CAST(trunc(mz) AS BIGINT) || ',' || CAST(rt AS BIGINT) || ',' || CAST(intensity AS BIGINT) || ']' AS value FROM p ORDER BY point_id LIMIT 500",
         "ingest_stream": f"WITH {P} SELECT run_id, {RANGES}, count(*) AS point_count FROM p GROUP BY run_id",
+        "build_incremental": f"WITH {P} SELECT run_id, point_id FROM p ORDER BY intensity DESC, point_id DESC LIMIT 50",  # summaries nest, however files are cut
         "load": f"WITH {P} SELECT meta1, count(*) AS n_points, sum(intensity) AS int_sum FROM p GROUP BY meta1",
         "numbered_import": f"WITH {P} SELECT CAST(count(*) AS BIGINT) AS n_points FROM p WHERE meta1 % 3 IN (0, 1) AND intensity >= 50",
         "filter_min_intensity": f"WITH {P} SELECT {OUT} FROM p WHERE intensity >= 50",
