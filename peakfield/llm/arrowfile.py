@@ -54,11 +54,11 @@ def _writer(folder: str, path: str, end: int, length: int, kind: pa.DataType) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, base = pa.fs.FileSystem.from_uri(folder)
         sink = name = None
-        held, doc_ids, least, total, n_docs = [], [], None, 0, 0
+        held, n_held, doc_ids, least, total, n_docs = [], 0, [], None, 0, 0
 
         def flush(keep: int) -> None:
             """Writes all but the last ``keep`` ids."""
-            nonlocal held, doc_ids
+            nonlocal held, n_held, doc_ids
             ids = np.concatenate([x for x, _ in held])
             ends = np.concatenate([x for _, x in held])
             cut = len(ids) - keep
@@ -67,7 +67,7 @@ def _writer(folder: str, path: str, end: int, length: int, kind: pa.DataType) ->
                 part = ends[i : min(cut, i + ROWS * length)]
                 before = int(ends[:i].sum())
                 out.write_batch(record_batch(ids[i : i + len(part)], part, np.array(doc_ids[before : before + int(part.sum())], np.int64), length, kind))
-            held, doc_ids = [(ids[cut:], ends[cut:])], doc_ids[done:]
+            held, n_held, doc_ids = [(ids[cut:], ends[cut:])], keep, doc_ids[done:]
 
         for batch in batches:
             if sink is None and batch.num_rows:
@@ -82,19 +82,16 @@ def _writer(folder: str, path: str, end: int, length: int, kind: pa.DataType) ->
                 mark[-1] = True
                 held.append((x, mark))
                 doc_ids.append(doc_id)
-                total, n_docs = total + len(x), n_docs + 1
-                if sum_held(held) >= ROWS * length:
-                    flush(sum_held(held) % (ROWS * length))
+                total, n_docs, n_held = total + len(x), n_docs + 1, n_held + len(x)
+                if n_held >= ROWS * length:
+                    flush(n_held % (ROWS * length))
         if sink is not None:
-            if sum_held(held):
+            if n_held:
                 flush(0)
             out.close()
             sink.close()
             yield pa.RecordBatch.from_pydict({"file": [name], "least_id": [least], "n_docs": [n_docs], "n_tokens": [total]})
 
-    def sum_held(held: list) -> int:
-        return sum(len(x) for x, _ in held)
-
     return run
 
 
