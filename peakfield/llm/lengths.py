@@ -78,10 +78,10 @@ def truncated_totals(hist: DataFrame, contexts: DataFrame) -> DataFrame:
     table = limits(hist).select("context_limit", "n_docs", "docs_over", "tokens_over", "tokens_total").alias("h")
     at = contexts.select("context_limit").distinct().alias("c").join(table, F.col("h.context_limit") > F.col("c.context_limit"), "left")
     least = at.groupBy("c.context_limit").agg(F.min_by(F.struct(F.col("h.context_limit").alias("length"), "n_docs", "docs_over", "tokens_over", "tokens_total"), F.col("h.context_limit")).alias("n"))
-    total = table.agg(F.max("tokens_total").alias("all"))
+    total = F.lit(hist.agg(F.sum(F.col("n_tokens") * F.col("n_docs"))).first()[0] or 0)
     over, beyond = F.col("n.docs_over") + F.col("n.n_docs"), F.col("n.tokens_over") + F.col("n.n_docs") * F.col("n.length")
-    kept = F.when(F.col("n").isNull() | F.col("n.length").isNull(), F.col("all")).otherwise(F.col("all") - beyond + over * F.col("context_limit"))
-    return least.join(F.broadcast(total)).select("context_limit", kept.alias("tokens_kept"))
+    kept = F.when(F.col("n").isNull() | F.col("n.length").isNull(), total).otherwise(total - beyond + over * F.col("context_limit"))
+    return least.select("context_limit", kept.alias("tokens_kept"))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
