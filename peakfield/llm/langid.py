@@ -73,13 +73,13 @@ class Model:
     """langs, the log priors, and log frequencies by language of words and of grams."""
 
     def __init__(self, langs: list[str], priors: np.ndarray, rows: list, shape: dict[tuple[str, int], tuple[int, int]]):
-        """rows: (kind, gram, {lang: n}); shape: for (lang, kind) how many tokens and different entries there are."""
+        """rows: (kind, gram, counts in the order of langs); shape: for (lang, kind) how many tokens and different entries there are."""
         self.langs, self.priors = langs, priors
         self.at: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
         tables: list[list] = [[] for _ in range(LONGEST + 1)]
         for kind, gram, counts in rows:
             self.at[kind][gram] = len(tables[kind])
-            tables[kind].append([counts.get(lang, 0) for lang in langs])
+            tables[kind].append(counts)
         self.logs = []
         for kind, table in enumerate(tables):
             total = np.array([shape.get((lang, kind), (0, 0))[0] for lang in langs], float)
@@ -116,7 +116,7 @@ class Model:
         return self.langs[best], float(1 / np.exp(total - total[best]).sum())
 
 
-def learn(docs: DataFrame, rows_per_lang: int = 1000, most_words: int = 80_000, most_grams: int = 80_000) -> Model:
+def learn(docs: DataFrame, rows_per_lang: int = 1000, most_words: int = 50_000, most_grams: int = 40_000) -> Model:
     """docs: labelled rows (doc_id, text, lang). What comes to the driver is bounded by the parameters."""
     bounded_batches(docs.sparkSession)
     rows = named(docs, "lang").where("lang IS NOT NULL")
@@ -128,12 +128,16 @@ def learn(docs: DataFrame, rows_per_lang: int = 1000, most_words: int = 80_000,
     sample = rows.join(F.broadcast(per_lang), "lang").where(luck * F.col("_rows") < rows_per_lang)
     counts = sample.select("lang", "text").mapInArrow(_counter, "lang string, kind int, gram string, n long").groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n")).persist()
     shape = {(r["lang"], r["kind"]): (r["t"], r["k"]) for r in counts.groupBy("lang", "kind").agg(F.sum("n").alias("t"), F.count("*").alias("k")).collect()}
-    by_gram = counts.groupBy("kind", "gram").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang"))
-    best = [by_gram.where(c).orderBy(F.desc("n"), "kind", "gram").limit(m).select("kind", "gram", "by_lang").collect() for c, m in (("kind = 0", most_words), ("kind > 0", most_grams))]
-    counts.unpersist()
     order = sorted(langs, key=lambda x: x.encode())
+    by_lang = [F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("n"))), F.lit(0)) for x in order]
+    by_gram = counts.groupBy("kind", "gram").agg(F.sum("n").alias("n"), F.array(*by_lang).alias("by_lang"))
+    rows = []
+    for which, most in (("kind = 0", most_words), ("kind > 0", most_grams)):
+        best = by_gram.where(which).orderBy(F.desc("n"), "kind", "gram").limit(most).toArrow()
+        rows += zip(best["kind"].to_pylist(), best["gram"].to_pylist(), best["by_lang"].to_pylist(), strict=True)
+    counts.unpersist()
     priors = np.log(np.array([langs[x] for x in order], float) / sum(langs.values()))
-    return Model(order, priors, [tuple(r) for part in best for r in part], shape)
+    return Model(order, priors, rows, shape)
 
 
 def _predictor(model) -> Callable:
