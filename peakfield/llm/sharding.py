@@ -75,8 +75,10 @@ def seeded(nodes: DataFrame, shards: int) -> DataFrame:
 def asked(nodes: DataFrame) -> DataFrame:
     """Adds ``wish``: the shard where most of the document's team is; of equal ones the same for the whole team."""
     seats = nodes.where("team IS NOT NULL AND NOT large").groupBy("team", "shard").agg(F.count("*").alias("n"))
-    wishes = seats.groupBy("team").agg(F.max_by("shard", F.struct("n", F.xxhash64("team", "shard"))).alias("wish"))
-    return nodes.join(wishes, "team", "left").withColumn("wish", F.coalesce("wish", "shard"))
+    wishes = seats.groupBy(F.col("team").alias("_key")).agg(F.max_by("shard", F.struct("n", F.xxhash64("team", "shard"))).alias("wish"))
+    # documents without a team get a key of their own, as nulls would all meet in one task
+    keyed = nodes.withColumn("_key", F.coalesce("team", F.xxhash64(F.lit("alone"), "doc_id"))).join(wishes, "_key", "left")
+    return keyed.withColumn("wish", F.coalesce(F.when(F.col("team").isNotNull(), F.col("wish")), "shard")).drop("_key")
 
 
 def propagate(nodes: DataFrame, shards: int) -> DataFrame:
