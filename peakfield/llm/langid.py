@@ -6,8 +6,10 @@ which the model has any gram decides, with the mean log frequency of those grams
 whole text, with the languages' shares as prior, gives the language and its posterior.
 
 The model is fitted on a bounded sample of labelled rows: about ``rows_per_lang`` of each language,
-chosen by a hash of the doc_id, and the ``most_words`` and ``most_grams`` most frequent entries. Every
-row is predicted, from its whole text and nothing else.
+chosen by a hash of the doc_id, and the ``most_words`` most frequent words and ``most_grams`` n-grams.
+N-grams are ranked for each n and language by themselves, as a short gram is always at least as
+frequent as the longer ones around it, and languages differ in how much text they have. Every row is
+predicted, from its whole text and nothing else.
 
 Nulls: a null text, or one without a letter, is ``und`` with score 0; rows with a null lang are not
 learned from; rows without a doc_id are left out. Repeated rows are each predicted. Without a
@@ -22,7 +24,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from peakfield.llm.common import bounded_batches, crc_of_id, documents, named, one_row_per_id
@@ -116,7 +118,15 @@ class Model:
         return self.langs[best], float(1 / np.exp(total - total[best]).sum())
 
 
-def learn(docs: DataFrame, rows_per_lang: int = 1000, most_words: int = 50_000, most_grams: int = 40_000) -> Model:
+def quotas(kinds: dict[int, int], most: int) -> dict[int, int]:
+    """How many n-grams of each n are kept: equal parts of ``most``; what one n has too few grams for goes to the others."""
+    out: dict[int, int] = {}
+    for done, (k, n) in enumerate(sorted(kinds.items(), key=lambda x: x[1])):
+        out[k] = min(n, (most - sum(out.values())) // (len(kinds) - done))
+    return out
+
+
+def learn(docs: DataFrame, rows_per_lang: int = 1000, most_words: int = 80_000, most_grams: int = 80_000) -> Model:
     """docs: labelled rows (doc_id, text, lang). What comes to the driver is bounded by the parameters."""
     bounded_batches(docs.sparkSession)
     rows = named(docs, "lang").where("lang IS NOT NULL")
@@ -130,11 +140,15 @@ def learn(docs: DataFrame, rows_per_lang: int = 1000, most_words: int = 50_000,
     shape = {(r["lang"], r["kind"]): (r["t"], r["k"]) for r in counts.groupBy("lang", "kind").agg(F.sum("n").alias("t"), F.count("*").alias("k")).collect()}
     order = sorted(langs, key=lambda x: x.encode())
     by_lang = [F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("n"))), F.lit(0)) for x in order]
-    by_gram = counts.groupBy("kind", "gram").agg(F.sum("n").alias("n"), F.array(*by_lang).alias("by_lang"))
+    place = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "gram")
+    ranked = counts.where("kind > 0").withColumn("place", F.row_number().over(place)).unionByName(counts.where("kind = 0").withColumn("place", F.lit(0)))
+    by_gram = ranked.groupBy("kind", "gram").agg(F.sum("n").alias("n"), F.min("place").alias("place"), F.array(*by_lang).alias("by_lang")).persist()
+    kinds = dict(by_gram.where("kind > 0").groupBy("kind").agg(F.count("*")).collect())
     rows = []
-    for which, most in (("kind = 0", most_words), ("kind > 0", most_grams)):
-        best = by_gram.where(which).orderBy(F.desc("n"), "kind", "gram").limit(most).toArrow()
-        rows += zip(best["kind"].to_pylist(), best["gram"].to_pylist(), best["by_lang"].to_pylist(), strict=True)
+    for kind, most in {0: most_words, **quotas(kinds, most_grams)}.items():
+        best = by_gram.where(F.col("kind") == kind).orderBy("place", F.desc("n"), "gram").limit(most).select("gram", "by_lang").toArrow()
+        rows += zip([kind] * best.num_rows, best["gram"].to_pylist(), best["by_lang"].to_pylist(), strict=True)
+    by_gram.unpersist()
     counts.unpersist()
     priors = np.log(np.array([langs[x] for x in order], float) / sum(langs.values()))
     return Model(order, priors, rows, shape)

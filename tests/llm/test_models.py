@@ -48,6 +48,19 @@ def test_language_backs_off_to_grams(frame):
     assert sum(model.predict(t)[0] == lang for _, t, lang, _ in rows) >= 57
 
 
+def test_grams_of_every_length_and_language_are_kept(frame):
+    """Short grams, and those of the language with the longer texts, do not push the others out."""
+    rows = [(i, t * (20 if lang == "en" else 1), lang, s) for i, t, lang, s in corpus(300)]
+    model = langid.learn(frame(rows), most_grams=1000)
+    sizes = [len(x) for x in model.at[1:]]
+    assert sum(sizes) == 1000 and min(sizes[2:]) >= 200
+    for k in (4, 5):
+        counts = {lang: Counter(g for _, t, x, _ in rows if x == lang for w in langid.words_of(t) for g in langid.grams(w, k)) for lang in SYLLABLES}
+        for lang, n in counts.items():
+            assert {g for g, c in n.items() if c > sorted(n.values())[-40]} <= set(model.at[k]), (k, lang)
+    assert langid.quotas({1: 10, 2: 500, 3: 90}, 300) == {1: 10, 3: 90, 2: 200}
+
+
 def test_language_of_nothing(frame):
     assert langid.predicted(frame([])).count() == 0
     assert [r.lang_pred for r in langid.predicted(frame([(1, "word", None, "s")])).collect()] == ["und"]
