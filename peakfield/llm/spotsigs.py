@@ -2,7 +2,11 @@
 
 Where a content word follows a common word (an anchor, or the start of the text), a chain is signed:
 the anchor, the content word and the content word after it, hashed. The set of a text's signatures,
-sorted, is its fingerprint; texts are alike by the Jaccard similarity of these sets. For joins,
+sorted, is its fingerprint; texts are alike by the Jaccard similarity of these sets. Texts in other
+languages, code and lists have few anchors or none: where fewer than one content word in ``SPARSE``
+starts a chain, or ``STRETCH`` of them come without an anchor, every content word there starts one, with
+the word before it for an anchor, so that each part of the text is signed. A text of ``SPARSE``
+content words at most has the chains of its anchors alone. For joins,
 fingerprints are partitioned by set length: sets that are similar enough have lengths within a
 fixed ratio, so only equal and neighbouring partitions meet, and there only sets that share one of
 the few rarest-hash signatures that similar sets must share.
@@ -30,6 +34,9 @@ der die und das den von zu mit sich auf dem ist nicht ein eine im es auch als an
 el los y del las por con para su al lo como mas pero sus o este si
 """.split()
 
+#: Content words for each chain, and content words in a row without an anchor, from which anchors alone do not cover a text.
+SPARSE, STRETCH = 8, 32
+
 #: Documents in a bucket of neighbours.
 PER_BUCKET = 1024
 
@@ -47,11 +54,21 @@ def with_signatures(rows: DataFrame, text: str, out: str) -> DataFrame:
     pairs = F.zip_with("_words", F.concat(F.array(F.lit("the")), F.col("_words")), lambda w, b: F.struct(w.alias("word"), b.alias("before")))  # the start of a text is an anchor
     rows = rows.withColumn("_spots", F.filter(pairs, lambda x: x["word"].isNotNull() & ~is_anchor(x["word"])))
     after = F.slice("_spots", F.lit(2), F.greatest(F.size("_spots"), F.lit(1)))
-    chain = lambda a, b: F.when(is_anchor(a["before"]), F.xxhash64(a["before"], a["word"], F.coalesce(b["word"], F.lit(""))).bitwiseAND(0xFFFFFFFF))
-    rows = rows.withColumn("_sigs", F.filter(F.zip_with("_spots", after, chain), lambda x: x.isNotNull()))
+    signed = lambda a, b: F.xxhash64(a["before"], a["word"], F.coalesce(b["word"], F.lit(""))).bitwiseAND(0xFFFFFFFF)
+    chain = lambda a, b: F.when(is_anchor(a["before"]), signed(a, b))
+    rows = rows.withColumn("_chains", F.zip_with("_spots", after, chain))
+    rows = rows.withColumn("_sigs", F.filter("_chains", lambda x: x.isNotNull()))
+    n = F.size("_spots")
+    starts = F.filter(F.transform("_chains", lambda x, i: F.when(x.isNotNull(), i)), lambda i: i.isNotNull())
+    ends = F.concat(F.slice(starts, F.lit(2), F.greatest(F.size(starts), F.lit(1))), F.array(n))
+    wide = F.filter(F.zip_with(starts, ends, lambda a, b: F.when(b - a >= STRETCH, F.struct(a.alias("at"), b.alias("to")))), lambda x: x.isNotNull())
+    rows = rows.withColumn("_wide", F.when(F.size("_sigs") * SPARSE < n, F.array(F.struct(F.lit(0).alias("at"), n.alias("to")))).when(n >= STRETCH, wide))
+    every = F.zip_with("_spots", after, signed)
+    more = F.flatten(F.transform("_wide", lambda x: F.slice(every, x["at"] + 1, x["to"] - x["at"])))
+    rows = rows.withColumn("_sigs", F.when(F.size("_wide") > 0, F.concat("_sigs", more)).otherwise(F.col("_sigs")))
     whole = F.array(F.xxhash64(F.concat_ws(" ", "_words")).bitwiseAND(0xFFFFFFFF))  # signs a text of anchors alone
     rows = rows.withColumn(out, F.array_sort(F.array_distinct(F.when((F.size("_sigs") == 0) & (F.size("_words") > 0), whole).otherwise(F.col("_sigs")))))
-    return rows.drop("_words", "_spots", "_sigs")
+    return rows.drop("_words", "_spots", "_chains", "_sigs", "_wide")
 
 
 def written_out(sigs: Column) -> Column:

@@ -175,6 +175,24 @@ def test_spots_and_neighbours(spark, frame, odd_rows, tmp_path):
         assert len(got[i].fingerprint) == 8 * len(plain_spots(t))
 
 
+def test_texts_without_anchors_are_signed_in_every_part(frame):
+    word = lambda i: f"слово{i}"
+    base = [word(i) for i in range(90)]
+    texts = {
+        0: base, 1: base[:60] + [word(900 + i) for i in range(30)], 2: base[:2] + [word(500 + i) for i in range(88)],  # the last third, and all but the opening
+        5: ["the", "house", "of", "cards"] * 20 + base[:40], 6: ["the", "house", "of", "cards"] * 20 + base[:2] + base[50:88],  # a long part without anchors
+        7: ["the", *base], 8: base[:89] + ["x"],
+    }
+    got = {r.doc_id: set(r.fp) for r in spotsigs.fingerprinted(frame([(i, " ".join(t)) for i, t in texts.items()])).collect()}
+    assert len(got[0]) == 90
+    assert jaccard(got[0], got[1]) == pytest.approx(59 / 121)
+    assert jaccard(got[0], got[2]) < 0.05
+    assert len(got[5]) > 40 and jaccard(got[5], got[6]) < 0.1
+    assert jaccard(got[0], got[7]) > 0.95 and jaccard(got[0], got[8]) > 0.95
+    same = {r.doc_id: r.component_id for r in spotsigs.similar(frame([(i, " ".join(texts[i])) for i in (0, 1, 2, 8)])).collect()}
+    assert same == {0: 0, 1: 1, 2: 2, 8: 0}
+
+
 @pytest.mark.parametrize(("per_bucket", "most"), [(1, 256), (3, 256), (5, 2), (1000, 256)])
 def test_next_documents(frame, per_bucket, most):
     ids = [10**15, -7, *range(0, 40, 3), *range(10**6, 10**6 + 20)]
