@@ -159,23 +159,32 @@ def _predictor(model) -> Callable:
         m = model.value
         for batch in batches:
             found = [m.predict(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+            lettered = pa.array([bool(words_of(t)) for t in batch.column("text").to_pylist()], pa.bool_()) if not m.langs else pa.array([x[0] != UNKNOWN for x in found], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), lettered], ["doc_id", "held_out", "lang_pred", "score", "lettered"])
 
     return run
 
 
-def predicted(docs: DataFrame) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score), learned from the labelled rows that are not held out."""
+def _predictions(docs: DataFrame) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score, lettered); lettered: the text has a letter, whether or not a language was learned."""
     spark = docs.sparkSession
     bounded_batches(spark)
     held_out = F.pmod(crc_of_id(), F.lit(3)) == 1
     model = spark.sparkContext.broadcast(learn(docs.where("doc_id IS NOT NULL").where(~held_out)))
-    return named(docs).select("doc_id", "text", held_out.alias("held_out")).mapInArrow(_predictor(model), "doc_id long, held_out boolean, lang_pred string, score double")
+    return named(docs).select("doc_id", "text", held_out.alias("held_out")).mapInArrow(_predictor(model), "doc_id long, held_out boolean, lang_pred string, score double, lettered boolean")
+
+
+def predicted(docs: DataFrame) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score), learned from the labelled rows that are not held out."""
+    return _predictions(docs).drop("lettered")
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows in no language: those of which no text has a letter."""
-    gone = predicted(docs).where(F.col("lang_pred") == UNKNOWN).select("doc_id")
+    """``docs`` without the rows in no language: those of which no text has a letter.
+
+    Where no language was learned, texts with a letter stay. No score rejects a document.
+    """
+    gone = _predictions(docs).where("NOT lettered").select("doc_id")
     return one_row_per_id(docs).where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
