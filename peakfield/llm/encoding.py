@@ -1,24 +1,32 @@
-"""Token ids of texts, with the tokenizers library, each distinct piece of text encoded once for a worker.
+"""Token ids of texts, as the tokenizers library gives them, each distinct piece of text encoded once for a worker.
 
 A byte-pair encoder splits a text into pre-tokens and encodes each by itself. Words repeat, so a
 worker keeps the ids of the space-delimited pieces that it has met and asks the library's model only
 for new ones. Where a cut at spaces would not be a cut between pre-tokens (two white-space
-characters side by side), the whole text goes through the library's own ``encode``.
+characters side by side), where a text holds the string of an added token, and for vocabularies whose
+steps are none of those known here, the whole text goes through the library's own ``encode``.
+
+Pieces, ends of words and lines are remembered apart, so that what a worker has met before never
+changes a result. An empty text has no ids; texts of any length are read whole; equal texts have equal ids.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import regex
 
-#: Pieces that a worker remembers; further ones are encoded each time they come.
+#: Pieces, and lines, that a worker remembers; further ones are encoded each time they come.
 REMEMBERED = 250_000
 
-#: The pre-token patterns of the two public vocabularies.
+#: Fixed value: the pattern of the library's byte-level pre-tokenizer, which vocabulary files name but do not hold.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The steps of a vocabulary file that pieces are cut for: byte-level with spaces kept, and white space dropped after folding.
+KEEPS_SPACES = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+BYTES_ONLY = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+FOLDS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 
 
 #: Marks that may end a word; each is a pre-token of its own there.
@@ -38,18 +46,35 @@ def byte_letters() -> list[str]:
 LETTERS = dict(enumerate(byte_letters()))
 
 
+def pattern_of(steps: dict) -> tuple[str | None, bool]:
+    """The pre-token pattern of a vocabulary file, and whether it folds case and drops white space; None if its steps are others."""
+    cut, folds = steps["pre_tokenizer"] or {}, steps["normalizer"]
+    same = lambda found, want: {k: found.get(k) for k in want} == want
+    if folds is None and same(cut, KEEPS_SPACES):
+        return BYTE_PATTERN, False
+    parts = cut.get("pretokenizers") or []
+    if (folds or {}).get("normalizers") == FOLDS and len(parts) == 2 and same(parts[0], {"type": "Split", "behavior": "Removed", "invert": True}) and same(parts[1], BYTES_ONLY):
+        return parts[0]["pattern"].get("Regex"), True
+    return None, False
+
+
 class Encoder:
-    """ids(text): the text's token ids as little-endian unsigned 32-bit bytes, no special tokens added."""
+    """ids(text): the text's token ids as little-endian unsigned 32-bit bytes, as ``encode(text, add_special_tokens=False)`` gives them."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
+        steps = json.loads(self.whole.to_str())
+        pattern, self.folds = pattern_of(steps)
         self.tokenize = self.whole.model.tokenize
-        self.folds = self.whole.normalizer is not None
-        self.pattern = regex.compile(WORD_PATTERN if self.folds else BYTE_PATTERN)
+        self.pattern = regex.compile(pattern) if pattern else None
+        self.added = [t["content"] for t in steps["added_tokens"]]
+        if any(t["normalized"] for t in steps["added_tokens"]):
+            self.pattern = None  # such a token may stand for strings other than its own
         self.known: dict[str, bytes] = {"": b""} if self.folds else {}
+        self.marks: dict[str, bytes] = {}
+        self.lines: dict[str, bytes] = {}
         self.packed = [i.to_bytes(4, "little") for i in range(self.whole.get_vocab_size())]
 
     def _run(self, pre_token: str) -> bytes:
@@ -86,10 +111,9 @@ class Encoder:
         return found
 
     def _mark(self, mark: str) -> bytes:
-        key = f"\n{mark}"
-        if key not in self.known:
-            self.known[key] = self._run(mark)
-        return self.known[key]
+        if mark not in self.marks:
+            self.marks[mark] = self._run(mark)
+        return self.marks[mark]
 
     def _line(self, piece: str) -> bytes | None:
         """A line break and the piece after it, which has no space before."""
@@ -97,18 +121,19 @@ class Encoder:
             return None
         if piece[-1] in ENDS and piece[:-1].isalpha():
             return self._line(piece[:-1]) + self._mark(piece[-1])
-        key = f"\n\n{piece}"
-        found = self.known.get(key)
+        found = self.lines.get(piece)
         if found is None:
             found = self._run("\n") + self._runs(piece)
-            if len(self.known) < REMEMBERED:
-                self.known[key] = found
+            if len(self.lines) < REMEMBERED:
+                self.lines[piece] = found
         return found
 
     def _plain(self, text: str) -> bytes:
         return b"".join(map(self.packed.__getitem__, self.whole.encode(text, add_special_tokens=False).ids))
 
     def ids(self, text: str) -> bytes:
+        if self.pattern is None or any(map(text.__contains__, self.added)):
+            return self._plain(text)
         if self.folds:
             try:
                 text.encode("latin-1")

@@ -1,5 +1,6 @@
-"""Token ids, files of them, counts and packing against the tokenizers library itself."""
+"""Token ids, files of them, counts and packing against the untouched tokenizers library."""
 
+import random
 import zlib
 from collections import defaultdict
 from functools import cache
@@ -13,7 +14,7 @@ from tokenizers import Tokenizer
 
 from peakfield.llm import arrowfile, lengths, packing
 from peakfield.llm.common import scratch_path, written
-from peakfield.llm.encoding import encoder
+from peakfield.llm.encoding import KEEPS_SPACES, encoder, pattern_of
 
 BYTES, WORDS = (public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "word_bpe_49k.json"))
 
@@ -21,7 +22,6 @@ BYTES, WORDS = (public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "word_b
 @cache
 def plain(path):
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
     return lambda text: whole.encode(text or "", add_special_tokens=False).ids
 
 
@@ -39,6 +39,27 @@ def test_any_text_encodes_as_the_library_does(text):
         assert np.frombuffer(encoder(path).ids(text), "<u4").tolist() == plain(path)(text)
 
 
+PARTS = ["the", "The", "cat", "Hi", "So", "dog", " ", "  ", "\n", "\n\n", " \n", "\n ", ". ", ".\n", ",", "'s", "'ll", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "é", "e\u0301", "語", "\t", "\r", "\x1c", "\x85", "\xa0", "1", "42", "²", "ß", "İ", "Σας", "!", "#", "\u3000", "ǅ", "µ"]
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_what_a_worker_met_before_changes_nothing(path):
+    """One encoder for all texts, in any order: blanks before line ends, and strings of added tokens, among them."""
+    rnd, shared, want = random.Random(7), encoder(path), plain(path)
+    texts = ["".join(rnd.choices(PARTS, k=rnd.randrange(1, 14))) for _ in range(6000)]
+    texts += ["Hi So\nThe cat", "The end. \n\nThe dog ran", "one. two\n.", "one \n. two", "end of page <|endoftext|> next"]
+    for _ in range(2):
+        rnd.shuffle(texts)
+        for text in texts:
+            assert np.frombuffer(shared.ids(text), "<u4").tolist() == want(text), text
+
+
+def test_other_vocabularies_go_through_the_library():
+    steps = {"normalizer": None, "pre_tokenizer": {"type": "Whitespace"}, "added_tokens": []}
+    assert pattern_of(steps) == (None, False)
+    assert pattern_of({"normalizer": {"type": "NFC"}, "pre_tokenizer": KEEPS_SPACES}) == (None, False)
+
+
 def test_files_round_trip(spark, frame, odd_rows):
     want, encode, at, stream = [], plain(BYTES), 0, []
     for i, text in sorted(odd_rows):
