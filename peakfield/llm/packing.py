@@ -9,7 +9,9 @@ lengths. Spark then ranks the pieces of each length and looks up which repeat of
 which place in it, the piece with that rank takes.
 
 Nulls: a null text is an empty one (just the end id); rows without a doc_id are left out; repeated
-rows are packed each. An empty table gives no pieces.
+rows are packed each. Texts of any length are cut, never shortened. Pieces of equal length take their
+ranks by a hash, then doc_id, piece and content; pieces equal in all of these may take each other's
+place. An empty table gives no pieces. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -71,27 +73,46 @@ def candidate_patterns(counts: np.ndarray, size: int, steps: int = 24) -> np.nda
     return np.array(found, np.int64).reshape(-1, 3)
 
 
-def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 4000) -> np.ndarray:
+def disjoint(patterns: np.ndarray, gain: np.ndarray) -> np.ndarray:
+    """The patterns with a gain that have more of it than any other pattern with one of their lengths; no two share a length."""
+    order = np.flatnonzero(gain > 0)
+    order = order[np.argsort(-gain[order], kind="stable")]
+    some, place = patterns[order], np.arange(len(order))
+    first = np.full(patterns.max(initial=0) + 1, len(order))
+    for column in some.T:
+        np.minimum.at(first, column, place)
+    first[0] = len(order)  # no document
+    return order[((some == 0) | (first[some] == place[:, None])).all(axis=1)]
+
+
+def fit(patterns: np.ndarray, counts: np.ndarray, slack: float = 1e-5) -> np.ndarray:
     """Repeat counts x >= 0 that minimise |A x - counts|^2; column p of A counts the lengths in pattern p.
 
-    Coordinate descent: each round changes the repeat count of the pattern that lowers the
-    squares most, by the exact step, never below zero. Few counts end up above zero, so that
-    rounding loses little. Stops once no step would move half a repeat.
+    Coordinate descent in rounds: each takes the patterns whose exact steps lower the squares most at all of their
+    lengths. As no two share a length their steps do not meet, and the best of all steps is always among them. A step never
+    goes below zero; ties go to the pattern listed first. Few counts end up above zero, so that rounding loses little.
+    There is no limit of rounds: the fit stops once no step would move half a repeat, or a round lowers the squares that are
+    left by no more than ``slack`` of them.
     """
     x, left = np.zeros(len(patterns)), counts.astype(float)
     left[0] = 0
     if not len(patterns):
         return x
-    weight = np.array([sum(v * v for v in pd.Series(p[p > 0]).value_counts()) for p in patterns], float)
-    for _ in range(rounds):
+    used, zero = [patterns[:, k] for k in range(patterns.shape[1])], np.zeros(1)
+    weight = sum(((u > 0) * sum((u == v).astype(float) for v in used) for u in used), zero)
+    squares = float(left @ left)
+    while True:
         step = np.maximum(left[patterns].sum(axis=1) / weight, -x)
-        k = int(np.argmax(step * step * weight))
-        if abs(step[k]) < 0.5:
-            break
-        x[k] += step[k]
-        np.subtract.at(left, patterns[k], step[k])
+        chosen = disjoint(patterns, step * step * weight)
+        if np.abs(step[chosen]).max(initial=0.0) < 0.5:
+            return x
+        x[chosen] += step[chosen]
+        for u in used:
+            np.subtract.at(left, u[chosen], step[chosen])
         left[0] = 0
-    return x
+        before, squares = squares, float(left @ left)
+        if before - squares <= slack * before:
+            return x
 
 
 def plan(counts: np.ndarray, size: int) -> list[tuple[tuple[int, ...], int]]:

@@ -7,6 +7,7 @@ from functools import cache
 
 import numpy as np
 import public_tokenizers
+import pyarrow.compute as pc
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -73,10 +74,13 @@ def test_files_round_trip(spark, frame, odd_rows):
     assert sorted(map(tuple, arrowfile.read_files(manifest, folder).collect())) == want
     first = manifest.orderBy("start").first()
     ids, mask = arrowfile.sequence(folder, first["file"], 0)
-    assert len(ids) == len(mask) == 64 and mask.all()
+    assert len(ids) == len(mask) == 64 and pc.all(mask).as_py()
+    # neither was copied: both are parts of one mapped buffer
+    data = mask.buffers()[1]
+    assert not ids.flags.owndata and data.parent is not None and abs(ids.__array_interface__["data"][0] - data.address) < 1 << 20
     assert ids.tolist() == stream[:64]
     last_ids, last_mask = arrowfile.sequence(folder, first["file"], -(-first["n_tokens"] // 64) - 1)
-    assert last_mask.sum() == (first["n_tokens"] - 1) % 64 + 1
+    assert pc.sum(last_mask).as_py() == (first["n_tokens"] - 1) % 64 + 1
 
 
 def test_histogram_and_suffix_sums(spark, frame, odd_rows, monkeypatch):
@@ -92,9 +96,22 @@ def test_histogram_and_suffix_sums(spark, frame, odd_rows, monkeypatch):
         assert (r.tokens_total, r.tokens_kept, r.tokens_lost, r.docs_within) == (sum(sizes), kept, sum(sizes) - kept, sum(n <= c for n in sizes))
     contexts = spark.createDataFrame([(c,) for c in (0, 1, 7, 100, 10**6)], "context_limit long")
     assert {r.context_limit: r.tokens_kept for r in lengths.truncated_totals(hist, contexts).collect()} == {c: sum(min(n, c) for n in sizes) for c in (0, 1, 7, 100, 10**6)}
+    odd = spark.createDataFrame([(7,), (7,), (None,)], "context_limit long")
+    assert lengths.truncated_totals(hist, odd).count() == 1
     assert lengths.quantile(lengths.limits(hist), 0.5).first()[0] == sorted(sizes)[(len(sizes) + 1) // 2 - 1]
 
 
+def test_token_counts_query(spark, frame, odd_rows, tmp_path):
+    frame(odd_rows).write.parquet(f"{tmp_path}/documents.parquet")
+    sizes = sorted(len(plain(BYTES)(t)) for _, t in odd_rows)
+    got = lengths.op3_token_counts(spark, str(tmp_path)).collect()
+    assert {r.context_limit for r in got if r.kind == "length"} == set(sizes)
+    assert [r.context_limit for r in sorted(got) if r.kind == "context"] == list(lengths.CONTEXTS)
+    for r in got:
+        assert r.n_docs == sizes.count(r.context_limit) and r.tokens_kept == sum(min(n, r.context_limit) for n in sizes)
+    assert {r.share: r.context_limit for r in got if r.kind == "quantile"} == {x: next(n for k, n in enumerate(sizes) if (k + 1) / len(sizes) >= x and sizes[min(k + 1, len(sizes) - 1)] != n or k == len(sizes) - 1) for x in lengths.SHARES}
+
+
 def test_packing(frame, odd_rows):
     encode, size, want = plain(WORDS), 64, []
     for i, text in odd_rows:
@@ -133,6 +150,15 @@ def test_patterns_take_the_bulk():
     packed = packing.plan(counts, 2048)
     assert sum(t for _, t in packed) <= -(-int(counts @ np.arange(2049)) // 2048) * 1.01
     x = packing.fit(packing.candidate_patterns(counts, 2048), counts)
+    many = np.bincount(np.random.default_rng(0).gamma(1.2, 300, 200_000).astype(int).clip(1, 2048), minlength=2049) * 1000
+    patterns = packing.candidate_patterns(many, 2048)
+    fitted = packing.fit(patterns, many)
+    left = many - sum(np.bincount(p, fitted, minlength=2049) for p in patterns.T)
+    left[0] = 0
+    step = np.maximum(left[patterns].sum(axis=1) / (patterns > 0).sum(axis=1), -fitted)
+    assert fitted.min() >= 0 and np.sum(step**2) < 0.01 * (many @ many)  # nothing that a step could still gain
+    chosen = packing.disjoint(patterns, many[patterns].sum(axis=1).astype(float))
+    assert np.bincount(patterns[chosen].ravel(), minlength=2049)[1:].max() <= 2
     assert x.min() >= 0 and x.sum() > 20_000
 
 
