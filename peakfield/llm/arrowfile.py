@@ -4,14 +4,16 @@ A file holds a range of doc_ids in ascending order. Its documents' ids follow on
 gap and are cut into sequences of equal length; a record batch has, for each sequence, a fixed-size
 list of ids, one of mask bits (false: padding after the file's last token), one of bits that mark
 the last token of a document, and the doc_ids that end in it. Buffers are not compressed, so a
-reader maps a file into memory and takes any sequence as a view, without a copy.
+reader maps a file into memory and takes any sequence and its mask as views, without a copy; a mask
+is, as Arrow keeps booleans, a bit for each token.
 
 Ids are unsigned 16-bit where the vocabulary has fewer than 65,536 of them, else 32-bit. Files are
 written under names of their own by each attempt of a task and count only once the manifest, a table
 that Spark commits, names them: a lost executor leaves at most a file that nobody reads.
 
 Nulls: a null text is an empty one and has just the end id; rows without a doc_id are left out;
-rows that repeat a doc_id stand in the order of their texts. An empty table gives no file.
+rows that repeat a doc_id stand in the order of their texts. Texts of any length are written whole,
+over as many sequences as they take. An empty table gives no file. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -95,17 +97,23 @@ def _writer(folder: str, path: str, end: int, length: int, kind: pa.DataType) ->
     return run
 
 
-def write_files(docs: DataFrame, folder: str, path: str, end: int, length: int = 2048, vocabulary_size: int = 50_257, bytes_per_file: int = 24 << 20) -> DataFrame:
+def file_bytes(size: int) -> int:
+    """Text in a file, of ``size`` bytes in all: it grows with the data from 24 to 512 MB, so that files and manifest stay few."""
+    return min(512 << 20, max(24 << 20, size // 4096))
+
+
+def write_files(docs: DataFrame, folder: str, path: str, end: int, length: int = 2048, vocabulary_size: int = 50_257, bytes_per_file: int | None = None) -> DataFrame:
     """Encodes, writes the files and returns the manifest: (file, least_id, n_docs, n_tokens, start).
 
     ``start`` is the number of ids in the files before. Documents are range-partitioned by doc_id so
-    that a file holds about ``bytes_per_file`` of text; the manifest has a row for each file.
+    that a file holds about ``bytes_per_file`` of text (``file_bytes`` if not given). A writer streams, so a file's size is
+    not held in memory; the manifest has a row for each file.
     """
     bounded_batches(docs.sparkSession)
     texts = named(docs)
     size = texts.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     kind = pa.uint16() if vocabulary_size <= 1 << 16 else pa.uint32()
-    dealt = texts.repartitionByRange(max(1, -(-size // bytes_per_file)), "doc_id").sortWithinPartitions("doc_id", "text")
+    dealt = texts.repartitionByRange(max(1, -(-size // (bytes_per_file or file_bytes(size)))), "doc_id").sortWithinPartitions("doc_id", "text")
     manifest = written(dealt.mapInArrow(_writer(folder, path, end, length, kind), "file string, least_id long, n_docs long, n_tokens long"), "manifest")
     before = Window.orderBy("least_id", "file").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
@@ -152,13 +160,13 @@ def read_files(manifest: DataFrame, folder: str) -> DataFrame:
     return dealt.select("file", "start").mapInPandas(_reader(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def sequence(folder: str, file: str, index: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ids and the mask of one sequence of a file: the ids are a view of the mapped file."""
+def sequence(folder: str, file: str, index: int) -> tuple[np.ndarray, pa.BooleanArray]:
+    """The ids and the mask of one sequence of a file: both are views of the mapped file."""
     files, base = pa.fs.FileSystem.from_uri(folder)
     source = pa.memory_map(f"{base}/{file}") if isinstance(files, pa.fs.LocalFileSystem) else files.open_input_file(f"{base}/{file}")
     batch = pa.ipc.open_file(source).get_batch(index // ROWS)
     ids, mask = batch.column("input_ids"), batch.column("mask")
-    return ids[index % ROWS].values.to_numpy(), mask[index % ROWS].values.to_numpy(zero_copy_only=False)
+    return ids[index % ROWS].values.to_numpy(), mask[index % ROWS].values
 
 
 def op6_arrow_ids(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_50k.json", end: int = 2, length: int = 2048) -> DataFrame:
