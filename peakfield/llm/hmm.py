@@ -1,39 +1,47 @@
 """Hidden Markov language model: Baum-Welch trains latent states, the scaled forward recursion scores.
 
-A word is emitted in two steps: the state emits one of a bounded number of word classes (a hash of
-the word), the class emits the word, by its smoothed count over all training tokens. So the model has
-a bounded size, every count covers the whole corpus, and no vocabulary has to fit into a task:
-the most frequent words, up to a bound, are broadcast, and the counts of all others are joined to the
-few tokens that need them. The end of a text is a token with a class of its own.
+A state emits the end of a text, one of the ``OWN`` most frequent words, or one of a bounded number of
+classes (a hash of the word) that share the other words out; a class emits its word by the word's
+smoothed count over all training tokens. So the model has a bounded size, every count covers the
+whole corpus, and no vocabulary has to fit into a task: the most frequent words, up to a bound, are
+broadcast, and the counts of all others are joined to the few tokens that need them.
 
-Expected counts are summed over the partitions of the training documents in each Baum-Welch round;
-the driver sees states x classes numbers. A few rounds on a bounded sample find the states, then
-rounds over all training documents fit them. For training, long texts are read in windows; scoring
-runs over each text whole.
+Each Baum-Welch round runs over all training documents; expected counts are summed over their
+partitions, so that the driver sees emissions x states numbers. Rounds end once one raises the mean log
+likelihood of a token by less than ``LEAST_GAIN``, however many that takes.
+
+Texts of any length are trained on and scored whole, in bounded memory: a text is cut into windows,
+each window's transfer matrix (states x states) is found for all windows side by side, a chain over
+these matrices gives what enters each window from both ends, and then the recursions run inside the
+windows. This equals the recursions over the whole text.
 
 Nulls: a null text is an empty one and has just the end token. Rows without a doc_id are left out;
-of rows that share a doc_id the one with the greatest text counts. An empty table gives an empty
-result; without training rows the model is uniform and the base score 0.
+of rows that share a doc_id the one with the greatest text counts. Words of equal frequency are
+ranked by their hash. Extra columns are not read. An empty table gives an empty result; without
+training rows the model is uniform and the base score 0.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peakfield.llm.common import bounded_batches, crc_of_id, documents, named, one_row_per_id, written
 
-STATES, CLASSES = 8, 4096
-#: Training windows, tokens.
-WINDOW = 256
+#: States; words that a state emits directly; classes by hash for all other words. Emission 0 is the end of a text, then come the classes, then the words.
+STATES, OWN, HASHED = 8, 12_287, 4096
+#: Tokens in a window, and windows side by side.
+WINDOW, WIDE = 256, 1024
 #: Words whose counts are broadcast, at most.
 HEAD = 500_000
+#: Rounds end when one gains less than this for a token, in log10.
+LEAST_GAIN = 0.01
 
 
 def word_hash(word: bytes) -> int:
@@ -41,23 +49,35 @@ def word_hash(word: bytes) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def class_of(h: int) -> int:
-    """1 to CLASSES - 1; the end token has class 0."""
-    return 1 + h % (CLASSES - 1)
+def hashed_class(h: np.ndarray) -> np.ndarray:
+    """The class of words, by their hashes, that are none of the model's own."""
+    return 1 + h % HASHED
+
+
+def words_of(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch of texts: the hashes of its distinct words, for each word which of them it is, and the text it stands in."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(text))
+    flat, n = parts.flatten(), pc.list_value_length(parts).to_numpy(zero_copy_only=False)
+    full = pc.greater(pc.binary_length(flat), 0)
+    at = np.repeat(np.arange(len(n)), n)[full.to_numpy(zero_copy_only=False)]
+    coded = flat.filter(full).dictionary_encode()
+    distinct = coded.dictionary.cast(pa.binary()).to_pylist()
+    return np.fromiter(map(word_hash, distinct), np.int64, len(distinct)), coded.indices.to_numpy(), at
 
 
 def _word_counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words: Counter = Counter()
+    held: list[tuple[np.ndarray, np.ndarray]] = []
 
     def out() -> pa.RecordBatch:
-        batch = pa.RecordBatch.from_arrays([pa.array(map(word_hash, words), pa.int64()), pa.array(words.values(), pa.int64())], ["h", "n"])
-        words.clear()
-        return batch
+        h, back = np.unique(np.concatenate([np.zeros(0, np.int64), *(x for x, _ in held)]), return_inverse=True)
+        n = np.bincount(back, np.concatenate([np.zeros(0), *(n for _, n in held)]), len(h)).astype(np.int64)
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(n, pa.int64())], ["h", "n"])
 
     for batch in batches:
-        for text in batch.column("text").cast(pa.binary()).to_pylist():
-            words.update(text.lower().split())
-        if len(words) > 500_000:
+        h, words, _ = words_of(batch.column("text"))
+        held.append((h, np.bincount(words, minlength=len(h))))
+        if sum(len(x) for x, _ in held) > 1_000_000:
             yield out()
     yield out()
 
@@ -83,99 +103,182 @@ def head(words: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
     return table["h"].to_numpy()[order], table["n"].to_numpy()[order]
 
 
+def own_words(keys: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
+    """For each word of the head its emission if it has one of its own, as the ``most`` most frequent have, or 0."""
+    own = np.zeros(len(keys), np.int64)
+    best = np.lexsort((keys, -counts))[:most]
+    own[best] = 1 + HASHED + np.arange(len(best))
+    return own
+
+
 def _tokeniser(frequent) -> Callable:
     """For each text its classes, the log10(c + 1) of its frequent words, and the other words with their numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = frequent.value
-        logs = np.log10(counts + 1.0)
+        keys, counts, own = frequent.value
+        logs = np.log10(np.append(counts, 0) + 1.0)
         for batch in batches:
-            tokens, n_tokens, known, sums, rare, times = [], [], [], [], [], []
-            for text in batch.column("text").cast(pa.binary()).to_pylist():
-                words = text.lower().split()
-                distinct = Counter(words)
-                h = np.fromiter(map(word_hash, distinct), np.int64, len(distinct))
-                n = np.fromiter(distinct.values(), np.int64, len(distinct))
-                classes = dict(zip(distinct, (1 + h % (CLASSES - 1)).tolist(), strict=True))
-                tokens.append(np.array([*map(classes.__getitem__, words), 0], "<u2").tobytes())
-                at = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
-                has = keys[at] == h if len(keys) else np.zeros(len(h), bool)
-                n_tokens.append(len(words) + 1)
-                known.append(int(n[has].sum()))
-                sums.append(float(n[has] @ logs[at[has]]) if len(keys) else 0.0)
-                rare.append(h[~has].tolist())
-                times.append(n[~has].tolist())
-            long, longs = pa.int64(), pa.list_(pa.int64())
-            added = [pa.array(tokens, pa.binary()), pa.array(n_tokens, long), pa.array(known, long), pa.array(sums, pa.float64()), pa.array(rare, longs), pa.array(times, longs)]
+            h, words, at = words_of(batch.column("text"))
+            rows = batch.num_rows
+            place = np.searchsorted(keys, h)
+            place[(place == len(keys)) | (np.append(keys, 0)[place] != h)] = len(keys)
+            has = place < len(keys)
+            mine = np.append(own, 0)[place]
+            classes = np.where(mine > 0, mine, hashed_class(h))[words]
+            n = np.bincount(at, minlength=rows)
+            ends = np.cumsum(n + 1)
+            flat = np.zeros(len(words) + rows, "<u2")
+            flat[np.arange(len(words)) + at] = classes
+            tokens = pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(np.append(0, 2 * ends).astype(np.int32)), pa.py_buffer(flat)])
+            # the other words: each once for a text, with how often it stands there
+            other = ~has[words]
+            pairs, times = np.unique(at[other] * len(h) + words[other], return_counts=True)
+            offsets = pa.array(np.append(0, np.cumsum(np.bincount(pairs // max(1, len(h)), minlength=rows))), pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int64())) for x in (h[pairs % max(1, len(h))], times)]
+            long = pa.int64()
+            added = [tokens, pa.array(n + 1, long), pa.array(np.bincount(at, has[words], rows).astype(np.int64), long), pa.array(np.bincount(at, logs[place][words], rows), pa.float64()), *lists]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *added], ["doc_id", "held_out", "classes", "n_tokens", "n_known", "logs", "rare", "times"])
 
     return run
 
 
-def time_major(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sequences side by side, the longest first: (tokens, offsets, order); at time t, tokens[offsets[t]:offsets[t+1]]."""
-    size = np.array([len(s) for s in seqs], np.int64)
-    order = np.argsort(-size, kind="stable")
-    offsets = np.concatenate([[0], np.cumsum(len(size) - np.searchsorted(size[order][::-1], np.arange(size.max()), side="right"))]) if len(size) else np.zeros(1, np.int64)
-    tokens = np.empty(int(size.sum()), np.int64)
-    for d, k in enumerate(order):
-        tokens[offsets[: size[k]] + d] = seqs[k]
-    return tokens, offsets, order
-
-
-def forward(tokens: np.ndarray, offsets: np.ndarray, start: np.ndarray, move: np.ndarray, emit: np.ndarray, keep: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Scaled forward recursion: (scaled alphas if ``keep``, scales, emission rows). emit: classes x states."""
-    e = emit[tokens]
-    scale = np.empty(len(tokens))
-    alphas = np.empty_like(e) if keep else e
-    a = None
-    for t in range(len(offsets) - 1):
-        i, j = offsets[t], offsets[t + 1]
-        a = (start if t == 0 else a[: j - i] @ move) * e[i:j]
+class Windows:
+    """Sequences of classes, one after the other in ``flat``, cut into windows of ``size`` tokens at most."""
+
+    def __init__(self, flat: np.ndarray, lengths: np.ndarray, size: int):
+        per_seq = -(-lengths // size)
+        self.flat, self.size = flat, size
+        self.seq = np.repeat(np.arange(len(lengths)), per_seq)
+        self.k = np.arange(len(self.seq)) - np.repeat(np.cumsum(per_seq) - per_seq, per_seq)
+        self.last = self.k == per_seq[self.seq] - 1
+        self.start = np.repeat(np.cumsum(lengths) - lengths, per_seq) + self.k * size
+        self.length = np.where(self.last, lengths[self.seq] - self.k * size, size)
+
+    def side_by_side(self, which: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Of the windows ``which`` some at a time, the longest first: (windows, tokens by time, how many last beyond each time)."""
+        which = which[np.argsort(-self.length[which], kind="stable")]
+        for i in range(0, len(which), WIDE):
+            some = which[i : i + WIDE]
+            n = self.length[some]
+            t = np.arange(n[0])
+            tokens = self.flat[np.minimum(self.start[some] + t[:, None], len(self.flat) - 1)]
+            yield some, tokens, len(n) - np.searchsorted(n[::-1], t, side="right")
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / x.sum(axis=-1, keepdims=True)
+
+
+def entering(w: Windows, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each window: the states before its first token, those at the last token before it, and what follows its last token.
+
+    The first two are distributions, the third is beta up to a factor.
+    """
+    states = len(start)
+    prior, before, after = np.tile(start, (len(w.seq), 1)), np.zeros((len(w.seq), states), start.dtype), np.ones((len(w.seq), states), start.dtype)
+    several = np.flatnonzero((w.k > 0) | ~w.last)
+    if not len(several):
+        return prior, before, after
+    transfer = np.empty((len(w.seq), states, states), start.dtype)
+    for some, tokens, active in w.side_by_side(several):
+        x = np.zeros((len(some), states, states), start.dtype)
+        x[:, np.arange(states), np.arange(states)] = emit[tokens[0]]
+        for t in range(1, len(tokens)):
+            a = active[t]
+            x[:a] = (x[:a].reshape(-1, states) @ move).reshape(-1, states, states) * emit[tokens[t, :a]][:, None]
+            if t % 4 == 0:
+                x[:a] /= x[:a].max(axis=(1, 2), keepdims=True)
+        transfer[some] = x / x.max(axis=(1, 2), keepdims=True)
+    by_k = several[np.argsort(w.k[several], kind="stable")]
+    parts = np.split(by_k, np.flatnonzero(np.diff(w.k[by_k])) + 1)
+    for at in parts[1:]:  # from the first window of each text on
+        before[at] = _unit(np.einsum("ni,nij->nj", prior[at - 1], transfer[at - 1]))
+        prior[at] = before[at] @ move
+    for at in reversed(parts[1:]):
+        after[at - 1] = _unit(np.einsum("nij,nj->ni", transfer[at], after[at])) @ move.T
+    return prior, before, after
+
+
+def forward(tokens: np.ndarray, active: np.ndarray, prior: np.ndarray, move: np.ndarray, emit: np.ndarray, keep: np.ndarray | None = None) -> np.ndarray:
+    """Scaled forward recursion inside windows: the scales by time (1 beyond a window's end), the alphas in ``keep``."""
+    scale = np.ones(tokens.shape, prior.dtype)
+    a = prior
+    for t, k in enumerate(active):
+        a = (a if t == 0 else a[:k] @ move) * emit[tokens[t, :k]]
         s = a.sum(axis=1)
-        a = a / s[:, None]
-        scale[i:j] = s
-        if keep:
-            alphas[i:j] = a
-    return alphas, scale, e
-
-
-def expected(seqs: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected counts of first states, moves and emissions over ``seqs``, and their log likelihood."""
-    tokens, offsets, _ = time_major(seqs)
-    alphas, scale, e = forward(tokens, offsets, start, move, emit, keep=True)
-    gamma = np.empty_like(alphas)
-    moves = np.zeros_like(move)
-    beta = np.empty((0, len(start)))
-    for t in range(len(offsets) - 2, -1, -1):
-        i, j = offsets[t], offsets[t + 1]
-        if len(beta):
-            k = offsets[t + 2] - j
-            ahead = e[j : j + k] * beta / scale[j : j + k, None]
-            moves += alphas[i : i + k].T @ ahead
-            beta = np.concatenate([ahead @ move.T, np.ones((j - i - k, len(start)))])
-        else:
-            beta = np.ones((j - i, len(start)))
-        gamma[i:j] = alphas[i:j] * beta
-    emitted = np.stack([np.bincount(tokens, gamma[:, s], minlength=len(emit)) for s in range(len(start))], axis=1)
-    return gamma[: offsets[1]].sum(axis=0), moves * move, emitted, float(np.log(scale).sum())
+        a /= s[:, None]
+        scale[t, :k] = s
+        if keep is not None:
+            keep[t, :k] = a
+    return scale
+
+
+def expected_in(w: Windows, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected counts of first states, moves and emissions, and the log likelihood (natural)."""
+    states = len(start)
+    prior, before, after = entering(w, start, move, emit)
+    first, moves, emitted, likelihood = np.zeros(states), np.zeros((states, states)), np.zeros((len(emit), states)), 0.0
+    for some, tokens, active in w.side_by_side(np.arange(len(w.seq))):
+        alphas = np.empty((*tokens.shape, states), start.dtype)
+        likelihood += float(np.log(forward(tokens, active, prior[some], move, emit, alphas), dtype=np.float64).sum())
+        beta, k2 = after[some], 0
+        for t in range(len(tokens) - 1, -1, -1):
+            k = active[t]
+            if k2:
+                ahead = emit[tokens[t + 1, :k2]] * beta[:k2]
+                beta[:k2] = ahead @ move.T
+            gamma = alphas[t, :k] * beta[:k]
+            norm = gamma.sum(axis=1, keepdims=True)
+            if k2:
+                moves += (alphas[t, :k2] / norm[:k2]).T @ ahead
+            alphas[t, :k] = gamma / norm
+            beta[:k] /= norm
+            k2 = k
+        later = np.flatnonzero(w.k[some] > 0)
+        ahead = emit[tokens[0, later]] * beta[later]
+        moves += (before[some[later]] / (prior[some[later]] * ahead).sum(axis=1, keepdims=True)).T @ ahead
+        first += alphas[0, w.k[some] == 0].sum(axis=0)
+        inside = np.arange(len(some)) < active[:, None]
+        seen = tokens[inside]
+        for s in range(states):
+            emitted[:, s] += np.bincount(seen, alphas[..., s][inside], len(emit))
+    return first, moves * move, emitted, likelihood
+
+
+def expected(seqs: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    return expected_in(Windows(np.concatenate(seqs).astype(np.int64), np.array(list(map(len, seqs))), window), start, move, emit)
+
+
+def log_scales(w: Windows, start: np.ndarray, move: np.ndarray, emit: np.ndarray, per_class: np.ndarray, n: int) -> np.ndarray:
+    """For each of ``n`` sequences its log10 probability, plus ``per_class`` of its tokens."""
+    prior, _, _ = entering(w, start, move, emit)
+    out = np.zeros(n)
+    for some, tokens, active in w.side_by_side(np.arange(len(w.seq))):
+        inside = np.arange(len(some)) < active[:, None]
+        each = np.log10(forward(tokens, active, prior[some], move, emit)) + np.where(inside, per_class[tokens], 0.0)
+        out += np.bincount(w.seq[some], each.sum(axis=0), n)
+    return out
+
+
+def _windows(classes: pa.Array, size: int = WINDOW) -> Windows:
+    offsets = np.frombuffer(classes.buffers()[1], np.int32)[classes.offset : classes.offset + len(classes) + 1]
+    flat = np.frombuffer(classes.buffers()[2], "<u2", (offsets[-1] - offsets[0]) // 2, offsets[0]) if offsets[-1] > offsets[0] else np.zeros(1, "<u2")
+    return Windows(flat, np.diff(offsets) // 2, size)
 
 
 def _expecter(model) -> Callable:
-    """(state, at, n): sums over a partition. at: a class, or beyond the classes the next state, or beyond those the first."""
+    """(at, n0, n1, ...): sums over a partition, a column for each state. at: a class, beyond the classes the next state, then the first, then the likelihood."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start, move, emit = model.value
-        k = len(start)
-        total = np.zeros((CLASSES + k + 2, k))
+        start, move, emit = (x.astype(np.float32) for x in model.value)
+        states = len(start)
+        total = np.zeros((len(emit) + states + 2, states))
         for batch in batches:
-            seqs = [np.frombuffer(x, "<u2") for x in batch.column("classes").to_pylist()]
-            seqs = [s[i : i + WINDOW] for s in seqs for i in range(0, len(s), WINDOW)]
-            for i in range(0, len(seqs), 2000):
-                first, moves, emitted, likelihood = expected(seqs[i : i + 2000], start, move, emit)
-                total += np.concatenate([emitted, moves.T, first[None], np.full((1, k), likelihood)])
-        at, state = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(state, pa.int32()), pa.array(at, pa.int32()), pa.array(total[at, state])], ["state", "at", "n"])
+            if batch.num_rows:
+                first, moves, emitted, likelihood = expected_in(_windows(batch.column("classes")), start, move, emit)
+                total += np.concatenate([emitted, moves.T, first[None], np.full((1, states), likelihood)])
+        at = np.flatnonzero(total.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(total[at, s]) for s in range(states))], ["at", *(f"n{s}" for s in range(states))])
 
     return run
 
@@ -187,7 +290,8 @@ def maximised(total: np.ndarray, mass: np.ndarray, states: int) -> tuple[np.ndar
     the states' overall shares, the more so the rarer it is; together the states so keep the base
     score's distribution over words, which they refine only where counts tell them to.
     """
-    emitted, moves, first = total[:CLASSES], total[CLASSES : CLASSES + states].T, total[CLASSES + states]
+    classes = len(mass)
+    emitted, moves, first = total[:classes], total[classes : classes + states].T, total[classes + states]
     overall = (emitted.sum(axis=0) + 1) / (emitted.sum() + states)
     shares = (emitted + overall) / (emitted.sum(axis=1, keepdims=True) + 1)
     emit = shares * mass[:, None]
@@ -196,49 +300,63 @@ def maximised(total: np.ndarray, mass: np.ndarray, states: int) -> tuple[np.ndar
 
 def round_of(train: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, float]:
     """Expected counts under ``model`` summed over the partitions of ``train``, and the log likelihood."""
-    spark, k = train.sparkSession, len(model[0])
+    spark, states = train.sparkSession, len(model[0])
     shared = spark.sparkContext.broadcast(model)
-    sums = train.select("classes").mapInArrow(_expecter(shared), "state int, at int, n double").groupBy("state", "at").agg(F.sum("n").alias("n")).toPandas()  # states x (classes + states + 2) rows at most
-    total = np.zeros((CLASSES + k + 2, k))
-    total[sums["at"].to_numpy(), sums["state"].to_numpy()] = sums["n"].to_numpy()
+    kinds = ", ".join(["at int", *(f"n{s} double" for s in range(states))])
+    sums = train.select("classes").mapInArrow(_expecter(shared), kinds).groupBy("at").agg(*(F.sum(f"n{s}").alias(f"n{s}") for s in range(states))).toPandas()  # classes + states + 2 rows at most
+    total = np.zeros((len(model[2]) + states + 2, states))
+    total[sums["at"].to_numpy()] = sums[[f"n{s}" for s in range(states)]].to_numpy()
     shared.unpersist()
     return total, float(total[-1, 0])
 
 
-def trained(train: DataFrame, mass: np.ndarray, n_train: int, states: int = STATES, sample: int = 3000, first_rounds: int = 8, rounds: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Baum-Welch: ``first_rounds`` on about ``sample`` documents from a seeded start, then ``rounds`` on all of ``train``."""
-    rnd = np.random.default_rng(42)
-    emit = mass[:, None] * (rnd.gamma(0.5, size=(CLASSES, states)) + 0.05)
-    move = np.full((states, states), 0.1 / states) + 0.9 * np.eye(states)
-    model = (np.full(states, 1 / states), move, emit / emit.sum(axis=0))
-    luck = F.pmod(F.xxhash64(F.lit("start"), "doc_id"), F.lit(1 << 30)) / (1 << 30)
-    few = train if n_train <= sample else train.where(luck < sample / n_train)
-    few = few.select("classes").repartition(max(1, min(n_train, sample) // 300))
-    few = written(few, "start")
-    for k in range(first_rounds + rounds):
-        total, _ = round_of(few if k < first_rounds else train, model)
+def first_model(mass: np.ndarray, states: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A seeded start: states that emit by the masses times chance, and stay with nine parts in ten."""
+    emit = mass[:, None] * (np.random.default_rng(42).gamma(0.5, size=(len(mass), states)) + 0.05)
+    return np.full(states, 1 / states), np.full((states, states), 0.1 / states) + 0.9 * np.eye(states), emit / emit.sum(axis=0)
+
+
+def trained(train: DataFrame, mass: np.ndarray, n_tokens: int, states: int = STATES, least_gain: float = LEAST_GAIN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Baum-Welch over all of ``train``, until a round raises a token's mean log10 likelihood by less than ``least_gain``."""
+    model, reached = first_model(mass, states), -np.inf
+    while n_tokens:
+        total, likelihood = round_of(train, model)
         model = maximised(total, mass, states)
+        mean = likelihood / np.log(10) / n_tokens
+        if mean - reached < least_gain:
+            break
+        reached = mean
     return model
 
 
-def _scorer(model, totals) -> Callable:
+def _scorer(model) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start, move, emit = model.value
-        logs = np.log10(totals.value)
+        start, move, emit, mass = model.value
         for batch in batches:
-            seqs = [np.frombuffer(x, "<u2").astype(np.int64) for x in batch.column("classes").to_pylist()]
-            tokens, offsets, order = time_major(seqs)
-            _, scale, _ = forward(tokens, offsets, start, move, emit, keep=False)
-            each, out = np.log10(scale) - logs[tokens], np.zeros(len(seqs))
-            for d, k in enumerate(order):
-                out[k] = each[offsets[: len(seqs[k])] + d].sum()
+            score = log_scales(_windows(batch.column("classes")), start, move, emit, -np.log10(mass), batch.num_rows)
             kept = ["doc_id", "held_out", "n_tokens", "n_known", "logs"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(out)], [*kept, "model"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(score)], [*kept, "model"])
 
     return run
 
 
-def scored(docs: DataFrame, held_out, states: int = STATES, most: int = HEAD) -> DataFrame:
+def masses(words: DataFrame, keys: np.ndarray, counts: np.ndarray, own: np.ndarray, n_train: int) -> tuple[np.ndarray, int, int]:
+    """The smoothed count of each emission, the training tokens and the distinct ones.
+
+    It is one for each token and distinct word, and for a hash class one for words never seen. The end counts once for
+    each training text.
+    """
+    by_class = words.groupBy(F.pmod("h", F.lit(HASHED)).alias("c")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).toPandas()  # HASHED rows at most
+    mine = own > 0
+    mass = np.ones(1 + HASHED + int(mine.sum()))
+    mass[1 + by_class["c"].to_numpy(int)] += by_class["n"].to_numpy() + by_class["v"].to_numpy()
+    np.subtract.at(mass, hashed_class(keys[mine]), counts[mine] + 1)
+    mass[own[mine]] = counts[mine] + 1
+    mass[0] = n_train + 1
+    return mass, int(by_class["n"].sum()) + n_train, int(by_class["v"].sum()) + (n_train > 0)
+
+
+def scored(docs: DataFrame, held_out, states: int = STATES, most: int = HEAD, own_most: int = OWN) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), log10.
 
     ``held_out``: a condition; rows that meet it are scored but not learned from.
@@ -247,20 +365,17 @@ def scored(docs: DataFrame, held_out, states: int = STATES, most: int = HEAD) ->
     bounded_batches(spark)
     texts = named(one_row_per_id(docs)).select("doc_id", "text", held_out.alias("held_out"))
     words = written(vocabulary(texts.where("NOT held_out")), "words")
-    frequent = spark.sparkContext.broadcast(head(words, most))
+    keys, counts = head(words, most)
+    own = own_words(keys, counts, own_most)
+    frequent = spark.sparkContext.broadcast((keys, counts, own))
     rows = written(texts.mapInArrow(_tokeniser(frequent), "doc_id long, held_out boolean, classes binary, n_tokens long, n_known long, logs double, rare array<long>, times array<long>"), "tokens")
     train = rows.where("NOT held_out")
     n_train = train.count()
-    by_class = words.groupBy((1 + F.pmod("h", F.lit(CLASSES - 1))).alias("c")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).toPandas()  # CLASSES rows at most
-    counts, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
-    counts[by_class["c"].to_numpy(int)], kinds[by_class["c"].to_numpy(int)] = by_class["n"].to_numpy(), by_class["v"].to_numpy()
-    counts[0], kinds[0] = n_train, 0
-    n, v = int(counts.sum()), int(kinds.sum()) + (n_train > 0)
-    model = spark.sparkContext.broadcast(trained(train, counts + kinds + 1, n_train, states))
-    totals = spark.sparkContext.broadcast(counts + kinds + 1)
+    mass, n, v = masses(words, keys, counts, own, n_train)
+    model = spark.sparkContext.broadcast((*trained(train, mass, n, states), mass))
     rare = rows.select("doc_id", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("doc_id", F.col("x.rare").alias("h"), F.col("x.times").alias("times"))
     found = rare.join(words, "h").groupBy("doc_id").agg(F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_logs"))
-    likelihood = rows.select("doc_id", "held_out", "classes", "n_tokens", "n_known", "logs").mapInArrow(_scorer(model, totals), "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, model double")
+    likelihood = rows.select("doc_id", "held_out", "classes", "n_tokens", "n_known", "logs").mapInArrow(_scorer(model), "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, model double")
     joined = likelihood.join(found, "doc_id", "left")
     logs = F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) + float(np.log10(n_train + 1))
     known = F.col("n_known") + F.coalesce("more_known", F.lit(0)) + int(n_train > 0)

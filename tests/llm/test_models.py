@@ -86,6 +86,9 @@ def test_forward_and_expected_counts():
     rnd = np.random.default_rng(2)
     seqs = [rnd.integers(0, 7, n) for n in (1, 5, 5, 9, 2)]
     first, moves, emitted, likelihood = hmm.expected(seqs, start, move, emit)
+    for window in (1, 2, 4, 5):  # cuts change nothing
+        for x, y in zip(hmm.expected(seqs, start, move, emit, window), (first, moves, emitted, likelihood), strict=True):
+            assert x == pytest.approx(y)
     assert likelihood == pytest.approx(sum(plain_likelihood(s, start, move, emit) for s in seqs))
     assert first.sum() == pytest.approx(5) and moves.sum() == pytest.approx(sum(len(s) - 1 for s in seqs))
     assert emitted.sum(axis=1) == pytest.approx(np.bincount(np.concatenate(seqs), minlength=7))
@@ -121,25 +124,47 @@ def test_scores(frame, most):
     assert sum(r.score for r in out) > sum(r.base_score for r in out) + 0.05 * sum(r.n_tokens for r in out)
 
 
-def test_score_is_the_models(frame, monkeypatch):
-    """score = log10 of the forward probability of the classes times each word's part of its class."""
+@pytest.mark.parametrize("own", [20, 0, 10**4])
+def test_score_is_the_models(frame, monkeypatch, own):
+    """score = log10 of the forward probability of the classes times each word's part of its class, over whole texts."""
     model = {}
     real = hmm.trained
-    monkeypatch.setattr(hmm, "trained", lambda *a: model.setdefault("m", real(*a, first_rounds=1, rounds=1)))
-    rows = [(i, t) for i, t, _, _ in corpus(40)]
-    got = {r.doc_id: r for r in hmm.scored(frame(rows), F.lit(False)).collect()}
-    counts = Counter(w for _, t in rows for w in t.encode().split())
-    of, kinds = Counter(), Counter()
+    monkeypatch.setattr(hmm, "trained", lambda train, mass, n, states: model.setdefault("m", real(train, mass, n, states, least_gain=0.2)))
+    rows = [(i, t) for i, t, _, _ in corpus(40)] + [(100, " ".join(t for _, t, _, _ in corpus(5, seed=3)))]
+    got = {r.doc_id: r for r in hmm.scored(frame(rows), F.lit(False), own_most=own).collect()}
+    counts = Counter(w for _, t in rows for w in t.encode().lower().split())
+    best = sorted(counts, key=lambda w: (-counts[w], hmm.word_hash(w)))[:own]
+    at = {w: 1 + hmm.word_hash(w) % hmm.HASHED for w in counts} | {w: 1 + hmm.HASHED + k for k, w in enumerate(best)}
+    mass = Counter({0: len(rows) + 1})
     for w, c in counts.items():
-        of[hmm.class_of(hmm.word_hash(w))] += c
-        kinds[hmm.class_of(hmm.word_hash(w))] += 1
-    for i, t in rows[:10]:
-        words = t.encode().split()
-        classes = [hmm.class_of(hmm.word_hash(w)) for w in words]
-        want = plain_likelihood(np.array([*classes, 0]), *model["m"]) / math.log(10) if len(words) < 60 else None
-        if want is not None:
-            want += sum(math.log10((counts[w] + 1) / (of[c] + kinds[c] + 1)) for w, c in zip(words, classes, strict=True))
-            assert got[i].score == pytest.approx(want)
+        mass[at[w]] += c + 1 + (at[w] <= hmm.HASHED and not mass[at[w]])
+    start, move, emit = model["m"]
+    for i, t in [*rows[:10], rows[-1]]:
+        words = t.encode().lower().split()
+        a, want = start, 0.0
+        for k, c in enumerate([*(at[w] for w in words), 0]):
+            a = (a @ move if k else a) * emit[c]
+            want += math.log10(a.sum())
+            a = a / a.sum()
+        want += sum(math.log10((counts[w] + 1) / mass[at[w]]) for w in words)
+        assert got[i].score == pytest.approx(want)
+
+
+def test_rounds_end_by_likelihood_over_all_documents(spark, frame, monkeypatch):
+    """Every round reads every training document; training stops when a round gains little, not after a number of rounds."""
+    read, real = [], hmm.round_of
+    monkeypatch.setattr(hmm, "round_of", lambda train, model: read.append((train.count(), (out := real(train, model))[1])) or out)
+    hmm.scored(frame([(i, t) for i, t, _, _ in corpus(120)]), F.col("doc_id") % 10 == 0).count()
+    assert {n for n, _ in read} == {108} and len(read) >= 3
+    gains = [b - a for (_, a), (_, b) in zip(read, read[1:], strict=False)]
+    assert all(g > 0 for g in gains[:-1])
+
+
+def test_long_and_tied_texts(frame):
+    rows = [(1, "b a " * 20_000), (2, "a b " * 20_000), (3, "\n"), (4, None), (5, "b a " * 20_000)]
+    got = {r.doc_id: r for r in hmm.scored(frame(rows), F.lit(False)).collect()}
+    assert got[1].n_tokens == 40_001 and got[1].score == got[5].score and got[3].score == got[4].score
+    assert all(math.isfinite(r.score) for r in got.values())
 
 
 def test_scores_of_nothing(frame):
