@@ -42,6 +42,11 @@ def one_row_per_id(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max_by(row, order).alias("_row")).select("_row.*")
 
 
+def apart(docs: DataFrame) -> DataFrame:
+    """The rows that have a doc_id, each as one struct ``_row``, so that joins meet no name of theirs."""
+    return docs.where("doc_id IS NOT NULL").select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+
+
 def crc_of_id() -> Column:
     """CRC-32 of the doc_id written as decimal text; it deals documents into folds."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary"))

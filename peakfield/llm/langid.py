@@ -6,38 +6,41 @@ which the model has any gram decides, with the mean log frequency of those grams
 whole text, with the languages' shares as prior, gives the language and its posterior.
 
 The model is fitted on a bounded sample of labelled rows: about ``rows_per_lang`` of each language,
-chosen by a hash of the doc_id, and the ``most_words`` most frequent words and ``most_grams`` n-grams.
-N-grams are ranked for each n and language by themselves, as a short gram is always at least as
-frequent as the longer ones around it, and languages differ in how much text they have. Every row is
-predicted, from its whole text and nothing else.
+chosen by a hash of the doc_id. Every word and n-gram of these rows is in it. Every row is predicted,
+from its whole text, of any length, and nothing else. A worker remembers what words add to the sum, up to
+a number of words, which changes no result.
 
 Nulls: a null text, or one without a letter, is ``und`` with score 0; rows with a null lang are not
 learned from; rows without a doc_id are left out. Repeated rows are each predicted. Without a
 labelled row every text is ``und``. Ties go to the language that comes first in code-point order.
+Extra columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import regex
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peakfield.llm.common import bounded_batches, crc_of_id, documents, named, one_row_per_id
+from peakfield.llm.common import apart, bounded_batches, crc_of_id, documents, named, one_row_per_id, written
 
 UNKNOWN = "und"
-#: A word is a run of letters; digits, marks and punctuation part words.
-LETTERS = re.compile(r"[^\W\d_]+")
+#: A word is a run of letters and the marks on them; digits, signs and punctuation part words.
+LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 LONGEST = 5
+#: Words that a worker remembers.
+REMEMBERED = 200_000
+#: The posterior that a language needs for a document to be taken as written in it.
+LEAST_SCORE = 0.5
 
 
 def words_of(text: str) -> list[str]:
-    found = LETTERS.findall(text.lower())
-    return found if any(c.isalpha() for w in found for c in w) else []
+    return LETTERS.findall(text.lower())
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -74,92 +77,96 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Model:
     """langs, the log priors, and log frequencies by language of words and of grams."""
 
-    def __init__(self, langs: list[str], priors: np.ndarray, rows: list, shape: dict[tuple[str, int], tuple[int, int]]):
-        """rows: (kind, gram, counts in the order of langs); shape: for (lang, kind) how many tokens and different entries there are."""
-        self.langs, self.priors = langs, priors
-        self.at: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
-        tables: list[list] = [[] for _ in range(LONGEST + 1)]
-        for kind, gram, counts in rows:
-            self.at[kind][gram] = len(tables[kind])
-            tables[kind].append(counts)
-        self.logs = []
-        for kind, table in enumerate(tables):
-            total = np.array([shape.get((lang, kind), (0, 0))[0] for lang in langs], float)
-            kinds = np.array([shape.get((lang, kind), (0, 0))[1] for lang in langs], float)
-            self.logs.append(np.log((np.array(table, float).reshape(len(table), len(langs)) + 0.5) / (total + 0.5 * kinds + 1)))
+    def __init__(self, langs: list[str], priors: np.ndarray, entries: pa.Table, shape: dict[tuple[str, int], tuple[int, int]]):
+        """entries: (kind, gram, by_lang: counts in the order of langs); shape: for (lang, kind) how many tokens and different entries there are."""
+        self.langs, self.priors, self.at, self.logs = langs, priors, [], []
+        kinds, grams_, counts = entries["kind"].to_numpy(), entries["gram"].combine_chunks(), entries["by_lang"].combine_chunks().flatten().to_numpy().reshape(len(entries), len(langs))
+        for kind in range(LONGEST + 1):
+            rows = np.flatnonzero(kinds == kind)
+            self.at.append(dict(zip(grams_.take(pa.array(rows)).to_pylist(), range(len(rows)), strict=True)))
+            total, different = (np.array([shape.get((lang, kind), (0, 0))[k] for lang in langs], float) for k in range(2))
+            self.logs.append(np.log((counts[rows] + 0.5) / (total + 0.5 * different + 1)))
+        self.known: dict[str, int] = {}
+        self.parts = np.empty((1024, len(langs)))
+
+    def part(self, word: str) -> np.ndarray:
+        """What ``word`` adds for each language: nothing if the model has none of its characters."""
+        i = self.at[0].get(word)
+        if i is not None:
+            return self.logs[0][i]
+        for k in range(LONGEST, 0, -1):
+            have = self.at[k]
+            found = [have[g] for g in grams(word, k) if g in have]
+            if found:
+                return self.logs[k][found].mean(axis=0)
+        return np.zeros(len(self.langs))
+
+    def _remembered(self, word: str) -> int | None:
+        n = len(self.known)
+        if n == REMEMBERED:
+            return None
+        if n == len(self.parts):
+            self.parts = np.concatenate([self.parts, np.empty_like(self.parts)])
+        self.parts[n] = self.part(word)
+        self.known[word] = n
+        return n
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = Counter(words_of(text or ""))
+        words = words_of(text or "")
         if not words or not self.langs:
             return UNKNOWN, 0.0
-        known, at, times = self.at[0], [], []
-        backed: list[list] = [[] for _ in range(LONGEST + 1)]
-        weights: list[list] = [[] for _ in range(LONGEST + 1)]
-        for word, n in words.items():
-            i = known.get(word)
-            if i is not None:
-                at.append(i)
-                times.append(n)
-                continue
-            for k in range(LONGEST, 0, -1):
-                have = self.at[k]
-                found = [have[g] for g in grams(word, k) if g in have]
-                if found:
-                    backed[k] += found
-                    weights[k] += [n / len(found)] * len(found)
-                    break
-        total = self.priors.copy()
-        if at:
-            total += np.array(times, float) @ self.logs[0][at]
-        for k in range(1, LONGEST + 1):
-            if backed[k]:
-                total += np.array(weights[k]) @ self.logs[k][backed[k]]
+        at = list(map(self.known.get, words))
+        beyond = []
+        if None in at:
+            for i, x in enumerate(at):
+                if x is None:
+                    at[i] = x = self.known[words[i]] if words[i] in self.known else self._remembered(words[i])
+                    if x is None:
+                        beyond.append(i)
+                        at[i] = 0
+        parts = self.parts[at]
+        for i in beyond:
+            parts[i] = self.part(words[i])
+        total = self.priors + parts.sum(axis=0)
         best = int(np.argmax(total))
         return self.langs[best], float(1 / np.exp(total - total[best]).sum())
 
 
-def quotas(kinds: dict[int, int], most: int) -> dict[int, int]:
-    """How many n-grams of each n are kept: equal parts of ``most``; what one n has too few grams for goes to the others."""
-    out: dict[int, int] = {}
-    for done, (k, n) in enumerate(sorted(kinds.items(), key=lambda x: x[1])):
-        out[k] = min(n, (most - sum(out.values())) // (len(kinds) - done))
-    return out
+class Learned:
+    """What a ``Model`` is made of, as Arrow columns; sent to a worker, it arrives as the model."""
 
+    def __init__(self, *parts):
+        self.parts = parts
 
-def learn(docs: DataFrame, rows_per_lang: int = 1000, most_words: int = 80_000, most_grams: int = 80_000) -> Model:
-    """docs: labelled rows (doc_id, text, lang). What comes to the driver is bounded by the parameters."""
+    def __reduce__(self):
+        return Model, self.parts
+
+
+def learn(docs: DataFrame, rows_per_lang: int = 1000) -> Learned:
+    """docs: labelled rows (doc_id, text, lang). What comes to the driver is what ``rows_per_lang`` rows of each language hold."""
     bounded_batches(docs.sparkSession)
     rows = named(docs, "lang").where("lang IS NOT NULL")
     per_lang = rows.groupBy("lang").agg(F.count("*").alias("_rows"))
     langs = {r["lang"]: r["_rows"] for r in per_lang.collect()}  # a row for each label
-    if not langs:
-        return Model([], np.zeros(0), [], {})
+    order = sorted(langs, key=lambda x: x.encode())
     luck = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) / (1 << 30)
     sample = rows.join(F.broadcast(per_lang), "lang").where(luck * F.col("_rows") < rows_per_lang)
-    counts = sample.select("lang", "text").mapInArrow(_counter, "lang string, kind int, gram string, n long").groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n")).persist()
+    counts = sample.select("lang", "text").mapInArrow(_counter, "lang string, kind int, gram string, n long").groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n"))
+    counts = written(counts, "grams")
     shape = {(r["lang"], r["kind"]): (r["t"], r["k"]) for r in counts.groupBy("lang", "kind").agg(F.sum("n").alias("t"), F.count("*").alias("k")).collect()}
-    order = sorted(langs, key=lambda x: x.encode())
     by_lang = [F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("n"))), F.lit(0)) for x in order]
-    place = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "gram")
-    ranked = counts.where("kind > 0").withColumn("place", F.row_number().over(place)).unionByName(counts.where("kind = 0").withColumn("place", F.lit(0)))
-    by_gram = ranked.groupBy("kind", "gram").agg(F.sum("n").alias("n"), F.min("place").alias("place"), F.array(*by_lang).alias("by_lang")).persist()
-    kinds = dict(by_gram.where("kind > 0").groupBy("kind").agg(F.count("*")).collect())
-    rows = []
-    for kind, most in {0: most_words, **quotas(kinds, most_grams)}.items():
-        best = by_gram.where(F.col("kind") == kind).orderBy("place", F.desc("n"), "gram").limit(most).select("gram", "by_lang").toArrow()
-        rows += zip([kind] * best.num_rows, best["gram"].to_pylist(), best["by_lang"].to_pylist(), strict=True)
-    by_gram.unpersist()
-    counts.unpersist()
-    priors = np.log(np.array([langs[x] for x in order], float) / sum(langs.values()))
-    return Model(order, priors, rows, shape)
-
-
-def _predictor(model) -> Callable:
+    entries = counts.groupBy("kind", "gram").agg(F.array(*by_lang).cast("array<long>").alias("by_lang")).toArrow()
+    priors = np.log(np.array([langs[x] for x in order], float) / max(1, sum(langs.values())))
+    return Learned(order, priors, entries, shape)
+
+
+def _predictor(shared) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
+        m = shared.value
         for batch in batches:
-            found = [m.predict(t) for t in batch.column("text").to_pylist()]
-            lettered = pa.array([bool(words_of(t)) for t in batch.column("text").to_pylist()], pa.bool_()) if not m.langs else pa.array([x[0] != UNKNOWN for x in found], pa.bool_())
+            texts = batch.column("text").to_pylist()
+            found = [m.predict(t) for t in texts]
+            lettered = pa.array([bool(LETTERS.search(t)) for t in texts] if not m.langs else [x[0] != UNKNOWN for x in found], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), lettered], ["doc_id", "held_out", "lang_pred", "score", "lettered"])
 
     return run
@@ -179,13 +186,20 @@ def predicted(docs: DataFrame) -> DataFrame:
     return _predictions(docs).drop("lettered")
 
 
-def identified(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows in no language: those of which no text has a letter.
+def identified(docs: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
+    """``docs`` in a language that the model knows, with ``lang`` filled in where it is null.
 
-    Where no language was learned, texts with a letter stay. No score rejects a document.
+    Rejected are texts without a letter, and those for which no language reaches ``least_score``. A row without a label
+    gets the predicted one; labels that are there stay. Where no language was learned nothing can be told, so texts
+    with a letter stay as they are. Of rows that share a doc_id the one with the greatest text stands for it; rows
+    without a doc_id go. An empty table stays empty, and columns stay as they are, whatever their names.
     """
-    gone = _predictions(docs).where("NOT lettered").select("doc_id")
-    return one_row_per_id(docs).where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    docs = one_row_per_id(docs)
+    told = _predictions(docs).where(F.col("lettered") & ((F.col("score") >= least_score) | (F.col("lang_pred") == UNKNOWN)))
+    told = told.select(F.col("doc_id").alias("_told_id"), F.col("lang_pred").alias("_told"))
+    kept = apart(docs).join(told, F.col("_row.doc_id").cast("long") == F.col("_told_id"))
+    lang = F.coalesce(F.col("_row.lang"), F.nullif("_told", F.lit(UNKNOWN)))
+    return kept.select(*((lang if c == "lang" else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def op8_word_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:

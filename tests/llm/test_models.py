@@ -27,38 +27,78 @@ def corpus(n, seed=0):
 
 
 def test_language(frame):
-    rows = corpus(400) + [(900, None, "en", "s"), (901, "12 34 !?", "en", "s"), (902, "", None, "s"), (903, "語", None, "s"), (None, "the", "en", "s")]
+    rows = [(i, t, lang if i % 5 else None, s) for i, t, lang, s in corpus(400)] + [(900, None, "en", "s"), (901, "12 34 !?", "en", "s"), (902, "", None, "s"), (903, "語", None, "s"), (None, "the", "en", "s")]
     got = {r.doc_id: r for r in langid.predicted(frame(rows)).collect()}
     assert len(got) == len(rows) - 1
     for i in range(400):
         assert got[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1) and 0 <= got[i].score <= 1
-    held = [r for r in rows[:400] if got[r[0]].held_out]
+    held = [r for r in corpus(400) if got[r[0]].held_out]
     assert sum(got[r[0]].lang_pred == r[2] for r in held) >= 0.98 * len(held)
     assert [got[i].lang_pred for i in (900, 901, 902)] == ["und"] * 3 and got[900].score == 0
     assert got[903].lang_pred in SYLLABLES
-    kept = {r.doc_id for r in langid.identified(frame(rows)).collect()}
-    assert kept == {*range(400), 903}
+    kept = {r.doc_id: r.lang for r in langid.identified(frame(rows)).collect()}
+    assert set(kept) == {i for i, r in got.items() if r.lang_pred != "und" and r.score >= 0.5} and set(range(400)) <= set(kept)
+    assert all(kept[i] == (lang or got[i].lang_pred) for i, _, lang, _ in rows[:400])
+
+
+def learned(frame, rows):
+    return langid.Model(*langid.learn(frame(rows)).parts)
 
 
 def test_language_backs_off_to_grams(frame):
     """A text of words that training never saw is told by its grams."""
-    model = langid.learn(frame([(i, t, lang, s) for i, t, lang, s in corpus(300)]), most_words=5)
-    assert len(model.at[0]) == 5
+    model = learned(frame, corpus(300))
+    model.at[0].clear()
     rows = corpus(60, seed=9)
     assert sum(model.predict(t)[0] == lang for _, t, lang, _ in rows) >= 57
 
 
-def test_grams_of_every_length_and_language_are_kept(frame):
-    """Short grams, and those of the language with the longer texts, do not push the others out."""
+def test_every_word_and_gram_of_the_sample_is_kept(frame):
+    """However frequent: nothing that was counted is left out."""
     rows = [(i, t * (20 if lang == "en" else 1), lang, s) for i, t, lang, s in corpus(300)]
-    model = langid.learn(frame(rows), most_grams=1000)
-    sizes = [len(x) for x in model.at[1:]]
-    assert sum(sizes) == 1000 and min(sizes[2:]) >= 200
-    for k in (4, 5):
-        counts = {lang: Counter(g for _, t, x, _ in rows if x == lang for w in langid.words_of(t) for g in langid.grams(w, k)) for lang in SYLLABLES}
-        for lang, n in counts.items():
-            assert {g for g, c in n.items() if c > sorted(n.values())[-40]} <= set(model.at[k]), (k, lang)
-    assert langid.quotas({1: 10, 2: 500, 3: 90}, 300) == {1: 10, 3: 90, 2: 200}
+    model = learned(frame, rows)
+    words = {w for _, t, _, _ in rows for w in langid.words_of(t)}
+    assert set(model.at[0]) == words
+    for k in range(1, langid.LONGEST + 1):
+        assert set(model.at[k]) == {g for w in words for g in langid.grams(w, k)}
+
+
+@pytest.mark.parametrize("remembered", [200_000, 50])
+def test_predictions_equal_a_plain_version(frame, monkeypatch, remembered):
+    """lang_pred and score from counts of the rows that are not held out, word by word."""
+    monkeypatch.setattr(langid, "REMEMBERED", remembered)
+    rows = corpus(200) + [(500 + i, " ".join(w[::-1] for w in t.split()) + " हिन्दी x1y", lang, s) for i, t, lang, s in corpus(40, seed=8)]
+    langs = sorted(SYLLABLES)
+    counts, n_rows = {(lang, k): Counter() for lang in langs for k in range(6)}, Counter()
+    for i, t, lang, _ in rows:
+        if zlib.crc32(str(i).encode()) % 3 != 1:
+            n_rows[lang] += 1
+            for w in re.findall(r"[^\W\d_\u0900-\u0fff]+|[\u0900-\u0fff]+", t.lower()):
+                counts[lang, 0][w] += 1
+                for k in range(1, 6):
+                    counts[lang, k].update(langid.grams(w, k))
+    log = lambda k, g: [math.log((counts[x, k][g] + 0.5) / (sum(counts[x, k].values()) + 0.5 * len(counts[x, k]) + 1)) for x in langs]
+    have = [set().union(*(counts[x, k] for x in langs)) for k in range(6)]
+    got = {r.doc_id: r for r in langid.predicted(frame(rows)).collect()}
+    model = learned(frame, [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1])
+    for i, t, _, _ in rows[::7] + rows[-10:]:
+        total = [math.log(n_rows[x] / sum(n_rows.values())) for x in langs]
+        for w in re.findall(r"[^\W\d_\u0900-\u0fff]+|[\u0900-\u0fff]+", t.lower()):
+            if w in have[0]:
+                add = log(0, w)
+            else:
+                k = next((k for k in range(5, 0, -1) if any(g in have[k] for g in langid.grams(w, k))), None)
+                found = [g for g in langid.grams(w, k) if g in have[k]] if k else []
+                add = [sum(x) / len(found) for x in zip(*(log(k, g) for g in found), strict=True)] if found else [0.0] * len(langs)
+            total = [a + b for a, b in zip(total, add, strict=True)]
+        best = max(total)
+        assert got[i].lang_pred == langs[total.index(best)]
+        assert got[i].score == pytest.approx(1 / sum(math.exp(x - best) for x in total))
+        assert model.predict(t) == (got[i].lang_pred, got[i].score)
+
+
+def test_words_of_scripts_with_marks_are_whole():
+    assert langid.words_of("हिन्दी, İx é1z _a") == ["हिन्दी", "i̇x", "é", "z", "a"]
 
 
 def test_language_of_nothing(frame):
