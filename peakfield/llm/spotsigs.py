@@ -1,19 +1,22 @@
 """SpotSigs fingerprints, in DataFrame operations only.
 
-Where a content word follows a common word (an anchor, or the start of the text), a chain is signed:
+Anchors are the words that stand in at least ``ANCHOR_SHARE`` of the documents, by a count over all of
+them. Where a content word, one that is no anchor, follows an anchor or starts a text, a chain is signed:
 the anchor, the content word and the content word after it, hashed. The set of a text's signatures,
-sorted, is its fingerprint; texts are alike by the Jaccard similarity of these sets. Texts in other
+sorted, is its fingerprint; texts are alike by the Jaccard similarity of these sets. Texts in rarer
 languages, code and lists have few anchors or none: where fewer than one content word in ``SPARSE``
-starts a chain, or ``STRETCH`` of them come without an anchor, every content word there starts one, with
-the word before it for an anchor, so that each part of the text is signed. A text of ``SPARSE``
-content words at most has the chains of its anchors alone. For joins,
-fingerprints are partitioned by set length: sets that are similar enough have lengths within a
-fixed ratio, so only equal and neighbouring partitions meet, and there only sets that share one of
-the few rarest-hash signatures that similar sets must share.
+starts a chain, in texts of ``SPARSE`` content words at most, and where ``STRETCH`` content words come without an
+anchor, every content word starts a chain, with the word before it for an anchor, so that each part of
+a text is signed. A text of anchors alone has one signature, of the whole.
+
+For joins, fingerprints are partitioned by set length: sets that are similar enough have lengths
+within a fixed ratio, so only equal and neighbouring partitions meet, and there only sets that share
+one of the few signatures, rare ones first, that similar sets must share.
 
 Nulls: a null text is an empty one; without a word there is no signature, and two empty fingerprints
 are alike by 1, an empty and another by 0. Rows without a doc_id are left out; of rows that share a
-doc_id the one with the greatest text counts. An empty table gives an empty result.
+doc_id the one with the greatest text counts. Texts of any length are signed whole, equal texts equally.
+Extra columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,54 +29,60 @@ from pyspark.sql import functions as F
 from peakfield.llm.common import documents, named, one_row_per_id, written
 from peakfield.llm.components import connected_components
 
-#: Common words of English, French, German and Spanish.
-ANCHORS = """
-the of and to in is a that it was for on are as with be at by this have from or an not you he his they which but we her she
-de la le et les des en un une du que dans qui pour pas sur au il est par plus elle ce se sont avec ou
-der die und das den von zu mit sich auf dem ist nicht ein eine im es auch als an werden aus er hat nach wird bei
-el los y del las por con para su al lo como mas pero sus o este si
-""".split()
-
+#: The share of documents from which a word is an anchor. So there are at most 1 / ANCHOR_SHARE times as many anchors as a text has different words on average.
+ANCHOR_SHARE = 0.1
 #: Content words for each chain, and content words in a row without an anchor, from which anchors alone do not cover a text.
 SPARSE, STRETCH = 8, 32
+#: Signatures that joins try last: this many of the most frequent ones.
+FREQUENT = 2000
+
 
-#: Documents in a bucket of neighbours.
-PER_BUCKET = 1024
+def words_of(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def is_anchor(word: Column) -> Column:
-    return word.isin(ANCHORS)
+def anchors_of(docs: DataFrame, share: float = ANCHOR_SHARE) -> list[str]:
+    """The words that stand in at least ``share`` of the documents, in code-point order."""
+    texts = docs.select("text")
+    least = texts.count() * share
+    counts = texts.select(F.explode(F.array_distinct(words_of(F.col("text")))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return sorted((r["word"] for r in counts.where((F.col("n") >= least) & (F.col("n") > 1)).select("word").collect()), key=lambda w: w.encode())
 
 
-def with_signatures(rows: DataFrame, text: str, out: str) -> DataFrame:
-    """Adds ``out``: the distinct chain signatures of ``text`` as sorted 32-bit numbers, in an array<long>.
+def is_anchor(word: Column, anchors: list[str]) -> Column:
+    return word.isin(["", *anchors])  # the empty word stands before a text's first
+
+
+def with_signatures(rows: DataFrame, text: str, out: str, anchors: list[str]) -> DataFrame:
+    """Adds ``out``: the distinct chain signatures of ``text`` as sorted numbers, in an array<int>.
 
     One step is one projection, so that no array is built twice.
     """
-    rows = rows.withColumn("_words", F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
-    pairs = F.zip_with("_words", F.concat(F.array(F.lit("the")), F.col("_words")), lambda w, b: F.struct(w.alias("word"), b.alias("before")))  # the start of a text is an anchor
-    rows = rows.withColumn("_spots", F.filter(pairs, lambda x: x["word"].isNotNull() & ~is_anchor(x["word"])))
+    rows = rows.withColumn("_words", words_of(F.col(text)))
+    pairs = F.zip_with("_words", F.concat(F.array(F.lit("")), F.col("_words")), lambda w, b: F.struct(w.alias("word"), b.alias("before")))
+    rows = rows.withColumn("_spots", F.filter(pairs, lambda x: x["word"].isNotNull() & ~is_anchor(x["word"], anchors)))
     after = F.slice("_spots", F.lit(2), F.greatest(F.size("_spots"), F.lit(1)))
-    signed = lambda a, b: F.xxhash64(a["before"], a["word"], F.coalesce(b["word"], F.lit(""))).bitwiseAND(0xFFFFFFFF)
-    chain = lambda a, b: F.when(is_anchor(a["before"]), signed(a, b))
-    rows = rows.withColumn("_chains", F.zip_with("_spots", after, chain))
-    rows = rows.withColumn("_sigs", F.filter("_chains", lambda x: x.isNotNull()))
+    number = lambda h: (h.bitwiseAND(0xFFFFFFFF) - (1 << 31)).cast("int")
+    signed = lambda a, b: number(F.xxhash64(a["before"], a["word"], F.coalesce(b["word"], F.lit(""))))
+    rows = rows.withColumn("_every", F.zip_with("_spots", after, lambda a, b: F.struct(is_anchor(a["before"], anchors).alias("starts"), signed(a, b).alias("sig"))))
     n = F.size("_spots")
-    starts = F.filter(F.transform("_chains", lambda x, i: F.when(x.isNotNull(), i)), lambda i: i.isNotNull())
-    ends = F.concat(F.slice(starts, F.lit(2), F.greatest(F.size(starts), F.lit(1))), F.array(n))
-    wide = F.filter(F.zip_with(starts, ends, lambda a, b: F.when(b - a >= STRETCH, F.struct(a.alias("at"), b.alias("to")))), lambda x: x.isNotNull())
-    rows = rows.withColumn("_wide", F.when(F.size("_sigs") * SPARSE < n, F.array(F.struct(F.lit(0).alias("at"), n.alias("to")))).when(n >= STRETCH, wide))
-    every = F.zip_with("_spots", after, signed)
-    more = F.flatten(F.transform("_wide", lambda x: F.slice(every, x["at"] + 1, x["to"] - x["at"])))
-    rows = rows.withColumn("_sigs", F.when(F.size("_wide") > 0, F.concat("_sigs", more)).otherwise(F.col("_sigs")))
-    whole = F.array(F.xxhash64(F.concat_ws(" ", "_words")).bitwiseAND(0xFFFFFFFF))  # signs a text of anchors alone
-    rows = rows.withColumn(out, F.array_sort(F.array_distinct(F.when((F.size("_sigs") == 0) & (F.size("_words") > 0), whole).otherwise(F.col("_sigs")))))
-    return rows.drop("_words", "_spots", "_chains", "_sigs", "_wide")
+    starts = F.filter(F.transform("_every", lambda x, i: F.when(x["starts"], i)), lambda i: i.isNotNull())
+    rows = rows.withColumn("_starts", starts)
+    ends = F.concat(F.slice("_starts", F.lit(2), F.greatest(F.size("_starts"), F.lit(1))), F.array(n))
+    stretches = F.filter(F.zip_with("_starts", ends, lambda a, b: F.when(b - a >= STRETCH, F.struct(a.alias("at"), b.alias("to")))), lambda x: x.isNotNull())
+    chosen = lambda at: F.transform(at, lambda x: x["sig"])
+    sparse = (n <= SPARSE) | (F.size("_starts") * SPARSE < n)
+    anchored = chosen(F.filter("_every", lambda x: x["starts"]))
+    more = F.flatten(F.transform(stretches, lambda x: chosen(F.slice("_every", x["at"] + 1, x["to"] - x["at"]))))
+    sigs = F.when(sparse, chosen(F.col("_every"))).when(n >= STRETCH, F.concat(anchored, more)).otherwise(anchored)
+    whole = F.array(number(F.xxhash64(F.concat_ws(" ", "_words"))))
+    rows = rows.withColumn(out, F.array_sort(F.array_distinct(F.when((n == 0) & (F.size("_words") > 0), whole).otherwise(sigs))))
+    return rows.drop("_words", "_spots", "_every", "_starts")
 
 
 def written_out(sigs: Column) -> Column:
     """The fingerprint as a string: its signatures as 8 hex digits each."""
-    return F.lower(F.concat_ws("", F.transform(sigs, lambda x: F.lpad(F.hex(x), 8, "0"))))
+    return F.lower(F.concat_ws("", F.transform(sigs, lambda x: F.lpad(F.hex(x.cast("long") + (1 << 31)), 8, "0"))))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -84,50 +93,26 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when(apart, 0.0).when(a == b, 1.0).otherwise(value)
 
 
-def search(bounds: list[int], value: Column) -> Column:
-    """How many of the sorted ``bounds`` are at or below ``value``, as a binary search of CASE expressions."""
-
-    def within(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(value < bounds[mid], within(lo, mid)).otherwise(within(mid + 1, hi))
+def with_next_id(docs: DataFrame) -> DataFrame:
+    """docs: (doc_id, ...), every doc_id once -> with next_id, the next one by descending doc_id; after the last comes the first.
 
-    return within(0, len(bounds))
+    A range sort of the ids, without any text, deals them over tasks; what precedes each task's least id comes from
+    a table with a row for each task.
+    """
+    ranged = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    placed = written(ranged.withColumn("_part", F.shiftright(F.monotonically_increasing_id(), 33)), "ranged")
+    tops = placed.groupBy("_part").agg(F.max("doc_id").alias("_top"))
+    below = F.lag("_top").over(Window.orderBy("_part"))
+    tops = tops.select("_part", F.coalesce(below, F.max("_top").over(Window.partitionBy())).alias("_below"))
+    inside = F.lag("doc_id").over(Window.partitionBy("_part").orderBy("doc_id"))
+    return placed.join(F.broadcast(tops), "_part").withColumn("next_id", F.coalesce(inside, "_below")).drop("_part", "_below")
 
 
-def with_next(docs: DataFrame, per_bucket: int = PER_BUCKET, most: int = 256) -> DataFrame:
-    """(doc_id, text, next_text): each document with the next one by descending doc_id, the first one after the last.
-
-    Documents are dealt once, into buckets of neighbouring doc_ids (quantiles, and equal parts of
-    quantiles that are still large); the greatest doc_id of each bucket goes to the bucket above as
-    well, as the one that follows its least. Windows so run over a bucket, not over the table.
-    """
-    ids = docs.select("doc_id")
-    n, lo, hi = ids.agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
-    if not n:
-        return docs.select("doc_id", "text", F.lit("").alias("next_text"))
-    k = max(1, min(most, n // per_bucket))
-    cuts = sorted({c for c in ids.agg(F.percentile_approx("doc_id", [i / k for i in range(1, k)] or [1.0], 100_000)).first()[0]} - {lo}) if k > 1 else []
-    parts = max(1, -(-n // (k * per_bucket * 4)))
-    starts, stops = [lo, *cuts], [*cuts, hi + 1]
-    cut = search(cuts, F.col("doc_id")).cast("long")
-    at = lambda values: F.element_at(F.array(*(F.lit(v).cast("long") for v in values)), (cut + 1).cast("int"))
-    inner = F.floor((F.col("doc_id") - at(starts)).cast("double") * parts / (at(stops) - at(starts)).cast("double")) if parts > 1 else F.lit(0)
-    bucket = (cut * parts + F.least(inner, F.lit(parts - 1))).cast("long")
-    tops = ids.select("doc_id", bucket.alias("bucket")).groupBy("bucket").agg(F.max("doc_id").alias("top"))
-    # the next bucket with rows above receives the top of this one; the lowest bucket receives the top of all
-    guests = tops.select("top", F.coalesce(F.lead("bucket").over(Window.orderBy("bucket")), F.min("bucket").over(Window.partitionBy())).alias("to"))
-    guests = F.broadcast(guests) if k * parts <= 1 << 20 else guests  # a row for each bucket
-    guests = docs.select("doc_id", "text").join(guests, F.col("doc_id") == F.col("top")).select("doc_id", "text", F.col("to").alias("bucket"), (F.col("doc_id") == hi).alias("last"), F.lit(True).alias("guest"))
-    rows = docs.select("doc_id", "text", bucket.alias("bucket"), F.lit(False).alias("last"), F.lit(False).alias("guest")).union(guests)
-    order = Window.partitionBy("bucket").orderBy("last", F.desc("doc_id"))
-    return rows.withColumn("next_text", F.lead("text").over(order)).where("NOT guest").select("doc_id", "text", "next_text")
-
-
-def fingerprinted(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp array<long>), the signature sets of the whole texts."""
-    return with_signatures(named(docs), "text", "fp").select("doc_id", "fp")
+def fingerprinted(docs: DataFrame, anchors: list[str] | None = None) -> DataFrame:
+    """(doc_id, n_chars, fp array<int>), the signature sets of the whole texts."""
+    rows = named(docs)
+    rows = with_signatures(rows, "text", "fp", anchors_of(rows) if anchors is None else anchors)
+    return rows.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), "fp")
 
 
 def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -139,20 +124,36 @@ def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return joined.where(F.when(fits, likeness(F.col("fp_a"), F.col("fp_b"))).otherwise(0.0) >= similarity - 1e-9).select("a", "b")
 
 
-def similar(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, component_id) by links between sets of at least ``similarity``; a row for each text with a word.
+def frequent_signatures(sets: DataFrame, most: int = FREQUENT) -> list[int]:
+    """About the ``most`` most frequent signatures that stand in more than one set in a thousand, by a sketch over all sets.
 
-    Equal fingerprints count once. Sets of that similarity share one of their first
-    size - ceil(similarity * size) + 1 signatures, and have sizes in equal or neighbouring
+    They only say which signatures joins try last, so that an estimate will do: results are the same in any order.
+    """
+    n = sets.count()
+    if not n:
+        return []
+    found = sets.select(F.explode("fp").alias("sig")).agg(F.expr(f"approx_top_k(sig, {most}, {most * 10})").alias("top")).first()["top"] or []
+    return sorted(r["item"] for r in found if r["count"] * 1000 > n)
+
+
+def similar(spots: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """spots: a written table (doc_id, fp) -> (doc_id, component_id) by links between sets of at least ``similarity``.
+
+    A row for each text with a word. Equal fingerprints count once. Sets of that similarity share one of their first
+    size - ceil(similarity * size) + 1 signatures, in any order that is the same for all; here the most frequent ones
+    come last, so that what many texts share seldom brings them together. Their sizes are in equal or neighbouring
     partitions. All sets under a signature are first compared with the smallest doc_id there, which
     joins up hot groups of copies with a link for each; then pairs from different groups are.
     """
-    sets = written(fingerprinted(one_row_per_id(docs)).where("size(fp) > 0"), "spots")
+    sets = spots.where("size(fp) > 0").select("doc_id", "fp")
     distinct = written(sets.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "distinct")
-    size = F.size("fp")
-    prefix = F.slice("fp", F.lit(1), (size - F.ceil(size * similarity - 1e-9) + 1).cast("int"))
-    part = F.floor(F.log(size) / -math.log(similarity)).cast("long")
-    keyed = written(distinct.select("doc_id", part.alias("part"), F.explode(prefix).alias("sig")), "prefixes")
+    size, last = F.size("fp"), frequent_signatures(distinct)
+    order = F.concat(F.filter("fp", lambda x: ~x.isin(last)), F.filter("fp", lambda x: x.isin(last))) if last else F.col("fp")
+    prefix = F.slice(order, F.lit(1), (size - F.ceil(size * similarity - 1e-9) + 1).cast("int"))
+    part = F.floor(F.log(size) / -math.log(similarity)).cast("int")
+    keyed = distinct.select("doc_id", part.alias("part"), F.explode(prefix).alias("sig"))
+    shared = keyed.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1").select("sig")
+    keyed = written(keyed.join(shared, "sig"), "prefixes")  # most signatures stand in one set alone
     hubs = keyed.groupBy("sig", "part").agg(F.min("doc_id").alias("hub"))
     starred = keyed.join(hubs, ["sig", "part"]).where("doc_id != hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
     stars = written(alike(starred, distinct, similarity), "stars")
@@ -168,15 +169,28 @@ def similar(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     return sets.join(least, "fp").select("doc_id", "component_id")
 
 
-def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = with_next(named(one_row_per_id(documents(spark, sf_dir))))
-    rows = rows.withColumn("n_chars", F.char_length("text").cast("long"))
+def compared(docs: DataFrame) -> DataFrame:
+    """Each document with its edited text's hash, the fingerprints, both likenesses and its component; without a word it is its own component.
+
+    A document receives from the next one no more than the part of the text that it takes over.
+    """
+    texts = named(one_row_per_id(docs))
+    anchors = anchors_of(texts)
+    spots = written(fingerprinted(texts, anchors), "spots")
     tail = F.floor(F.col("n_chars") / 3).cast("int")
-    rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - tail).cast("int")), F.substring("next_text", F.lit(1), tail)))
-    for column, out in (("text", "fp"), ("edited", "edited_fp"), ("next_text", "next_fp")):
-        rows = with_signatures(rows, column, out)
-    return rows.select(
-        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        written_out(F.col("fp")).alias("fingerprint"), written_out(F.col("edited_fp")).alias("edited_fingerprint"),
-        likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+    asks = with_next_id(spots.select("doc_id", tail.alias("need"))).select(F.col("doc_id").alias("asker"), F.col("next_id").alias("doc_id"), "need")
+    both = texts.join(spots, "doc_id").select("doc_id", "text", "n_chars", "fp")
+    given = both.join(asks, "doc_id").select(F.col("asker").alias("doc_id"), F.substring("text", F.lit(1), F.col("need")).alias("head"), F.col("fp").alias("next_fp"))
+    rows = both.join(given, "doc_id")
+    rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - tail).cast("int")), "head"))
+    rows = with_signatures(rows.drop("text", "head"), "edited", "edited_fp", anchors)
+    rows = rows.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256)).drop("edited")
+    groups = similar(spots).withColumnRenamed("doc_id", "_id")
+    return rows.join(groups, F.col("doc_id") == F.col("_id"), "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+
+
+def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compared(documents(spark, sf_dir)).select(
+        "doc_id", "n_chars", "edited_sha256", written_out(F.col("fp")).alias("fingerprint"), written_out(F.col("edited_fp")).alias("edited_fingerprint"),
+        likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"), "component_id",
     )

@@ -1,5 +1,6 @@
 """Language identification, the hidden Markov model and SpotSigs against plain versions and held-out texts."""
 
+import hashlib
 import math
 import random
 import re
@@ -8,10 +9,11 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from peakfield.llm import hmm, langid, spotsigs
-from peakfield.llm.common import crc_of_id
+from peakfield.llm.common import crc_of_id, written
 
 SYLLABLES = {"en": "th er on an re he in ed nd ha at en es of or nt ea ti to it".split(), "fr": "qu ou ai en le de re nt on eau eux que ment tion la es é è".split(), "de": "en er ch de ei un nd ie in ge sch auf das der und ich".split()}
 
@@ -213,80 +215,122 @@ def test_scores_of_nothing(frame):
     assert len(r) == 1 and r[0].base_score == 0 and math.isfinite(r[0].score)
 
 
-def plain_spots(text):
+ANCHORS = ["and", "of", "the"]
+
+
+def plain_anchors(rows, share=0.1):
+    n = Counter(w for _, t in rows for w in {w for w in re.split(r"[\W_]+", (t or "").lower()) if w})
+    return [w for w, k in n.items() if k >= share * len(rows) and k > 1]
+
+
+def plain_spots(text, anchors=ANCHORS):
+    """The chains as tuples of words, by a walk."""
     words = [w for w in re.split(r"[\W_]+", (text or "").lower()) if w]
-    anchors = set(spotsigs.ANCHORS)
-    spots = [(w, b) for w, b in zip(words, ["the", *words], strict=False) if w not in anchors]
-    chains = {(b, w, spots[k + 1][0] if k + 1 < len(spots) else "") for k, (w, b) in enumerate(spots) if b in anchors}
-    return chains or ({" ".join(words)} if words else set())
+    at = [k for k, w in enumerate(words) if w not in anchors]
+    every = [(words[k - 1] if k else "", words[k], words[at[i + 1]] if i + 1 < len(at) else "") for i, k in enumerate(at)]
+    starts = [i for i, c in enumerate(every) if c[0] == "" or c[0] in anchors]
+    if not every:
+        return {(" ".join(words),)} if words else set()
+    if len(every) <= 8 or 8 * len(starts) < len(every):
+        return set(every)
+    chains = {every[i] for i in starts}
+    for i, j in zip(starts, [*starts[1:], len(every)], strict=True):
+        if j - i >= 32:
+            chains |= set(every[i:j])
+    return chains
+
+
+def plain_print(chains):
+    out = set()
+    for chain in chains:
+        h = 42
+        for word in chain:
+            h = xxhash.xxh64_intdigest(word.encode(), h)
+        out.add(h & 0xFFFFFFFF)
+    return "".join(f"{x:08x}" for x in sorted(out))
 
 
 def jaccard(a, b):
     return 1.0 if not a and not b else len(a & b) / len(a | b)
 
 
-def test_spots_and_neighbours(spark, frame, odd_rows, tmp_path):
-    docs = frame(odd_rows)
-    docs.write.parquet(f"{tmp_path}/documents.parquet")
-    order = sorted(odd_rows, reverse=True)
+def plain_groups(sets, similarity=0.8):
+    comp = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b] and jaccard(sets[a], sets[b]) >= similarity and comp[a] != comp[b]:
+                old, new = max(comp[a], comp[b]), min(comp[a], comp[b])
+                comp = {i: new if c == old else c for i, c in comp.items()}
+    return comp
+
+
+def test_fingerprints_edits_and_likenesses(spark, frame, odd_rows, tmp_path):
+    rows = odd_rows + [(9000 + i, " ".join(f"слово{i * 3 + k}" for k in range(n))) for i, n in enumerate((2, 7, 9, 40))]
+    frame(rows).selectExpr("*", "1 AS fp", "2 AS need", "3 AS head", "4 AS n_chars2", "5 AS component_id").write.parquet(f"{tmp_path}/documents.parquet")
+    anchors, order = plain_anchors(rows), sorted(rows, reverse=True)
+    assert 5 < len(anchors) < 40
     got = {r.doc_id: r for r in spotsigs.op9_spotsigs(spark, str(tmp_path)).collect()}
-    assert len(got) == len(odd_rows)
+    assert len(got) == len(rows)
+    comp = plain_groups({i: plain_spots(t, anchors) for i, t in rows})
     for k, (i, t) in enumerate(order):
         t, following = t or "", order[(k + 1) % len(order)][1] or ""
         edited = t[: len(t) - len(t) // 3] + following[: len(t) // 3]
-        assert got[i].n_chars == len(t)
-        assert got[i].near_edited == pytest.approx(jaccard(plain_spots(t), plain_spots(edited)))
-        assert got[i].near_next == pytest.approx(jaccard(plain_spots(t), plain_spots(following)))
-        assert len(got[i].fingerprint) == 8 * len(plain_spots(t))
+        mine, other, later = (plain_spots(x, anchors) for x in (t, edited, following))
+        assert got[i].n_chars == len(t) and got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (plain_print(mine), plain_print(other))
+        assert got[i].near_edited == pytest.approx(jaccard(mine, other)) and got[i].near_next == pytest.approx(jaccard(mine, later))
+        assert got[i].component_id == comp[i]
 
 
-def test_texts_without_anchors_are_signed_in_every_part(frame):
+def test_texts_without_anchors_are_signed_in_every_part(spark, frame):
     word = lambda i: f"слово{i}"
     base = [word(i) for i in range(90)]
     texts = {
         0: base, 1: base[:60] + [word(900 + i) for i in range(30)], 2: base[:2] + [word(500 + i) for i in range(88)],  # the last third, and all but the opening
+        3: base[:2] + ["a"], 4: base[:2] + ["b", "c"],  # short texts with the same opening
         5: ["the", "house", "of", "cards"] * 20 + base[:40], 6: ["the", "house", "of", "cards"] * 20 + base[:2] + base[50:88],  # a long part without anchors
         7: ["the", *base], 8: base[:89] + ["x"],
     }
-    got = {r.doc_id: set(r.fp) for r in spotsigs.fingerprinted(frame([(i, " ".join(t)) for i, t in texts.items()])).collect()}
+    docs = lambda ids: frame([(i, " ".join(texts[i])) for i in ids])
+    got = {r.doc_id: set(r.fp) for r in spotsigs.fingerprinted(docs(texts), ANCHORS).collect()}
     assert len(got[0]) == 90
     assert jaccard(got[0], got[1]) == pytest.approx(59 / 121)
     assert jaccard(got[0], got[2]) < 0.05
+    assert len(got[3]) == 3 and jaccard(got[3], got[4]) < 0.5
     assert len(got[5]) > 40 and jaccard(got[5], got[6]) < 0.1
     assert jaccard(got[0], got[7]) > 0.95 and jaccard(got[0], got[8]) > 0.95
-    same = {r.doc_id: r.component_id for r in spotsigs.similar(frame([(i, " ".join(texts[i])) for i in (0, 1, 2, 8)])).collect()}
-    assert same == {0: 0, 1: 1, 2: 2, 8: 0}
+    spots = written(spotsigs.fingerprinted(docs((0, 1, 2, 8)), ANCHORS), "spots")
+    assert {r.doc_id: r.component_id for r in spotsigs.similar(spots).collect()} == {0: 0, 1: 1, 2: 2, 8: 0}
 
 
-@pytest.mark.parametrize(("per_bucket", "most"), [(1, 256), (3, 256), (5, 2), (1000, 256)])
-def test_next_documents(frame, per_bucket, most):
-    ids = [10**15, -7, *range(0, 40, 3), *range(10**6, 10**6 + 20)]
-    rows = [(i, f"t{i}") for i in ids]
-    got = {r.doc_id: r.next_text for r in spotsigs.with_next(frame(rows).select("doc_id", "text"), per_bucket, most).collect()}
+@pytest.mark.parametrize("ids", [[10**15, -7, *range(0, 40, 3), *range(10**6, 10**6 + 20)], [5], [1, 2]])
+def test_next_documents(frame, ids):
+    got = {r.doc_id: r.next_id for r in spotsigs.with_next_id(frame([(i, "") for i in ids]).select("doc_id")).collect()}
     order = sorted(ids, reverse=True)
-    assert got == {i: f"t{order[(k + 1) % len(order)]}" for k, i in enumerate(order)}
+    assert got == {i: order[(k + 1) % len(order)] for k, i in enumerate(order)}
 
 
-def test_similar_equals_brute_force(frame):
+@pytest.mark.parametrize("most", [0, 30])
+def test_similar_equals_brute_force(spark, frame, monkeypatch, most):
+    """Whichever signatures come last."""
     rnd = random.Random(4)
-    rows, base = [], [" ".join(rnd.choice(["the", "of", "and"]) + f" w{rnd.randrange(400)}" for _ in range(50)) for _ in range(25)]
-    for text in base:
+    monkeypatch.setattr(spotsigs.frequent_signatures, "__defaults__", (most or 1,))
+    rows, base = [], [" ".join(rnd.choice(ANCHORS) + f" w{rnd.randrange(400)}" for _ in range(50)) for _ in range(25)]
+    shared = " ".join(f"the p{k}" for k in range(30))
+    for n, text in enumerate(base):
         for _ in range(rnd.randrange(1, 6)):
             words = text.split()
             for _ in range(rnd.randrange(4)):
                 words[rnd.randrange(len(words))] = f"x{rnd.randrange(1000)}"
-            rows.append((len(rows), " ".join(words)))
-    sets = {i: plain_spots(t) for i, t in rows}
-    comp = {i: i for i in sets}
-    for a in sets:
-        for b in sets:
-            if a < b and jaccard(sets[a], sets[b]) >= 0.8 and comp[a] != comp[b]:
-                old, new = max(comp[a], comp[b]), min(comp[a], comp[b])
-                comp = {i: new if c == old else c for i, c in comp.items()}
-    assert {r.doc_id: r.component_id for r in spotsigs.similar(frame(rows)).collect()} == comp
+            rows.append((len(rows), " ".join(words) + (f" {shared}" if n % 2 else "")))
+    rows += [(1000, None), (1001, " ")]
+    spots = written(spotsigs.fingerprinted(frame(rows), ANCHORS), "spots")
+    comp = plain_groups({i: plain_spots(t) for i, t in rows})
+    assert {r.doc_id: r.component_id for r in spotsigs.similar(spots).collect()} == {i: c for i, c in comp.items() if i < 1000}
 
 
 def test_spots_of_nothing(spark, frame, tmp_path):
     frame([]).write.parquet(f"{tmp_path}/documents.parquet")
     assert spotsigs.op9_spotsigs(spark, str(tmp_path)).count() == 0
-    assert spotsigs.similar(frame([(1, None), (None, "x")])).count() == 0
+    frame([(1, None), (None, "x"), (7, "a"), (7, "b")]).write.parquet(f"{tmp_path}/odd/documents.parquet")
+    assert sorted(r.doc_id for r in spotsigs.op9_spotsigs(spark, f"{tmp_path}/odd").collect()) == [1, 7]
