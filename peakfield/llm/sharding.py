@@ -3,29 +3,37 @@
 Documents are linked if their texts are equal. A group of equal texts is a clique, so what a document
 sees of its neighbours is how many of its group lie in each shard: one aggregation stands for all
 its edges, and no edge is written out. In each round documents ask to move to the shard that most of
-their group is in; between two shards as many may go one way as go the other, plus what the target
-has to spare, and a hash of the group decides who. A last pass moves just enough documents, those
-without neighbours first, to make the sizes even.
+their group is in; a shard admits as many as leave it, plus what it has to spare up to a quota a
+little over its even share, and a hash of the group decides who, drawn anew in each round. Rounds go on until one
+lowers the number of cut edges by less than ``LEAST_FALL`` of it, however many that takes. A last pass
+moves just enough documents, those without neighbours first, to make the sizes even.
 
 Law ``rows``: shards hold the same number of documents, give or take one. A group that no shard can
-hold is split by a hash into pieces of about half a shard. Such pieces, and groups of over an eighth
-of a shard, are a bounded number of rows; they are dealt to the emptiest shards, and each stays whole
-as far as the sizes allow.
+hold is cut by a hash into pieces that fill a shard each, and one for the rest. Such pieces, and groups
+of over an eighth of a shard, are a bounded number; they are dealt whole, the largest first to the
+emptiest shard, so a group begins a shard only after it has filled another, which cuts the fewest of
+its edges. There they stay: all that they could ask for is where they are, or full of their own.
 
 Nulls: a null text is an empty one, of size 1; rows without a doc_id are left out. Repeated rows are
-linked like any equal texts, and each is placed. An empty table gives an empty result.
+linked like any equal texts, and each is placed. Texts of any length count by their bytes. Ties between
+shards go by a hash of the group. Extra columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peakfield.llm.common import documents, hashed_buckets, named, running, written
 
-SHARDS, ROUNDS = 16, 3
+SHARDS = 16
+#: The part of the cut edges that a round has to mend for another one to follow.
+LEAST_FALL = 0.01
+#: How far a shard may be over its even share until the last pass.
+SLACK = 0.05
 
 
 def _pick(values: list, index: Column) -> Column:
@@ -39,25 +47,33 @@ def _counts(nodes: DataFrame, shards: int) -> list[int]:
 
 
 def linked(docs: DataFrame, shards: int) -> DataFrame:
-    """(doc_id, size, text_crc32, team, large): a team is a group of equal texts, or a piece of one that no shard can hold."""
+    """(doc_id, size, text_crc32, team, large): a team is a group of equal texts, or a piece of one that no shard can hold.
+
+    There are no more than eight groups for each shard that have over an eighth of a shard; these are broadcast, so
+    that no task has to meet a whole one.
+    """
     text = F.col("text").cast("binary")
     nodes = named(docs).select("doc_id", (F.octet_length("text") + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("digest"))
     nodes = written(nodes, "nodes")
     most = max(1, nodes.count() // shards)
-    groups = nodes.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
-    nodes = nodes.join(groups, "digest", "left")
-    parts = F.ceil(F.col("n") / most) * 2
-    piece = F.when(F.col("n") > most, F.pmod(F.xxhash64("doc_id"), parts)).otherwise(0)
-    team = F.when(F.col("n") > 1, F.xxhash64("digest", piece)).otherwise(F.lit(None))
-    return nodes.select("doc_id", "size", "text_crc32", team.alias("team"), F.coalesce(F.col("n") * 8 > most, F.lit(False)).alias("large"))
+    groups = written(nodes.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1"), "groups")
+    large = groups.where(F.col("n") * 8 > most).select(F.col("digest").alias("_large"), F.col("n").alias("n_large"))
+    small = groups.where(F.col("n") * 8 <= most).select(F.col("digest").alias("_small"), F.col("n").alias("n_small"))
+    nodes = nodes.join(F.broadcast(large), F.col("digest") == F.col("_large"), "left")
+    key = F.when(F.col("n_large").isNull(), F.col("digest")).otherwise(F.col("doc_id").cast("string").cast("binary"))
+    nodes = nodes.withColumn("_key", key).join(small, F.col("_key") == F.col("_small"), "left")
+    piece = F.when(F.col("n_large") > most, F.floor(F.pmod(F.xxhash64(F.lit("piece"), "doc_id"), F.lit(1 << 30)) / (1 << 30) * F.col("n_large") / most)).otherwise(0)
+    team = F.when(F.coalesce("n_large", "n_small").isNotNull(), F.xxhash64("digest", piece))
+    return nodes.select("doc_id", "size", "text_crc32", team.alias("team"), F.col("n_large").isNotNull().alias("large"))
 
 
 def seeded(nodes: DataFrame, shards: int) -> DataFrame:
-    """Adds ``shard``: by a hash of the doc_id; pieces of large groups whole, the largest first to the emptiest shard.
+    """Adds ``shard``: pieces of large groups whole, the largest first to the emptiest shard, then all others by a hash of the doc_id over what is free.
 
-    A large team has over an eighth of a shard, or is one of the pieces, about half a shard each, of
-    a group; so there are about eight for each shard at most, and the driver can deal them.
+    A large team has over an eighth of a shard, or is one of the pieces of a group, of which all but one fill a
+    shard; so there are about nine for each shard at most, and the driver can deal them.
     """
+    nodes = written(nodes, "linked")
     pieces = nodes.where("large").groupBy("team").agg(F.count("*").alias("n")).collect()
     load = [(0, s) for s in range(shards)]
     chosen = []
@@ -65,38 +81,69 @@ def seeded(nodes: DataFrame, shards: int) -> DataFrame:
         n, s = heapq.heappop(load)
         heapq.heappush(load, (n + row["n"], s))
         chosen.append((row["team"], s))
-    by_hash = F.pmod(F.xxhash64(F.lit("seed"), "doc_id"), F.lit(shards))
+    even = nodes.count() / shards
+    free = [max(0.0, even - n) + 1e-9 for n, _ in sorted(load, key=lambda x: x[1])]
+    luck, by_hash = F.pmod(F.xxhash64(F.lit("seed"), "doc_id"), F.lit(1 << 30)) / (1 << 30) * sum(free), F.lit(shards - 1)
+    for s in reversed(range(shards - 1)):
+        by_hash = F.when(luck < sum(free[: s + 1]), s).otherwise(by_hash)
     if not chosen:
         return nodes.withColumn("shard", by_hash.cast("int"))
     table = F.create_map(*(F.lit(x) for pair in chosen for x in pair))
     return nodes.withColumn("shard", F.when(F.col("large"), F.try_element_at(table, F.col("team"))).otherwise(by_hash).cast("int"))
 
 
-def asked(nodes: DataFrame) -> DataFrame:
-    """Adds ``wish``: the shard where most of the document's team is; of equal ones the same for the whole team."""
+def asked(nodes: DataFrame, turn: int) -> DataFrame:
+    """Adds ``wish``: the shard where most of the document's team is; of equal ones the same for the whole team, another draw each turn."""
+    moving = F.col("team").isNotNull() & ~F.col("large")
+    seats = nodes.where(moving).groupBy("team", "shard").agg(F.count("*").alias("n"))
+    wishes = seats.groupBy(F.col("team").alias("_key")).agg(F.max_by("shard", F.struct("n", F.xxhash64(F.lit(turn), "shard", "team"))).alias("wish"))
+    # documents that ask for nothing get a key of their own, as nulls, and large teams, would all meet in one task
+    keyed = nodes.withColumn("_key", F.when(moving, F.col("team")).otherwise(F.xxhash64(F.lit("alone"), "doc_id"))).join(wishes, "_key", "left")
+    return keyed.withColumn("wish", F.coalesce(F.when(moving, F.col("wish")), "shard")).drop("_key")
+
+
+def cut_of(nodes: DataFrame) -> int:
+    """Pairs of a team in different shards, of the teams that move."""
     seats = nodes.where("team IS NOT NULL AND NOT large").groupBy("team", "shard").agg(F.count("*").alias("n"))
-    wishes = seats.groupBy(F.col("team").alias("_key")).agg(F.max_by("shard", F.struct("n", F.xxhash64("team", "shard"))).alias("wish"))
-    # documents without a team get a key of their own, as nulls would all meet in one task
-    keyed = nodes.withColumn("_key", F.coalesce("team", F.xxhash64(F.lit("alone"), "doc_id"))).join(wishes, "_key", "left")
-    return keyed.withColumn("wish", F.coalesce(F.when(F.col("team").isNotNull(), F.col("wish")), "shard")).drop("_key")
+    teams = seats.groupBy("team").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"))
+    return int(teams.agg(F.sum((F.col("n") * F.col("n") - F.col("squares")).cast("decimal(38,0)"))).first()[0] or 0) // 2
 
 
-def propagate(nodes: DataFrame, shards: int) -> DataFrame:
-    """One round: moves between two shards are admitted up to what comes the other way and what is spare."""
-    moves = written(asked(nodes), "round")
+def quotas(flow: dict[tuple[int, int], int], load: list[int], room: float) -> list[float]:
+    """For each shard the share of those who ask for it that may come: as many as leave it, and what it has up to ``room``.
+
+    Those who leave are themselves let in elsewhere by a share, so the shares start at one and sink until they agree.
+    """
+    shards = range(len(load))
+    asks = [sum(n for (_, t), n in flow.items() if t == s) for s in shards]
+    share = [1.0] * len(load)
+    while True:
+        leave = [sum(n * share[t] for (s, t), n in flow.items() if s == shard) for shard in shards]
+        lower = [min(share[t], max(0.0, leave[t] + room - load[t]) / asks[t]) if asks[t] else 1.0 for t in shards]
+        if max(a - b for a, b in zip(share, lower, strict=True)) < 1e-3:
+            return lower
+        share = lower
+
+
+def admitted(moves: DataFrame, shards: int, turn: int) -> DataFrame:
+    """The wishes that come true in a round, by a hash of the group under the shards' quotas."""
     flow = {(r["shard"], r["wish"]): r["n"] for r in moves.where("wish != shard").groupBy("shard", "wish").agg(F.count("*").alias("n")).collect()}  # shards x shards
     load = _counts(moves, shards)
-    even = sum(load) / shards
-    asks = [sum(n for (_, t), n in flow.items() if t == s) for s in range(shards)]
-    share = []
-    for s in range(shards):
-        for t in range(shards):
-            n = flow.get((s, t), 0)
-            spare = max(0.0, even - load[t]) * n / max(1, asks[t])
-            share.append(min(1.0, (flow.get((t, s), 0) + spare) / n) if n else 0.0)
-    luck = F.pmod(F.xxhash64(F.lit("luck"), "team", "shard"), F.lit(1 << 20)) / (1 << 20)
-    admitted = (F.col("wish") != F.col("shard")) & (luck < _pick(share, F.col("shard") * shards + F.col("wish")))
-    return moves.withColumn("shard", F.when(admitted, F.col("wish")).otherwise(F.col("shard"))).drop("wish")
+    share = quotas(flow, load, sum(load) / shards * (1 + SLACK))
+    luck = F.pmod(F.xxhash64(F.lit(turn), "team", "shard"), F.lit(1 << 20)) / (1 << 20)
+    goes = (F.col("wish") != F.col("shard")) & (luck < _pick(share, F.col("wish")))
+    return moves.withColumn("shard", F.when(goes, F.col("wish")).otherwise(F.col("shard"))).drop("wish")
+
+
+def propagated(nodes: DataFrame, shards: int, least_fall: float = LEAST_FALL) -> DataFrame:
+    """Rounds of propagation until the cut stops falling; each is written, so lineage stays one round long."""
+    cut, turn = math.inf, 0
+    while True:
+        moves = written(asked(nodes, turn), "round")
+        before, cut = cut, cut_of(moves)
+        if not cut or cut > before * (1 - least_fall):
+            return moves.drop("wish")
+        nodes, turn = admitted(moves, shards, turn), turn + 1
 
 
 def evened(nodes: DataFrame, shards: int) -> DataFrame:
@@ -125,13 +172,10 @@ def evened(nodes: DataFrame, shards: int) -> DataFrame:
     return ranked.withColumn("shard", F.when(F.col("place") < _pick(over, F.col("shard")), target).otherwise(F.col("shard")).cast("int")).drop("place")
 
 
-def shards_of(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def shards_of(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot): slot counts from 0 within the shard, without gaps."""
-    nodes = seeded(linked(docs, shards), shards)
-    for _ in range(rounds):
-        nodes = propagate(nodes, shards)
-    nodes = asked(nodes).withColumn("shard", F.col("wish")).drop("wish")  # teams that are still apart join up; the next step evens the sizes
-    nodes = written(evened(written(nodes, "united"), shards), "evened")
+    nodes = propagated(seeded(linked(docs, shards), shards), shards)
+    nodes = written(evened(nodes, shards), "evened")
     n_buckets = hashed_buckets(-(-nodes.count() // shards))
     keyed = nodes.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(n_buckets)))
     slots = running(keyed, ["shard"], "bucket", ["doc_id", "size", "text_crc32"], F.lit(1), "slot")
