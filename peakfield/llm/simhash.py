@@ -8,7 +8,9 @@ count, in tasks that Spark deals out. A task returns the links of a spanning for
 found, never all pairs of a group.
 
 Nulls: a null text counts as empty (fingerprint zero, linked like any other); rows without a doc_id
-are left out. Repeated rows each get their row in the result. An empty table gives an empty result.
+are left out. Repeated rows each get their row in the result. Texts of any length are hashed whole, in one
+pass. Ties: a bit set in exactly half of the hashes is 0; of equal fingerprints the smallest doc_id stands for
+all. Extra columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from peakfield.llm.components import connected_components
 SEED = 42
 #: Near copies: sets of so many shingles at most are candidates within this wider radius.
 FEW, FEW_RADIUS = 40, 48
+#: Tiles of a cell that one key of the join holds.
+BESIDE = 16
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -173,17 +177,19 @@ def count_cells(blocks: int, radius: int) -> tuple[Column, list[int]]:
 def tile_pairs(prints: DataFrame, cell: Column, steps: list[int], per_tile: int) -> DataFrame:
     """prints: (doc_id, fp, size) -> (pair, same, tile_a, tile_b): the pairs of tiles to compare.
 
-    A cell with more than ``per_tile`` fingerprints is dealt into several tiles by a hash, so a hot
-    cell spreads over many tasks. The table of cells has a bounded number of rows (as many as there
-    are block counts) and is broadcast.
+    A cell with more than ``per_tile`` fingerprints is dealt into several tiles by a hash, and ``BESIDE`` tiles at most
+    have the same key in the join, so a hot cell spreads over many tasks. The table of cells has a bounded number of rows
+    (as many as there are block counts) and is broadcast.
     """
     prints = prints.withColumn("cell", cell)
     cells = prints.groupBy("cell").agg(F.ceil(F.count("*") / per_tile).alias("parts"))
     tiles = prints.join(F.broadcast(cells), "cell").withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts"))
     tiles = written(tiles.groupBy("cell", "part").agg(F.collect_list(F.struct("doc_id", "fp", "size")).alias("tile")), "tiles")
+    keys = tiles.select(F.col("cell").alias("other"), F.floor(F.col("part") / BESIDE).alias("beside")).distinct()  # a few for each cell
     left = tiles.select("cell", "part", F.col("tile").alias("tile_a"), F.explode(F.array(*(F.col("cell") + s for s in steps))).alias("other"))
-    right = tiles.select(F.col("cell").alias("other"), F.col("part").alias("part_b"), F.col("tile").alias("tile_b"))
-    pairs = left.join(right, "other").where("other > cell OR part_b >= part")
+    left = left.join(F.broadcast(keys.groupBy("other").agg(F.collect_list("beside").alias("_beside"))), "other").withColumn("beside", F.explode("_beside")).drop("_beside")
+    right = tiles.select(F.col("cell").alias("other"), F.floor(F.col("part") / BESIDE).alias("beside"), F.col("part").alias("part_b"), F.col("tile").alias("tile_b"))
+    pairs = left.join(right, ["other", "beside"]).where("other > cell OR part_b >= part")
     return pairs.select(F.xxhash64("cell", "part", "other", "part_b").alias("pair"), F.expr("other = cell AND part = part_b").alias("same"), "tile_a", "tile_b")
 
 
