@@ -71,6 +71,21 @@ def hashed_buckets(n_rows: int, per_bucket: int = 20_000) -> int:
     return max(1, -(-n_rows // per_bucket))
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """rows: (doc_id, keys, ...), groups: a written table of (keys, n, ...) -> rows with the columns of their group, or nulls.
+
+    Groups of over a thousandth of all rows that have one, of which there are fewer than a thousand, are broadcast, and
+    their rows get keys of their own, so that no task meets a whole hot group.
+    """
+    more = [c for c in groups.columns if c not in keys]
+    hot = F.col(n) * 1000 > groups.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    large = groups.where(hot).select(*keys, F.struct(*more).alias("_large"))
+    small = groups.where(~hot).select(*keys, F.lit(0).cast("long").alias("_own"), F.struct(*more).alias("_small"))
+    joined = rows.join(F.broadcast(large), keys, "left").withColumn("_own", F.when(F.col("_large").isNull(), F.lit(0)).otherwise(F.xxhash64("doc_id")))
+    joined = joined.join(small, [*keys, "_own"], "left").withColumn("_group", F.coalesce("_large", "_small"))
+    return joined.select(*rows.columns, *(F.col("_group")[c].alias(c) for c in more))
+
+
 def running(df: DataFrame, keys: list[str], bucket: str, order: list[str], value: Column, out: str) -> DataFrame:
     """``out``: the sum of ``value`` over the rows of the same ``keys`` that come before, in (bucket, order).
 

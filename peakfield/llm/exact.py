@@ -22,13 +22,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peakfield.llm.common import SPACES, bounded_batches, documents, named, one_row_per_id, written
+from peakfield.llm.common import SPACES, bounded_batches, documents, join_groups, named, one_row_per_id, written
 
 #: Two primes below 2^31, and a base: powers times bytes, summed over a block, stay below 2^63.
 PRIMES, BASE = (2_147_483_647, 2_147_483_629), 1_000_003
 #: Code points in a chunk of a huge document.
 CHUNK = 1 << 15
 BLOCK = 1 << 12
+#: Members of a group for each copy of the text that they are compared with.
+MEMBERS = 2000
 
 
 def powers(prime: int, n: int = BLOCK) -> np.ndarray:
@@ -109,22 +111,26 @@ def duplicates(docs: DataFrame, primes: tuple[int, int] = PRIMES, chunk: int = C
     """(doc_id, keep_id, group_size, kept, text_sha256), one row for each document.
 
     Only documents whose fingerprint occurs again send their text anywhere: to meet, chunk by chunk,
-    the text of the smallest doc_id with the fingerprint. That one has a row for each chunk, so a hot
-    group is a skewed join, which Spark splits. Documents that differ from it, should a collision
+    the text of the smallest doc_id with the fingerprint. That one has a row for each chunk and each
+    ``MEMBERS`` of its group, over which members are dealt by a hash. Documents that differ from it, should a collision
     ever occur, form groups of their own by SHA-256.
     """
     docs = one_row_per_id(docs)
     prints = written(fingerprints(docs, primes, chunk), "prints")
-    again = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("times")).where("times > 1").drop("times")
-    members = written(prints.join(again, "fp").select("doc_id", "first_id"), "members")
-    texts = named(docs).join(members, "doc_id").select("doc_id", "first_id", F.posexplode(chunks(normalised(F.col("text")), chunk)).alias("part", "piece"))
-    firsts = texts.where("doc_id = first_id").select("first_id", "part", F.col("piece").alias("first_piece"))
-    same = texts.where("doc_id != first_id").join(firsts, ["first_id", "part"], "left")
+    again = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("times")).where("times > 1"), "again")
+    members = join_groups(prints.select("doc_id", "fp"), again, ["fp"], "times").where("times IS NOT NULL")
+    members = written(members.select("doc_id", "first_id", F.ceil(F.col("times") / MEMBERS).alias("lots")), "members")
+    texts = named(docs).join(members, "doc_id").select("doc_id", "first_id", "lots", F.posexplode(chunks(normalised(F.col("text")), chunk)).alias("part", "piece"))
+    firsts = texts.where("doc_id = first_id").select("first_id", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1)).alias("lot"), F.col("piece").alias("first_piece"))
+    others = texts.where("doc_id != first_id").withColumn("lot", F.pmod(F.xxhash64("doc_id"), "lots"))
+    same = others.join(firsts, ["first_id", "part", "lot"], "left")
     differs = same.where(~F.col("piece").eqNullSafe(F.col("first_piece"))).select("doc_id").distinct()
     keyed = prints.join(differs.withColumn("differs", F.lit(True)), "doc_id", "left").withColumn("other", F.when(F.col("differs"), F.col("text_sha256")).otherwise(""))
+    keyed = written(keyed.select("doc_id", "n_chars", "text_sha256", "fp", "other"), "keyed")
     groups = keyed.groupBy("fp", "other").agg(F.max_by("doc_id", F.struct("n_chars", -F.col("doc_id"))).alias("keep_id"), F.count("*").alias("group_size"))
-    joined = keyed.join(groups, ["fp", "other"])
-    return joined.select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256")
+    joined = join_groups(keyed, written(groups.where("group_size > 1"), "groups"), ["fp", "other"], "group_size")
+    keep_id = F.coalesce("keep_id", "doc_id")
+    return joined.select("doc_id", keep_id.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), (F.col("doc_id") == keep_id).alias("kept"), "text_sha256")
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
