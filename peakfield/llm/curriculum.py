@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from peakfield.llm.common import WORD, documents, named, one_row_per_id, running, written
+from peakfield.llm.common import WORD, apart, documents, named, one_row_per_id, running, written
 
 #: Fixed by the contract: weights that sources take in turn, and how often a document may be used.
 WEIGHTS, MOST = (1, 2, 3), 3
@@ -103,9 +103,9 @@ def mixture(docs: DataFrame) -> DataFrame:
     """
     docs = one_row_per_id(docs)
     rows = mixed(written(measured(docs), "sizes"))
-    uses = curriculum(rows).select(F.col("doc_id").alias("_id"), F.col("position").alias("_position"), F.col("copy").alias("_copy"))
-    joined = docs.join(uses, F.col("doc_id") == F.col("_id"))
-    return joined.repartitionByRange("_position", "_id", "_copy").sortWithinPartitions("_position", "_id", "_copy").select(*(F.col(f"`{c}`") for c in docs.columns))
+    uses = curriculum(rows).select(F.col("doc_id").alias("_id"), "position", "copy")
+    joined = apart(docs).join(uses, F.col("_row.doc_id").cast("long") == F.col("_id"))
+    return joined.repartitionByRange("position", "_id", "copy").sortWithinPartitions("position", "_id", "copy").select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
 
 
 def op5_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
