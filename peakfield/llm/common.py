@@ -7,6 +7,8 @@ it names, so further columns, whatever they are called, never clash with its own
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -66,6 +68,15 @@ def drop_written(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Has the driver collect garbage, upon which Spark deletes the shuffle files of steps that no table in use goes back to.
+
+    By itself it does so every half hour, by when a job of many steps has filled the executors' disks.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def hashed_buckets(n_rows: int, per_bucket: int = 20_000) -> int:
     """How many hash buckets hold about ``per_bucket`` of ``n_rows`` rows each."""
     return max(1, -(-n_rows // per_bucket))

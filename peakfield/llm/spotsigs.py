@@ -11,7 +11,9 @@ a text is signed. A text of anchors alone has one signature, of the whole.
 
 For joins, fingerprints are partitioned by set length: sets that are similar enough have lengths
 within a fixed ratio, so only equal and neighbouring partitions meet, and there only sets that share
-one of the few signatures, rare ones first, that similar sets must share.
+one of the few signatures, rare ones first, that similar sets must share. A pair is pruned without a look at its
+sets if they share too few of those signatures, or if the parities of all their signatures under some hash bits
+differ in more bits than similar sets of these lengths differ in signatures. Neither loses a pair.
 
 Nulls: a null text is an empty one; without a word there is no signature, and two empty fingerprints
 are alike by 1, an empty and another by 0. Rows without a doc_id are left out; of rows that share a
@@ -26,7 +28,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from peakfield.llm.common import documents, named, one_row_per_id, written
+from peakfield.llm.common import documents, drop_written, join_groups, named, one_row_per_id, release, written
 from peakfield.llm.components import connected_components
 
 #: The share of documents from which a word is an anchor. So there are at most 1 / ANCHOR_SHARE times as many anchors as a text has different words on average.
@@ -35,6 +37,8 @@ ANCHOR_SHARE = 0.1
 SPARSE, STRETCH = 8, 32
 #: Signatures that joins try last: this many of the most frequent ones.
 FREQUENT = 2000
+#: Longs of parity bits for every set, and for those of pairs that the first do not rule out.
+WORDS, MORE_WORDS = 4, 32
 
 
 def words_of(text: Column) -> Column:
@@ -124,6 +128,40 @@ def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return joined.where(F.when(fits, likeness(F.col("fp_a"), F.col("fp_b"))).otherwise(0.0) >= similarity - 1e-9).select("a", "b")
 
 
+def unlike(a: Column, b: Column, similarity: float) -> Column:
+    """How many signatures at most are in only one of two sets, of sizes ``a`` and ``b``, that are that similar."""
+    t = similarity - 1e-9
+    return (a + b) * ((1 - t) / (1 + t))
+
+
+def marked(sets: DataFrame, words: int) -> DataFrame:
+    """(doc_id, size, bits0, ...), for each set 64 * ``words`` bits: whether an odd number of its signatures hash there.
+
+    A signature that is in only one of two sets changes one bit.
+    """
+    rows = sets.select("doc_id", F.size("fp").alias("size"), F.explode("fp").alias("x"))
+    bit = F.expr(f"shiftleft(1L, (x DIV {words}) & 63)")
+    return rows.groupBy("doc_id", "size").agg(*(F.bit_xor(F.when(F.pmod("x", F.lit(words)) == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"bits{k}") for k in range(words)))
+
+
+def possible(pairs: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) that their sizes and parities, the table ``marks``, do not rule out."""
+    words = len(marks.columns) - 2
+    left, right = (marks.select(*(F.col(c).alias(f"{c}_{k}") for c in marks.columns)) for k in "ab")
+    joined = pairs.join(left, F.col("a") == F.col("doc_id_a")).join(right, F.col("b") == F.col("doc_id_b"))
+    bits = sum((F.bit_count(F.col(f"bits{k}_a").bitwiseXOR(F.col(f"bits{k}_b"))) for k in range(words)), F.lit(0))
+    differ = F.greatest(bits, F.abs(F.col("size_a") - F.col("size_b")))
+    return joined.where(differ <= unlike(F.col("size_a"), F.col("size_b"), similarity) + 1e-6).select("a", "b")
+
+
+def links(pairs: DataFrame, marks: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) that are that similar. ``marks``, of few bits, rule out most; for what is left, often of long sets, more bits are counted."""
+    pairs = written(possible(pairs, marks, similarity), "possible")
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+    few = written(sets.join(ids, "doc_id", "left_semi"), "few")
+    return alike(possible(pairs, marked(few, MORE_WORDS), similarity), few, similarity)
+
+
 def frequent_signatures(sets: DataFrame, most: int = FREQUENT) -> list[int]:
     """About the ``most`` most frequent signatures that stand in more than one set in a thousand, by a sketch over all sets.
 
@@ -137,7 +175,7 @@ def frequent_signatures(sets: DataFrame, most: int = FREQUENT) -> list[int]:
 
 
 def similar(spots: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """spots: a written table (doc_id, fp) -> (doc_id, component_id) by links between sets of at least ``similarity``.
+    """spots: a written table (doc_id, fp) -> a written table (doc_id, component_id) by links between sets of at least ``similarity``.
 
     A row for each text with a word. Equal fingerprints count once. Sets of that similarity share one of their first
     size - ceil(similarity * size) + 1 signatures, in any order that is the same for all; here the most frequent ones
@@ -146,27 +184,40 @@ def similar(spots: DataFrame, similarity: float = 0.8) -> DataFrame:
     joins up hot groups of copies with a link for each; then pairs from different groups are.
     """
     sets = spots.where("size(fp) > 0").select("doc_id", "fp")
-    distinct = written(sets.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "distinct")
+    # equal sets have equal 128-bit keys, and different ones for all practical purposes different ones
+    named_by = sets.select("doc_id", F.xxhash64("fp").alias("key"), F.xxhash64(F.lit("second"), "fp").alias("key2"))
+    firsts = written(named_by.groupBy("key", "key2").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("times")), "firsts")
+    distinct = written(sets.join(firsts.select(F.col("first_id").alias("doc_id")), "doc_id", "left_semi"), "distinct")
     size, last = F.size("fp"), frequent_signatures(distinct)
     order = F.concat(F.filter("fp", lambda x: ~x.isin(last)), F.filter("fp", lambda x: x.isin(last))) if last else F.col("fp")
-    prefix = F.slice(order, F.lit(1), (size - F.ceil(size * similarity - 1e-9) + 1).cast("int"))
+    behind = lambda n: F.ceil(n * similarity - 1e-9) - 1  # noqa: E731  (signatures behind the prefix)
     part = F.floor(F.log(size) / -math.log(similarity)).cast("int")
-    keyed = distinct.select("doc_id", part.alias("part"), F.explode(prefix).alias("sig"))
-    shared = keyed.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1").select("sig")
-    keyed = written(keyed.join(shared, "sig"), "prefixes")  # most signatures stand in one set alone
-    hubs = keyed.groupBy("sig", "part").agg(F.min("doc_id").alias("hub"))
-    starred = keyed.join(hubs, ["sig", "part"]).where("doc_id != hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
-    stars = written(alike(starred, distinct, similarity), "stars")
+    marks = written(marked(distinct, WORDS), "marks")
+    keyed = distinct.select("doc_id", part.alias("part"), size.alias("size"), F.explode(F.slice(order, F.lit(1), (size - behind(size)).cast("int"))).alias("sig"))
+    hubs = keyed.groupBy("sig", "part").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n"))
+    shared = hubs.groupBy("sig").agg(F.map_from_entries(F.collect_list(F.struct("part", "hub"))).alias("hubs"), F.sum("n").alias("n")).where("n > 1")  # a hub for each part
+    # most signatures stand in one set alone
+    keyed = written(keyed.join(shared, "sig").select("sig", "part", "size", "doc_id", F.col("hubs")[F.col("part")].alias("hub")), "prefixes")
+    starred = keyed.where("doc_id != hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
+    stars = written(links(starred, marks, distinct, similarity), "stars")
     groups = connected_components(stars)
-    labelled = keyed.join(groups, F.col("doc_id") == F.col("id"), "left").select("sig", "part", "doc_id", F.coalesce("component", "doc_id").alias("star"))
+    release(spots.sparkSession)
+    labelled = keyed.join(groups, F.col("doc_id") == F.col("id"), "left").select("sig", "part", "size", "doc_id", F.coalesce("component", "doc_id").alias("star"))
     several = labelled.groupBy("sig").agg((F.min("star") != F.max("star")).alias("several")).where("several").select("sig")
     labelled = written(labelled.join(several, "sig"), "labelled")
-    upper = labelled.select("sig", F.col("part").alias("at"), F.col("doc_id").alias("other"), F.col("star").alias("other_star"))
-    lower = labelled.select("sig", "part", F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("at"), "doc_id", "star")
-    pairs = lower.join(upper, ["sig", "at"]).where("star != other_star AND (at != part OR doc_id < other)").select(F.col("doc_id").alias("a"), F.col("other").alias("b")).distinct()
-    found = connected_components(alike(pairs, distinct, similarity).union(stars))
-    least = distinct.join(found, F.col("doc_id") == F.col("id"), "left").select("fp", F.coalesce("component", "doc_id").alias("component_id"))
-    return sets.join(least, "fp").select("doc_id", "component_id")
+    upper = labelled.select("sig", F.col("part").alias("at"), F.col("size").alias("other_size"), F.col("doc_id").alias("other"), F.col("star").alias("other_star"))
+    lower = labelled.select("sig", "part", F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("at"), "size", "doc_id", "star")
+    pairs = lower.join(upper, ["sig", "at"]).where("star != other_star AND (at != part OR doc_id < other)")
+    pairs = pairs.groupBy(F.col("doc_id").alias("a"), F.col("other").alias("b"), "size", "other_size").agg(F.count("*").alias("common"))
+    # what two sets share and have not both in their prefixes lies behind the prefix of one of them
+    least = (F.col("size") + F.col("other_size") - unlike(F.col("size"), F.col("other_size"), similarity)) / 2 - F.greatest(behind(F.col("size")), behind(F.col("other_size")))
+    pairs = pairs.where(F.col("common") >= least - 1e-6).select("a", "b")
+    found = connected_components(links(pairs, marks, distinct, similarity).union(stars))
+    firsts = firsts.join(found, F.col("first_id") == F.col("id"), "left").select("key", "key2", "times", F.coalesce("component", "first_id").alias("component_id"))
+    out = written(join_groups(named_by, written(firsts, "classes"), ["key", "key2"], "times").select("doc_id", "component_id"), "components")
+    for table in (distinct, marks, keyed, stars, labelled):
+        drop_written(table)
+    return out
 
 
 def compared(docs: DataFrame) -> DataFrame:
@@ -177,6 +228,9 @@ def compared(docs: DataFrame) -> DataFrame:
     texts = named(one_row_per_id(docs))
     anchors = anchors_of(texts)
     spots = written(fingerprinted(texts, anchors), "spots")
+    release(docs.sparkSession)
+    groups = similar(spots).withColumnRenamed("doc_id", "_id")
+    release(docs.sparkSession)
     tail = F.floor(F.col("n_chars") / 3).cast("int")
     asks = with_next_id(spots.select("doc_id", tail.alias("need"))).select(F.col("doc_id").alias("asker"), F.col("next_id").alias("doc_id"), "need")
     both = texts.join(spots, "doc_id").select("doc_id", "text", "n_chars", "fp")
@@ -185,7 +239,6 @@ def compared(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - tail).cast("int")), "head"))
     rows = with_signatures(rows.drop("text", "head"), "edited", "edited_fp", anchors)
     rows = rows.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256)).drop("edited")
-    groups = similar(spots).withColumnRenamed("doc_id", "_id")
     return rows.join(groups, F.col("doc_id") == F.col("_id"), "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
 
 
