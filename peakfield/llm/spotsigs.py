@@ -35,8 +35,8 @@ from peakfield.llm.components import connected_components
 ANCHOR_SHARE = 0.1
 #: Content words for each chain, and content words in a row without an anchor, from which anchors alone do not cover a text.
 SPARSE, STRETCH = 8, 32
-#: Signatures that joins try last: this many of the most frequent ones.
-FREQUENT = 2000
+#: Signatures that joins try last: this many of the most frequent ones, as passages that many texts share have, if they stand in more than this share of the sets.
+FREQUENT, FREQUENT_SHARE = 20_000, 1e-4
 #: Longs of parity bits for every set, and for those of pairs that the first do not rule out.
 WORDS, MORE_WORDS = 4, 32
 
@@ -163,7 +163,7 @@ def links(pairs: DataFrame, marks: DataFrame, sets: DataFrame, similarity: float
 
 
 def frequent_signatures(sets: DataFrame, most: int = FREQUENT) -> list[int]:
-    """About the ``most`` most frequent signatures that stand in more than one set in a thousand, by a sketch over all sets.
+    """About the ``most`` most frequent signatures that stand in more than ``FREQUENT_SHARE`` of the sets, by a sketch over all of them.
 
     They only say which signatures joins try last, so that an estimate will do: results are the same in any order.
     """
@@ -171,7 +171,7 @@ def frequent_signatures(sets: DataFrame, most: int = FREQUENT) -> list[int]:
     if not n:
         return []
     found = sets.select(F.explode("fp").alias("sig")).agg(F.expr(f"approx_top_k(sig, {most}, {most * 10})").alias("top")).first()["top"] or []
-    return sorted(r["item"] for r in found if r["count"] * 1000 > n)
+    return sorted(r["item"] for r in found if r["count"] > max(2, n * FREQUENT_SHARE))
 
 
 def similar(spots: DataFrame, similarity: float = 0.8) -> DataFrame:
@@ -189,7 +189,8 @@ def similar(spots: DataFrame, similarity: float = 0.8) -> DataFrame:
     firsts = written(named_by.groupBy("key", "key2").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("times")), "firsts")
     distinct = written(sets.join(firsts.select(F.col("first_id").alias("doc_id")), "doc_id", "left_semi"), "distinct")
     size, last = F.size("fp"), frequent_signatures(distinct)
-    order = F.concat(F.filter("fp", lambda x: ~x.isin(last)), F.filter("fp", lambda x: x.isin(last))) if last else F.col("fp")
+    among = f"x IN ({', '.join(map(str, last))})"
+    order = F.expr(f"concat(filter(fp, x -> NOT {among}), filter(fp, x -> {among}))") if last else F.col("fp")
     behind = lambda n: F.ceil(n * similarity - 1e-9) - 1  # noqa: E731  (signatures behind the prefix)
     part = F.floor(F.log(size) / -math.log(similarity)).cast("int")
     marks = written(marked(distinct, WORDS), "marks")
