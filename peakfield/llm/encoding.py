@@ -19,7 +19,7 @@ import numpy as np
 import regex
 
 #: Pieces, and lines, that a worker remembers; further ones are encoded each time they come.
-REMEMBERED = 250_000
+REMEMBERED = 600_000
 
 #: Fixed value: the pattern of the library's byte-level pre-tokenizer, which vocabulary files name but do not hold.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -147,7 +147,7 @@ class Encoder:
                 return self._plain(text)
             head = self._runs(first)
         known = self.known
-        found = [known.get(p) for p in pieces]
+        found = list(map(known.get, pieces))
         if None in found:
             for i, x in enumerate(found):
                 if x is None:
