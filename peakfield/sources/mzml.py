@@ -29,9 +29,10 @@ def read_mzml_spectra(spark: SparkSession, path: str) -> DataFrame:
     """(run_id, spectrum_index, ms_level, rt, rt_unit, arrays), a row for each spectrum of each file.
 
     Files are read as text that ends at </spectrum>, so large ones are split; what precedes the
-    opening tag, and the rest after the last spectrum, is left out.
+    opening tag, and the rest after the last spectrum, is left out. run_id is the file's full path, as files in
+    different folders may have the same name.
     """
-    text = spark.read.option("lineSep", "</spectrum>").text(path).select("value", F.col("_metadata.file_name").alias("run_id"))
+    text = spark.read.option("lineSep", "</spectrum>").text(path).select("value", F.col("_metadata.file_path").alias("run_id"))
     body = F.concat(F.regexp_extract("value", r"(?s)(<spectrum\s.*)$", 1), F.lit("</spectrum>"))
     rows = text.where(F.col("value").rlike(r"<spectrum\s")).select("run_id", F.from_xml(body, SPECTRUM).alias("s"))
     of = lambda params, accession: F.filter(params, lambda p: p["_accession"] == accession)[0]
