@@ -7,24 +7,28 @@ from pyspark.sql import functions as F
 
 from peakfield.functions.scratch import written
 
-#: Rows in a bucket of a two-level running sum or minimum.
-BUCKET = 1 << 16
+def _placed(df: DataFrame, order: list[str]) -> DataFrame:
+    """``df`` in the given order, with _part, a task's number, and _row, the place in it.
 
-
-def global_index(df: DataFrame, order: list[str], out: str = "idx") -> DataFrame:
-    """Adds ``out``: 0, 1, 2, ... in the given order, which has to be total.
-
-    A range sort deals the rows over tasks; each row's number is its place in its partition plus the
-    rows of the partitions before. Places are written along with the rows before anything is
+    A range sort deals the rows over tasks. Places are written along with the rows before anything is
     counted, so no later run can see another partitioning.
     """
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
     placed = written(ranged.withColumn("_at", F.monotonically_increasing_id()), "ranged")
-    part, row = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
-    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))  # a row for each partition
+    return placed.withColumn("_part", F.shiftright("_at", 33)).withColumn("_row", F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at")
+
+
+def _bases(cells: DataFrame) -> DataFrame:
+    """cells: (_part, _n) -> (_part, _base), the rows in the tasks before; a row for each task."""
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    return placed.withColumn("_part", part).join(offsets, "_part").withColumn(out, F.col("_base") + row).drop("_part", "_base", "_at")
+    return cells.groupBy("_part").agg(F.sum("_n").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+
+
+def global_index(df: DataFrame, order: list[str], out: str = "idx") -> DataFrame:
+    """Adds ``out``: 0, 1, 2, ... in the given order, which has to be total: each row's place in its task plus the rows of the tasks before."""
+    placed = _placed(df, order)
+    bases = _bases(placed.groupBy("_part").agg(F.count("*").alias("_n")))
+    return placed.join(F.broadcast(bases), "_part").withColumn(out, F.col("_base") + F.col("_row")).drop("_part", "_base", "_row")
 
 
 def assign_point_ids(df: DataFrame, order: list[str]) -> DataFrame:
@@ -41,9 +45,19 @@ def index_within(df: DataFrame, group: list[str], order: list[str], out: str = "
     if not large:
         whole = Window.partitionBy(*group)
         return df.withColumn(out, (F.row_number().over(whole.orderBy(*order)) - 1).cast("long")).withColumn("n", F.count("*").over(whole))
-    indexed = written(global_index(df, [*group, *order], out), "indexed")
-    spans = indexed.groupBy(*group).agg(F.min(out).alias("_first"), F.count("*").alias("n"))
-    return indexed.join(spans, group).withColumn(out, F.col(out) - F.col("_first")).drop("_first")
+    return indexed(df, group, order, out)[0]
+
+
+def indexed(df: DataFrame, group: list[str], order: list[str], out: str) -> tuple[DataFrame, DataFrame]:
+    """``index_within`` for groups of any size, and the table that it joins: ``n`` for each group and task that has rows of it."""
+    placed = _placed(df, [*group, *order])
+    cells = placed.groupBy(*group, "_part").agg(F.min("_row").alias("_start"), F.count("*").alias("_n"))
+    cells = written(cells, "cells")
+    of_group = Window.partitionBy(*group)
+    cells = cells.join(F.broadcast(_bases(cells)), "_part").withColumn("_first", F.min(F.col("_base") + F.col("_start")).over(of_group))
+    cells = cells.select(*group, "_part", (F.col("_base") - F.col("_first")).alias("_shift"), F.sum("_n").over(of_group).alias("n"))
+    rows = placed.join(cells, [*group, "_part"]).withColumn(out, F.col("_row") + F.col("_shift")).select(*df.columns, out, "n")
+    return rows, cells
 
 
 def chunk_split(df: DataFrame, group: list[str], order: list[str], k: int, large: bool = True) -> DataFrame:
@@ -65,19 +79,3 @@ def sort_points(df: DataFrame, axis: str) -> DataFrame:
 def limit_points(df: DataFrame, n: int, order: list[str]) -> DataFrame:
     """The first n in the given order; 0 is no limit."""
     return df.orderBy(*order).limit(n) if n else df
-
-
-def running(df: DataFrame, group: list[str], order: str, aggregate, value: Column, out: str) -> DataFrame:
-    """Adds ``out``: a running ``aggregate`` (F.sum or F.min) of ``value`` up to and with each row of its group.
-
-    ``order`` counts from 0 within the group. Windows cover a bucket of rows; what earlier buckets
-    hold is folded in from a table with a row for each bucket.
-    """
-    df = df.withColumn("_bucket", F.expr(f"{order} div {BUCKET}")).withColumn("_value", value)
-    buckets = df.groupBy(*group, "_bucket").agg(aggregate("_value").alias("_total"))
-    earlier = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = buckets.select(*group, "_bucket", aggregate("_total").over(earlier).alias("_base"))
-    inside = Window.partitionBy(*group, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("_inside", aggregate("_value").over(inside)).join(buckets, [*group, "_bucket"])
-    both = F.col("_inside") + F.coalesce("_base", F.lit(0)) if aggregate is F.sum else F.least("_inside", "_base")
-    return df.withColumn(out, both).drop("_bucket", "_value", "_inside", "_base")

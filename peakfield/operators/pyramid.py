@@ -7,6 +7,8 @@ and no row is stored twice.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,19 +27,28 @@ def build_pyramid(df: DataFrame, capacity: int = CAPACITY, height: int = HEIGHT,
 
 
 def levels(tiled: DataFrame, fan_out: int, capacity: int, height: int, strategy: str) -> DataFrame:
-    """Adds lod, from the leaves up: of the points that an inner tile's children show, its summary rises a level.
+    """Adds lod, from the leaves up: of the points that an inner tile's children show, its summary rises a level."""
+    return risen(tiled.withColumn("lod", F.col("leaf_depth")), fan_out, capacity, height, strategy)
+
+
+def risen(rows: DataFrame, fan_out: int, capacity: int, top: int, strategy: str) -> DataFrame:
+    """rows: points with a lod, which summaries of the depths above ``top`` lessen.
 
-    A summary looks at fan_out * capacity points at most, so each is one window's partition.
+    Only what rose to a depth is carried on and written, a part of what rose to the one below; the points
+    themselves are joined with their lod and written once, at the end. A summary looks at fan_out * capacity
+    points at most, so each is one window's partition.
     """
-    rows = tiled.withColumn("lod", F.col("leaf_depth"))
-    columns = rows.columns
     settings = {"large": False} if "Striding" in strategy else {}
-    for depth in reversed(range(height)):
-        shown = rows.where(f"leaf_depth > {depth} AND lod = {depth + 1}").withColumn("_up", ancestor(depth, fan_out))
-        risen = summarize(shown, capacity, strategy, ["run_id", "_up"], **settings).select("run_id", "point_id", F.lit(True).alias("_risen"))
-        rows = rows.join(risen, ["run_id", "point_id"], "left").withColumn("lod", F.when(F.col("_risen"), depth).otherwise(F.col("lod")))
-        rows = written(rows.select(*columns), "levels")
-    return rows
+    rose = []
+    for depth in reversed(range(top)):
+        shown = rows.where(F.col("lod") == depth + 1)
+        shown = shown.unionByName(rose[-1]) if rose else shown
+        best = summarize(shown.withColumn("_up", ancestor(depth, fan_out)), capacity, strategy, ["run_id", "_up"], **settings)
+        rose.append(written(best.drop("_up").withColumn("lod", F.lit(depth)), "risen"))
+    if not rose:
+        return rows
+    least = reduce(DataFrame.union, [r.select("run_id", "point_id", "lod") for r in rose]).groupBy("run_id", "point_id").agg(F.min("lod").alias("_lod"))
+    return written(rows.join(least, ["run_id", "point_id"], "left").withColumn("lod", F.coalesce("_lod", "lod")).select(*rows.columns), "levels")
 
 
 def query_viewport(pyramid: DataFrame, box: Box, n: int, strategy: str = "WeightedStriding") -> DataFrame:

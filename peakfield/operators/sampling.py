@@ -2,7 +2,7 @@
 
 All return the chosen rows with the columns they came with. ``group`` is what n counts for; with
 ``large`` groups may be of any size (see ``ordering.index_within``). Rows stand in point_id order
-where a sampler walks through them.
+where a sampler walks through them. ``n`` is a number, or the name of a column that says it for each row's group.
 """
 
 from __future__ import annotations
@@ -13,30 +13,37 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from peakfield.functions.points import uniform
-from peakfield.operators.ordering import BUCKET, index_within, running
+from peakfield.functions.scratch import written
+from peakfield.operators.ordering import index_within
 
 STRIDE = 43
+#: Rows in a bucket of a two-level running sum or minimum.
+BUCKET = 1 << 16
 #: Slack of the running total against its threshold.
 SLACK = 1e-5
 
 
-def _first(df: DataFrame, n: int, group: list[str], order: list[Column]) -> DataFrame:
-    """The first n of each group in the given order; Spark keeps n rows for each group and task, not all."""
+def _number(n: int | str) -> Column:
+    return F.col(n) if isinstance(n, str) else F.lit(n)
+
+
+def _first(df: DataFrame, n: int | str, group: list[str], order: list[Column]) -> DataFrame:
+    """The first n of each group in the given order; where n is a number Spark keeps n rows for each group and task, not all."""
     rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
-    return df.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
+    return df.withColumn("_rank", rank).where(F.col("_rank") <= _number(n)).drop("_rank")
 
 
-def top_intensity(df: DataFrame, n: int, group: list[str] | None = None) -> DataFrame:
+def top_intensity(df: DataFrame, n: int | str, group: list[str] | None = None) -> DataFrame:
     """The n most intense; among equal ones the later point wins."""
     return _first(df, n, group or ["run_id"], [F.desc("intensity"), F.desc("point_id")])
 
 
-def sample_uniform(df: DataFrame, n: int, seed: int = 0, group: list[str] | None = None) -> DataFrame:
+def sample_uniform(df: DataFrame, n: int | str, seed: int = 0, group: list[str] | None = None) -> DataFrame:
     """n points, each with the same chance."""
     return _first(df, n, group or ["run_id"], [uniform(seed, "point_id"), F.col("point_id")])
 
 
-def sample_reservoir(df: DataFrame, n: int, seed: int = 0, group: list[str] | None = None) -> DataFrame:
+def sample_reservoir(df: DataFrame, n: int | str, seed: int = 0, group: list[str] | None = None) -> DataFrame:
     """n points drawn without repeats by weight: the n greatest keys u ** (1 / intensity), compared as ln(u) / intensity.
 
     Points of intensity 0 or less come last.
@@ -62,11 +69,12 @@ def sample_weighted(df: DataFrame, n: int, seed: int = 0, passes: int = 4) -> Da
         passes *= 2
 
 
-def stride_uniform(df: DataFrame, n: int, group: list[str] | None = None, large: bool = True) -> DataFrame:
+def stride_uniform(df: DataFrame, n: int | str, group: list[str] | None = None, large: bool = True) -> DataFrame:
     """Every (size div n)-th point, n of them; all if there are no more than n."""
     rows = index_within(df, group or ["run_id"], ["point_id"], "_idx", large)
-    step = f"greatest(1, n div {n})"
-    return rows.where(f"n <= {n} OR (_idx % {step} = 0 AND _idx div {step} < {n})").drop("_idx", "n")
+    wanted = f"`{n}`" if isinstance(n, str) else str(n)
+    step = f"greatest(1, n div {wanted})"
+    return rows.where(f"n <= {wanted} OR (_idx % {step} = 0 AND _idx div {step} < {wanted})").drop("_idx", "n")
 
 
 def _visit(idx: str, size: str, stride: int) -> Column:
@@ -74,31 +82,47 @@ def _visit(idx: str, size: str, stride: int) -> Column:
     return F.expr(f"({idx} % {stride}) * ({size} div {stride}) + least({idx} % {stride}, {size} % {stride}) + {idx} div {stride}")
 
 
-def stride_weighted(df: DataFrame, n: int, group: list[str] | None = None, stride: int = STRIDE, weight: str = "intensity", large: bool = True) -> DataFrame:
+def stride_weighted(df: DataFrame, n: int | str, group: list[str] | None = None, stride: int = STRIDE, weight: str = "intensity", large: bool = True) -> DataFrame:
     """A walk in strides that takes a point whenever the weights since the last one reach sum / n.
 
     The walk in closed form: with S_j the running sum and F_j = floor(S_j * n / sum), the points taken
     among the first j are c_j = j + min(0, min over i <= j of (F_i - i)). If a late spike leaves too
     few, the skipped points are walked again the same way, and as the total is by then large enough
     for each, the first ones are taken.
+
+    Large groups are summed in two levels: windows cover a bucket of rows, and what earlier buckets hold comes
+    from tables with a row for each bucket. There the sum of a bucket adds in no fixed order, so weights that are no
+    whole numbers may move a point that is within rounding of its threshold.
     """
     group = group or ["run_id"]
     rows = index_within(df, group, ["point_id"], "_idx", large).withColumn("_j", _visit("_idx", "n", stride))
-    sums = rows.groupBy(*group).agg(F.sum(weight).alias("_sum"))
-    rows = running(rows.join(sums, group), group, "_j", F.sum, F.col(weight), "_s")
-    reached = F.when(F.col("_sum") > 0, F.least(F.lit(n), F.floor((F.col("_s") + SLACK) * n / F.col("_sum")))).otherwise(F.least(F.lit(n), F.col("_j") + 1))
-    rows = running(rows.withColumn("_behind", reached - (F.col("_j") + 1)), group, "_j", F.min, F.col("_behind"), "_least")
-    rows = rows.withColumn("_c", F.col("_j") + 1 + F.least(F.lit(0), F.col("_least")))
-    # the points taken before this one, from the same minimum without this row's own term
-    order = Window.partitionBy(*group, F.expr(f"_j div {BUCKET}")).orderBy("_j")
-    ends = rows.groupBy(*group, F.expr(f"_j div {BUCKET} + 1").alias("_b")).agg(F.max("_c").alias("_end"))
-    rows = rows.withColumn("_b", F.expr(f"_j div {BUCKET}")).withColumn("_inner", F.lag("_c").over(order)).join(ends, [*group, "_b"], "left")
-    rows = rows.withColumn("_before", F.coalesce("_inner", "_end", F.lit(0)))
-    totals = rows.groupBy(*group).agg(F.max("_c").alias("_taken"))
-    rows = rows.join(totals, group).withColumn("_hit", F.col("_c") > F.col("_before"))
-    rows = rows.withColumn("_skip", F.col("_j") - F.col("_c")).withColumn("_skips", F.col("n") - F.col("_taken"))
-    again = ~F.col("_hit") & (_visit("_skip", "_skips", stride) < n - F.col("_taken"))
-    return rows.where((F.col("n") <= n) | F.col("_hit") | again).select(*df.columns)
+    wanted, at = _number(n), F.col("_j") + 1
+    reached = F.when(F.col("_sum") > 0, F.least(wanted, F.floor((F.col("_s") + SLACK) * wanted / F.col("_sum")))).otherwise(F.least(wanted, at))
+    bucket = [*group, "_bucket"] if large else group
+    whole, inside = Window.partitionBy(*group), Window.partitionBy(*bucket).orderBy("_j")
+    upto, before = (inside.rowsBetween(Window.unboundedPreceding, end) for end in (0, -1))
+    if large:
+        earlier = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        rows = rows.withColumn("_bucket", F.expr(f"_j div {BUCKET}"))
+        sums = written(rows.groupBy(*bucket).agg(F.sum(weight).alias("_part")), "sums")
+        sums = sums.select(*bucket, F.sum("_part").over(whole).alias("_sum"), F.coalesce(F.sum("_part").over(earlier), F.lit(0)).alias("_base"))
+        rows = rows.join(sums, bucket).withColumn("_s", F.col("_base") + F.sum(weight).over(upto))
+    else:
+        rows = rows.withColumn("_sum", F.sum(weight).over(whole)).withColumn("_s", F.sum(weight).over(upto))
+    rows = rows.withColumn("_behind", reached - at).withColumn("_upto", F.min("_behind").over(upto)).withColumn("_before", F.min("_behind").over(before))
+    if large:
+        rows = written(rows, "walk")
+        least = written(rows.groupBy(*bucket).agg(F.min("_behind").alias("_least")), "least")
+        least = least.select(*bucket, F.min("_least").over(earlier).alias("_earlier"), F.min("_least").over(whole).alias("_last"))
+        rows = rows.join(least, bucket)
+    else:
+        rows = rows.withColumn("_earlier", F.lit(None).cast("long")).withColumn("_last", F.min("_behind").over(whole))
+    taken = F.col("n") + F.least(F.lit(0), F.col("_last"))
+    upto_this = at + F.least(F.lit(0), F.col("_upto"), F.col("_earlier"))
+    hit = upto_this > F.col("_j") + F.least(F.lit(0), F.col("_before"), F.col("_earlier"))
+    rows = rows.withColumn("_skip", F.col("_j") - upto_this).withColumn("_skips", F.col("n") - taken)
+    again = ~hit & (_visit("_skip", "_skips", stride) < wanted - taken)
+    return rows.where((F.col("n") <= wanted) | hit | again).select(*df.columns)
 
 
 STRATEGIES: dict[str, Callable] = {
@@ -110,11 +134,11 @@ STRATEGIES: dict[str, Callable] = {
 }
 
 
-def summarize(df: DataFrame, n: int, strategy: str | Callable = "WeightedStriding", group: list[str] | None = None, **settings) -> DataFrame:
+def summarize(df: DataFrame, n: int | str, strategy: str | Callable = "WeightedStriding", group: list[str] | None = None, **settings) -> DataFrame:
     """n points of each group by a named strategy, or by a function of (pandas frame of a group, n)."""
     group = group or ["run_id"]
     if callable(strategy):
-        return df.groupBy(*group).applyInPandas(lambda pdf: strategy(pdf, n), df.schema)
+        return df.groupBy(*group).applyInPandas(lambda pdf: strategy(pdf, int(pdf[n].iloc[0]) if isinstance(n, str) else n), df.schema)
     if strategy not in STRATEGIES:
         raise ValueError(f"no strategy {strategy!r}; there are {', '.join(STRATEGIES)}")
     return STRATEGIES[strategy](df, n, group=group, **settings)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from math import ceil
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from peakfield.functions.scratch import written
-from peakfield.operators.ordering import index_within
+from peakfield.operators.ordering import indexed
 
 CAPACITY, HEIGHT = 8192, 4
 #: What names a leaf tile: its id alone would not, as each level numbers its tiles from 0.
@@ -29,20 +30,24 @@ def largest_run(df: DataFrame) -> int:
 
 
 def tile(df: DataFrame, fan_out: int, capacity: int = CAPACITY, height: int = HEIGHT) -> DataFrame:
-    """Adds tile_id and leaf_depth. A tile's id has one digit in base fan_out for each level above it.
+    """Adds tile_id and leaf_depth. A tile's id has one digit in base ``fan_out`` for each level above it.
 
-    Each level is one range sort of the points that lie in tiles over capacity; equal counts make
-    the tiles themselves even, however the points are spread. At most ``height`` rounds.
+    Each level is one range sort, written once, of the points that lie in tiles over capacity; equal counts make
+    the tiles themselves even, however the points are spread. The sizes of a tile's children follow
+    from its own, so nothing is counted again. At most ``height`` rounds.
     """
-    rows = df.withColumn("tile_id", F.lit(0).cast("long")).withColumn("leaf_depth", F.lit(0))
-    columns = rows.columns
+    columns = [*df.columns, "tile_id", "leaf_depth"]
+    runs = written(df.groupBy("run_id").agg(F.count("*").alias("_size")), "runs")
+    largest = runs.agg(F.max("_size")).first()[0] or 0
+    left = df.join(runs, "run_id").withColumn("tile_id", F.lit(0).cast("long")).withColumn("leaf_depth", F.lit(0)).select(*columns, "_size")
+    done = []
     for depth in range(height):
-        sizes = rows.where(F.col("leaf_depth") == depth).groupBy(*TILE).count().where(F.col("count") > capacity).drop("count")
-        inner = rows.join(sizes, TILE, "left_semi")
-        if fan_out < 2 or inner.isEmpty():
-            return rows
-        done = rows.join(sizes, TILE, "left_anti")
-        split = index_within(inner, TILE, ["rt" if depth % 2 == 0 else "mz", "point_id"], "_idx")
-        split = split.withColumn("tile_id", F.expr(f"tile_id * {fan_out} + _idx div cast(ceil(n / {fan_out}) as bigint)")).withColumn("leaf_depth", F.lit(depth + 1))
-        rows = written(done.select(*columns).union(split.select(*columns)), "tiled")
-    return rows
+        if fan_out < 2 or largest <= capacity:
+            break
+        done.append(left.where(F.col("_size") <= capacity))
+        split, cells = indexed(left.where(F.col("_size") > capacity), TILE, ["rt" if depth % 2 == 0 else "mz", "point_id"], "_idx")
+        share = F.expr(f"cast(ceil(n / {fan_out}) as bigint)")
+        largest = cells.agg(F.max(share)).first()[0]
+        split = split.withColumn("_share", share).withColumn("_child", F.expr("_idx div _share")).withColumn("tile_id", F.expr(f"tile_id * {fan_out} + _child"))
+        left = split.withColumn("_size", F.expr("least(_share, n - _child * _share)")).withColumn("leaf_depth", F.lit(depth + 1)).select(*columns, "_size")
+    return written(reduce(DataFrame.union, [*done, left]).select(*columns), "tiled")

@@ -61,8 +61,7 @@ def test_weighted_striding_over_buckets(spark, monkeypatch):
     """Running sums that cross buckets give what one window would."""
     rnd = random.Random(1)
     weights = [rnd.randrange(100) for _ in range(900)]
-    for module in (sampling, ordering):
-        monkeypatch.setattr(module, "BUCKET", 64)
+    monkeypatch.setattr(sampling, "BUCKET", 64)
     df = spark.createDataFrame([("r", i, 0, 1.0, 1.0, float(w)) for i, w in enumerate(weights)], POINT)
     assert {r.point_id for r in sampling.stride_weighted(df, 111).collect()} == walk(weights, 111)
 
