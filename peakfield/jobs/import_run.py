@@ -11,7 +11,7 @@ from peakfield.operators.bounds import tile_bounds, tile_bounds_rollup
 from peakfield.operators.ordering import assign_point_ids
 from peakfield.operators.pyramid import levels
 from peakfield.operators.tiling import CAPACITY, HEIGHT, largest_run, tile, tree_config
-from peakfield.sources.mzml import decode_spectra, read_mzml_spectra
+from peakfield.sources.mzml import decode_spectra, quarantine, read_mzml_spectra
 from peakfield.sources.store import write_store
 
 
@@ -23,7 +23,8 @@ def numbered(spark: SparkSession, path: str, least: float = 1.0) -> DataFrame:
 
 
 def import_run(spark: SparkSession, path: str, out: str, capacity: int = CAPACITY, height: int = HEIGHT, strategy: str = "WeightedStriding") -> None:
-    """Builds a store at ``out`` from the mzML files at ``path``."""
+    """Builds a store at ``out`` from the mzML files at ``path``; spectra that cannot be read are listed in ``out``/quarantine."""
+    quarantine(filter_ms_level(read_mzml_spectra(spark, path))).write.parquet(f"{out}/quarantine")
     points = written(numbered(spark, path), "points")
     _, fan_out = tree_config(largest_run(points), capacity, height)
     pyramid = levels(tile(points, fan_out, capacity, height), fan_out, capacity, height, strategy)

@@ -26,18 +26,25 @@ ASKED = """v AS (
   SELECT viewport_id, num_points, CASE WHEN mz_min = 0 THEN '-inf'::DOUBLE ELSE mz_min END AS q1, mz_max AS q2, CASE WHEN rt_min = 0 THEN '-inf'::FLOAT ELSE rt_min END AS q3, rt_max AS q4 FROM v
 )"""
 CFG = f"""cfg AS (
-  SELECT CAST(ceil(count(*) / {CAPACITY}.0) AS BIGINT) AS leaves,
-    (SELECT min(b) FROM range(1, 5000) t(b) WHERE power(b, {HEIGHT}) >= (SELECT ceil(count(*) / {CAPACITY}.0) FROM p)) AS k
-  FROM p
+  SELECT leaves, (SELECT min(b) FROM range(1, 5000) t(b) WHERE power(b, {HEIGHT}) >= leaves) AS k
+  FROM (SELECT CAST(ceil(max(c) / {CAPACITY}.0) AS BIGINT) AS leaves FROM (SELECT count(*) AS c FROM p GROUP BY run_id))
 )"""
+#: The points that an import of mzML files, four runs, has: odd spectra are stored in 32 bits.
+IMPORTED = f"""{P.replace("p AS", "p0 AS", 1)}, s0 AS (SELECT meta1 AS u, min(rt) AS start FROM p0 GROUP BY meta1), p AS (
+  SELECT CAST(meta1 % 4 AS VARCHAR) AS run_id, row_number() OVER (ORDER BY CAST(meta1 % 4 AS VARCHAR), meta1, point_id) - 1 AS point_id, 0 AS meta1,
+    CASE WHEN meta1 % 2 = 0 THEN mz ELSE CAST(CAST(mz AS FLOAT) AS DOUBLE) END AS mz, start AS rt, intensity
+  FROM p0 JOIN s0 ON meta1 = u WHERE meta1 % 3 IN (0, 1)
+)"""
+#: The points in four batches, each with a tree of its own.
+BATCHES = f"""{P.replace("p AS", "p0 AS", 1)}, p AS (SELECT CAST(point_id % 4 AS VARCHAR) AS run_id, point_id, meta1, mz, rt, intensity FROM p0)"""
 
 
-def tile_ctes() -> str:
+def tile_ctes(source: str = P, config: str = CFG) -> str:
     """t0 .. t{HEIGHT}: the points with tile_id and leaf_depth after each round."""
-    parts = [P, CFG, "t0 AS (SELECT *, CAST(0 AS BIGINT) AS tile_id, 0 AS leaf_depth FROM p)"]
+    parts = [source, config, "t0 AS (SELECT *, CAST(0 AS BIGINT) AS tile_id, 0 AS leaf_depth FROM p)"]
     for d in range(HEIGHT):
         axis = "rt" if d % 2 == 0 else "mz"
-        parts.append(f"""r{d} AS (SELECT *, count(*) OVER (PARTITION BY leaf_depth, tile_id) AS n, row_number() OVER (PARTITION BY leaf_depth, tile_id ORDER BY {axis}, point_id) - 1 AS idx FROM t{d}),
+        parts.append(f"""r{d} AS (SELECT *, count(*) OVER (PARTITION BY run_id, leaf_depth, tile_id) AS n, row_number() OVER (PARTITION BY run_id, leaf_depth, tile_id ORDER BY {axis}, point_id) - 1 AS idx FROM t{d}),
 t{d + 1} AS (
   SELECT run_id, point_id, meta1, mz, rt, intensity,
     CASE WHEN leaf_depth = {d} AND n > {CAPACITY} THEN CAST(tile_id * k + idx // CAST(ceil(CAST(n AS DOUBLE) / k) AS BIGINT) AS BIGINT) ELSE tile_id END AS tile_id,
@@ -65,7 +72,7 @@ def level_ctes() -> str:
     parts = [f"l{HEIGHT} AS (SELECT *, leaf_depth AS lod FROM t)"]
     for d in reversed(range(HEIGHT)):
         parts.append(f"""g{d} AS (
-  SELECT l.*, row_number() OVER (PARTITION BY (leaf_depth > {d} AND lod = {d + 1}), tile_id // CAST(power(k, greatest(0, leaf_depth - {d})) AS BIGINT) ORDER BY intensity DESC, point_id DESC) AS pick
+  SELECT l.*, row_number() OVER (PARTITION BY run_id, (leaf_depth > {d} AND lod = {d + 1}), tile_id // CAST(power(k, greatest(0, leaf_depth - {d})) AS BIGINT) ORDER BY intensity DESC, point_id DESC) AS pick
   FROM l{d + 1} l, cfg
 ), l{d} AS (
   SELECT run_id, point_id, meta1, mz, rt, intensity, tile_id, leaf_depth, CASE WHEN leaf_depth > {d} AND lod = {d + 1} AND pick <= {CAPACITY} THEN {d} ELSE lod END AS lod FROM g{d}
@@ -80,18 +87,40 @@ def uniform(keys: str, seed: int = 7) -> str:
     return f"((CAST('0x' || substr(md5('{seed}:' || {keys}), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE)"
 
 
-def weighted(source: str, group: str, n: int, columns: str) -> str:
-    """The walk in closed form, with plain windows."""
+def weighted(source: str, group: str, n: int | str, columns: str, tag: str = "") -> str:
+    """The walk in closed form, with plain windows: the table picked, with ``tag`` behind all names. n: a number or a column."""
+    i, j, s, f, c, h, k, m = (x + tag for x in "ijsfchkm")
     return f"""
-i AS (SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY point_id) - 1 AS idx, count(*) OVER (PARTITION BY {group}) AS n, sum(intensity) OVER (PARTITION BY {group}) AS w FROM {source}),
-j AS (SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY idx % 43, idx // 43) AS j FROM i),
-s AS (SELECT *, sum(intensity) OVER (PARTITION BY {group} ORDER BY j) AS s FROM j),
-f AS (SELECT *, CASE WHEN w > 0 THEN least({n}, CAST(floor((s + 1e-5::DOUBLE) * {n} / w) AS BIGINT)) ELSE least({n}, j) END AS f FROM s),
-c AS (SELECT *, j + least(0, min(f - j) OVER (PARTITION BY {group} ORDER BY j)) AS c FROM f),
-h AS (SELECT *, c - lag(c, 1, 0) OVER (PARTITION BY {group} ORDER BY j) AS hit, max(c) OVER (PARTITION BY {group}) AS taken FROM c),
-k AS (SELECT *, CASE WHEN hit = 0 THEN row_number() OVER (PARTITION BY {group}, hit ORDER BY j) - 1 END AS skip FROM h),
-m AS (SELECT *, CASE WHEN hit = 0 THEN row_number() OVER (PARTITION BY {group}, hit ORDER BY skip % 43, skip // 43) END AS again FROM k),
-picked AS (SELECT {columns} FROM m WHERE n <= {n} OR hit = 1 OR again <= {n} - taken)"""
+{i} AS (SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY point_id) - 1 AS idx, count(*) OVER (PARTITION BY {group}) AS n, sum(intensity) OVER (PARTITION BY {group}) AS w FROM {source}),
+{j} AS (SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY idx % 43, idx // 43) AS j FROM {i}),
+{s} AS (SELECT *, sum(intensity) OVER (PARTITION BY {group} ORDER BY j) AS s FROM {j}),
+{f} AS (SELECT *, CASE WHEN w > 0 THEN least({n}, CAST(floor((s + 1e-5::DOUBLE) * {n} / w) AS BIGINT)) ELSE least({n}, j) END AS f FROM {s}),
+{c} AS (SELECT *, j + least(0, min(f - j) OVER (PARTITION BY {group} ORDER BY j)) AS c FROM {f}),
+{h} AS (SELECT *, c - lag(c, 1, 0) OVER (PARTITION BY {group} ORDER BY j) AS hit, max(c) OVER (PARTITION BY {group}) AS taken FROM {c}),
+{k} AS (SELECT *, CASE WHEN hit = 0 THEN row_number() OVER (PARTITION BY {group}, hit ORDER BY j) - 1 END AS skip FROM {h}),
+{m} AS (SELECT *, CASE WHEN hit = 0 THEN row_number() OVER (PARTITION BY {group}, hit ORDER BY skip % 43, skip // 43) END AS again FROM {k}),
+picked{tag} AS (SELECT {columns} FROM {m} WHERE n <= {n} OR hit = 1 OR again <= {n} - taken)"""
+
+
+def weighted_level_ctes() -> str:
+    """level_ctes, summarized by weighted strides."""
+    parts = [f"l{HEIGHT} AS (SELECT *, leaf_depth AS lod FROM t)"]
+    for d in reversed(range(HEIGHT)):
+        parts.append(f"g{d} AS (SELECT l.*, tile_id // CAST(power(k, leaf_depth - {d}) AS BIGINT) AS up FROM l{d + 1} l, cfg WHERE leaf_depth > {d} AND lod = {d + 1})")
+        parts.append(weighted(f"g{d}", "run_id, up", CAPACITY, "run_id, point_id, true AS rose", f"_{d}"))
+        parts.append(f"""l{d} AS (
+  SELECT run_id, point_id, meta1, mz, rt, intensity, tile_id, leaf_depth, CASE WHEN rose THEN {d} ELSE lod END AS lod FROM l{d + 1} LEFT JOIN picked_{d} USING (run_id, point_id)
+)""")
+    return ",\n".join([*parts, "l AS (SELECT * FROM l0)"])
+
+
+WEIGHTED = f"{TILES},\n{weighted_level_ctes()}"
+FIXED = "cfg AS (SELECT 8 AS k)"
+#: The trees of four batches below one root.
+JOINED = f"""{tile_ctes(BATCHES, FIXED)},
+{level_ctes()},
+jr AS (SELECT *, row_number() OVER (PARTITION BY lod = 0 ORDER BY intensity DESC, point_id DESC) AS root FROM l),
+jl AS (SELECT 'events' AS run_id, point_id, meta1, mz, rt, intensity, leaf_depth + 1 AS leaf_depth, CASE WHEN lod = 0 AND root <= {CAPACITY} THEN 0 ELSE lod + 1 END AS lod FROM jr)"""
 
 
 def first(n: int, order: str, group: str = "run_id") -> str:
@@ -115,17 +144,43 @@ VIEWED = """hit AS (
 ORDER_IDS = "ids AS (SELECT o_orderkey % 20000 AS point_id FROM orders)"
 
 
-def window_sql(n: int) -> str:
-    return f"""WITH {LEVELS}, b AS (SELECT * FROM l WHERE {IN_BOX}),
-u AS (SELECT lod, sum(count(*)) OVER (ORDER BY lod) AS n FROM b GROUP BY lod), e AS (SELECT min(lod) AS depth FROM u WHERE n >= {n})
+def shown_sql(levels: str, n: int, table: str = "l") -> str:
+    """b: the points in the window; e: the depth that shows n of them."""
+    return f"""WITH {levels}, b AS (SELECT * FROM {table} WHERE {IN_BOX}),
+u AS (SELECT lod, sum(count(*)) OVER (ORDER BY lod) AS n FROM b GROUP BY lod), e AS (SELECT min(lod) AS depth FROM u WHERE n >= {n})"""
+
+
+def window_sql(n: int, levels: str = LEVELS, table: str = "l") -> str:
+    return f"""{shown_sql(levels, n, table)}
 SELECT {OUT} FROM b, e WHERE depth IS NULL OR lod <= depth QUALIFY row_number() OVER (ORDER BY intensity DESC, point_id DESC) <= {n} OR (SELECT depth FROM e) IS NULL"""
 
 
+def weighted_window_sql(n: int) -> str:
+    return f"""{shown_sql(WEIGHTED, n)}, x AS (SELECT b.* FROM b, e WHERE lod <= depth), {weighted("x", "run_id", n, OUT)}
+SELECT * FROM picked UNION ALL SELECT {OUT} FROM b WHERE (SELECT depth FROM e) IS NULL"""
+
+
+def weighted_windows_sql() -> str:
+    return f"""WITH {WEIGHTED}, {ASKED}, {VIEWED}, x AS (SELECT * EXCLUDE (pick) FROM seen WHERE num_points > 0), {weighted("x", "viewport_id", "num_points", "viewport_id, point_id, lod")}
+SELECT * FROM picked UNION ALL SELECT viewport_id, point_id, lod FROM seen WHERE num_points = 0"""
+
+
 def sql() -> dict[str, str]:
     tile_rows = f"SELECT {TILE_OUT} FROM tiles"
     return {
         "query_viewport": window_sql(300),
         "query_viewports": f"WITH {LEVELS}, {ASKED}, {VIEWED} SELECT viewport_id, point_id, lod FROM seen WHERE num_points = 0 OR pick <= num_points",
+        "build_pyramid_weighted": f"WITH {WEIGHTED} SELECT run_id, point_id, tile_id, leaf_depth, lod FROM l",
+        "query_viewport_weighted": weighted_window_sql(300),
+        "query_viewports_weighted": weighted_windows_sql(),
+        "stored_viewport": window_sql(300),
+        "joined_tree": f"WITH {JOINED} SELECT point_id, leaf_depth, lod FROM jl",
+        "incremental_viewport": window_sql(300, JOINED, "jl"),
+        "ingest_mzml": f"WITH {IMPORTED} SELECT run_id AS run, {RANGES}, count(*) AS point_count FROM p GROUP BY run_id",
+        "ingest_csv": f"WITH {P} SELECT {RANGES}, CAST(count(*) AS BIGINT) AS point_count FROM p",
+        "import_run": f"WITH {tile_ctes(IMPORTED)}, {weighted_level_ctes()} SELECT run_id AS run, point_id, mz, CAST(rt AS DOUBLE) AS rt, intensity, tile_id, leaf_depth, lod FROM l",
+        "decode_spectra_widths": f"WITH {P} SELECT CAST(meta1 AS BIGINT) AS spectrum_index, row_number() OVER (PARTITION BY meta1 ORDER BY point_id) - 1 AS position, CASE WHEN meta1 % 2 = 0 THEN mz ELSE CAST(CAST(mz AS FLOAT) AS DOUBLE) END AS mz, intensity FROM p",
+        "json_rows_back": f"WITH {P} SELECT point_id, CAST(meta1 AS BIGINT) AS meta1, mz, CAST(rt AS DOUBLE) AS rt, intensity FROM p",
         "build_pyramid": f"WITH {LEVELS} SELECT run_id, point_id, tile_id, leaf_depth, lod FROM l",
         "read_points_csv": f"WITH {P} SELECT meta1, mz, CAST(rt AS DOUBLE) AS rt, intensity FROM p",
         "read_mzml_spectra": f"WITH {P}, {SPECTRA} SELECT spectrum_index, ms_level, rt, 'second' AS rt_unit, CAST(2 AS BIGINT) AS n_arrays FROM s",

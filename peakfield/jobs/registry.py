@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peakfield.functions.points import AXES, POINT, VALUE, from_events, from_lineitem, project_axes, round_outward
@@ -26,6 +26,7 @@ from peakfield.streaming import ingest
 BOX = Box(5.0, 60.0, 3600.0, 2_000_000.0)
 CAPACITY, HEIGHT = 512, 2
 N, SEED = 777, 7
+RUNS = 4
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,12 +44,12 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordering.assign_point_ids(from_lineitem(spark, sf_dir), order).select(*POINT.names)
 
 
-def built(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+def built(spark: SparkSession, sf_dir: str, strategy: str = "IntensityCutoff") -> tuple[DataFrame, int]:
     """The pyramid over events, with its fan-out."""
     df = points(spark, sf_dir)
     _, fan_out = tiling.tree_config(tiling.largest_run(df), CAPACITY, HEIGHT)
     tiled = tiling.tile(df, fan_out, CAPACITY, HEIGHT)
-    return pyramid.levels(tiled, fan_out, CAPACITY, HEIGHT, "IntensityCutoff"), fan_out
+    return pyramid.levels(tiled, fan_out, CAPACITY, HEIGHT, strategy), fan_out
 
 
 def tiled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
@@ -85,7 +86,7 @@ def spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def as_mzml(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each spectrum as an mzML element: even ones as raw 64-bit, odd ones as compressed 32-bit arrays."""
+    """(run, value): each spectrum as an mzML element: even ones as raw 64-bit, odd ones as compressed 32-bit arrays."""
     for frame in frames:
         out = []
         for row in frame.itertuples():
@@ -97,16 +98,28 @@ def as_mzml(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 terms = [accession, mzml.FLOAT_64 if wide else mzml.FLOAT_32, mzml.RAW if wide else mzml.ZLIB]
                 arrays += "<binaryDataArray>" + "".join(f'<cvParam accession="{t}" value=""/>' for t in terms) + f"<binary>{data}</binary></binaryDataArray>"
             out.append(f'<spectrum index="{row.spectrum_index}"><cvParam accession="{mzml.MS_LEVEL}" value="{row.ms_level}"/><scanList count="1"><scan><cvParam accession="{mzml.SCAN_START}" value="{row.rt}" unitName="second"/></scan></scanList><binaryDataArrayList count="2">{arrays}</binaryDataArrayList></spectrum>')
-        yield pd.DataFrame({"value": out})
+        yield pd.DataFrame({"run": (frame["spectrum_index"] % RUNS).astype("i4"), "value": out})
 
 
 def mzml_files(spark: SparkSession, sf_dir: str) -> str:
     """The events as mzML files in the shared folder; returns where."""
     path = scratch_path(spark, "mzml")
-    spectra(spark, sf_dir).mapInPandas(as_mzml, "value string").write.text(path)
+    spectra(spark, sf_dir).mapInPandas(as_mzml, "run int, value string").select("value").write.text(path)
     return path
 
 
+def mzml_runs(spark: SparkSession, sf_dir: str) -> str:
+    """The events as one mzML file for each run, in a folder of its own."""
+    path = scratch_path(spark, "runs")
+    spectra(spark, sf_dir).mapInPandas(as_mzml, "run int, value string").repartition(RUNS, "run").write.partitionBy("run").text(path)
+    return path
+
+
+def run_of(path: str) -> Column:
+    """The run that a file's path names."""
+    return F.regexp_extract(path, "run=([0-9]+)", 1)
+
+
 def csv_files(spark: SparkSession, sf_dir: str) -> str:
     path = scratch_path(spark, "csv")
     text.export_csv(points(spark, sf_dir), path, Box())
@@ -143,9 +156,47 @@ def streamed(spark: SparkSession, sf_dir: str, capacity: int | None = None) -> s
 
 def imported(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch_path(spark, "imported")
-    import_run(spark, mzml_files(spark, sf_dir), out, CAPACITY, HEIGHT, "IntensityCutoff")
-    df, _ = store.open_store(spark, out)
-    return df.groupBy("lod").agg(F.count("*").alias("n_points"), F.sum("intensity").alias("int_sum"))
+    import_run(spark, mzml_runs(spark, sf_dir), out, CAPACITY, HEIGHT)
+    return store.open_store(spark, out)[0].select(run_of("run_id").alias("run"), "point_id", "mz", F.col("rt").cast("double").alias("rt"), "intensity", "tile_id", "leaf_depth", "lod")
+
+
+def in_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One tree over events that arrive as four files."""
+    source, out = scratch_path(spark, "incoming"), scratch_path(spark, "streamed")
+    points(spark, sf_dir).withColumn("slice", F.col("point_id") % 4).repartition(4, "slice").write.partitionBy("slice").parquet(source)
+    ingest.ingest_stream(spark, source, POINT, out, scratch_path(spark, "offsets"), capacity=CAPACITY).awaitTermination()
+    return ingest.joined_tree(spark, out, CAPACITY)
+
+
+def stored(pyramid_: DataFrame, fan_out: int) -> DataFrame:
+    """The pyramid, written as a store and opened again."""
+    path = scratch_path(pyramid_.sparkSession, "store")
+    store.write_store(pyramid_, bounds.tile_bounds_rollup(bounds.tile_bounds(pyramid_), fan_out), path)
+    return store.open_store(pyramid_.sparkSession, path)[0]
+
+
+def ingested(spark: SparkSession, source: str, kind: str, least: float = 1.0) -> DataFrame:
+    out = scratch_path(spark, "streamed")
+    ingest.ingest_stream(spark, source, None, out, scratch_path(spark, "offsets"), kind=kind, least=least).awaitTermination()
+    return summary_table(ingest.merged_summary(spark, out))
+
+
+def whole_summary(s: DataFrame) -> DataFrame:
+    """The bounds of all runs."""
+    return s.agg(*((F.min if c.endswith("min") else F.max)(c).alias(c) for c in s.columns if c.endswith(("_min", "_max"))), F.sum("point_count").alias("point_count"))
+
+
+def record_files(spark: SparkSession, sf_dir: str) -> str:
+    path = scratch_path(spark, "records")
+    records.write_point_records(points(spark, sf_dir), path)
+    return path
+
+
+def json_back(df: DataFrame) -> DataFrame:
+    """The points, read from their JSON rows."""
+    x = F.from_json("value", "array<double>")
+    rows = text.to_json_rows(df).select(x.alias("x"))
+    return rows.select(*(F.col("x")[k].cast(kind).alias(c) for k, (c, kind) in enumerate({"point_id": "long", "meta1": "long", "mz": "double", "rt": "double", "intensity": "double"}.items())))
 
 
 def ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,18 +220,17 @@ def by_pick(pick: Callable) -> Callable:
     return lambda s, d: shown(pick(points(s, d)))
 
 
-def one_tree(s: SparkSession, d: str) -> DataFrame:
-    df, fan_out = built(s, d)
-    return df.select("run_id", "point_id", "tile_id", "leaf_depth", "lod")
+def one_tree(s: SparkSession, d: str, strategy: str = "IntensityCutoff") -> DataFrame:
+    return built(s, d, strategy)[0].select("run_id", "point_id", "tile_id", "leaf_depth", "lod")
 
 
-def window(s: SparkSession, d: str, n: int = 300) -> DataFrame:
-    return shown(pyramid.query_viewport(built(s, d)[0], BOX, n, "IntensityCutoff"))
+def window(s: SparkSession, d: str, n: int = 300, strategy: str = "IntensityCutoff") -> DataFrame:
+    return shown(pyramid.query_viewport(built(s, d, strategy)[0], BOX, n, strategy))
 
 
-def windows(s: SparkSession, d: str) -> DataFrame:
-    df, _ = built(s, d)
-    got = viewports.query_viewports(df, bounds.tile_bounds(df), asked(s, d))
+def windows(s: SparkSession, d: str, strategy: str = "IntensityCutoff") -> DataFrame:
+    df, _ = built(s, d, strategy)
+    got = viewports.query_viewports(df, bounds.tile_bounds(df), asked(s, d), strategy)
     return got.select("viewport_id", "point_id", "lod")
 
 
@@ -189,10 +239,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "query_viewport": window,
         "query_viewports": windows,
         "build_pyramid": one_tree,
+        "build_pyramid_weighted": lambda s, d: one_tree(s, d, "WeightedStriding"),
+        "query_viewport_weighted": lambda s, d: window(s, d, 300, "WeightedStriding"),
+        "query_viewports_weighted": lambda s, d: windows(s, d, "WeightedStriding"),
+        "stored_viewport": lambda s, d: shown(pyramid.query_viewport(stored(*built(s, d)), BOX, 300, "IntensityCutoff")),
+        "joined_tree": lambda s, d: in_batches(s, d).select("point_id", "leaf_depth", "lod"),
+        "incremental_viewport": lambda s, d: shown(pyramid.query_viewport(stored(in_batches(s, d), ingest.FAN_OUT), BOX, 300, "IntensityCutoff")),
+        "ingest_mzml": lambda s, d: ingested(s, mzml_runs(s, d), "mzml").withColumn("run", run_of("run_id")).drop("run_id"),
+        "ingest_csv": lambda s, d: whole_summary(ingested(s, csv_files(s, d), "csv")),
+        "decode_spectra_widths": lambda s, d: mzml.decode_spectra(mzml.read_mzml_spectra(s, mzml_files(s, d))).select("spectrum_index", F.col("position").cast("long").alias("position"), "mz", "intensity"),
+        "json_rows_back": lambda s, d: json_back(points(s, d)),
         "read_points_csv": lambda s, d: text.read_points_csv(s, csv_files(s, d)).select("meta1", "mz", F.col("rt").cast("double").alias("rt"), "intensity"),
         "read_mzml_spectra": lambda s, d: mzml.read_mzml_spectra(s, mzml_files(s, d)).select("spectrum_index", F.col("ms_level").cast("int").alias("ms_level"), F.col("rt").cast("double").alias("rt"), "rt_unit", F.size("arrays").cast("long").alias("n_arrays")),
         "decode_spectra": lambda s, d: mzml.decode_spectra(mzml.read_mzml_spectra(s, mzml_files(s, d))).select("spectrum_index", F.col("position").cast("long").alias("position"), F.col("mz").cast("float").cast("double").alias("mz"), "intensity"),
-        "read_point_records": lambda s, d: records.unpack_records(records.pack_records(points(s, d))).select("point_id", "meta1", "mz", F.col("rt").cast("double").alias("rt"), "intensity"),
+        "read_point_records": lambda s, d: records.read_point_records(s, record_files(s, d)).select("point_id", "meta1", "mz", F.col("rt").cast("double").alias("rt"), "intensity"),
         "write_store": lambda s, d: shown(store.open_store(s, saved(s, d))[0]),
         "copy_store": copied,
         "export_csv": exported,

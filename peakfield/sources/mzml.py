@@ -8,8 +8,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamReader
 
 #: Accessions of the controlled vocabulary.
 MS_LEVEL, SCAN_START = "MS:1000511", "MS:1000016"
@@ -32,7 +33,16 @@ def read_mzml_spectra(spark: SparkSession, path: str) -> DataFrame:
     opening tag, and the rest after the last spectrum, is left out. run_id is the file's full path, as files in
     different folders may have the same name.
     """
-    text = spark.read.option("lineSep", "</spectrum>").text(path).select("value", F.col("_metadata.file_path").alias("run_id"))
+    return parsed(raw_spectra(spark.read, path))
+
+
+def raw_spectra(reader: DataFrameReader | DataStreamReader, path: str) -> DataFrame:
+    """(value, run_id): the text up to the end of each spectrum, as a table or as a stream."""
+    return reader.format("text").option("lineSep", "</spectrum>").load(path).select("value", F.col("_metadata.file_path").alias("run_id"))
+
+
+def parsed(text: DataFrame) -> DataFrame:
+    """raw_spectra -> read_mzml_spectra"""
     body = F.concat(F.regexp_extract("value", r"(?s)(<spectrum\s.*)$", 1), F.lit("</spectrum>"))
     rows = text.where(F.col("value").rlike(r"<spectrum\s")).select("run_id", F.from_xml(body, SPECTRUM).alias("s"))
     of = lambda params, accession: F.filter(params, lambda p: p["_accession"] == accession)[0]

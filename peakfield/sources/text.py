@@ -2,23 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamReader
 
 from peakfield.operators.boxes import Box, in_box
 
 FIELDS = {"mz": "double", "rt": "float", "intensity": "double", "meta1": "int"}
 
 
-def _raw(spark: SparkSession, path: str) -> DataFrame:
-    """The four fields as text, without header lines.
+def raw_lines(reader: DataFrameReader | DataStreamReader, path: str) -> DataFrame:
+    """The four fields as text, and run_id, the file's full path, without header lines, as a table or as a stream.
 
     A line is a header if its first field is no number and reads m/z or mz.
     """
     schema = ", ".join(f"{c} string" for c in FIELDS) + ", _bad string"
-    rows = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_bad").csv(path)
+    rows = reader.schema(schema).format("csv").option("columnNameOfCorruptRecord", "_bad").load(path)
     head = F.expr("try_cast(mz AS double)").isNull() & F.lower(F.trim("mz")).isin("m/z", "mz")
-    return rows.where(~F.coalesce(head, F.lit(False)))
+    return rows.where(~F.coalesce(head, F.lit(False))).select(*FIELDS, F.col("_metadata.file_path").alias("run_id"))
 
 
 def _casts() -> list:
@@ -26,19 +27,28 @@ def _casts() -> list:
 
 
 def read_points_csv(spark: SparkSession, path: str, bad: str = "raise") -> DataFrame:
-    """(mz, rt, intensity, meta1) by position. bad: "raise" on a field that is no number, or "drop" such lines."""
-    rows = _raw(spark, path)
+    """(mz, rt, intensity, meta1, run_id) by position. bad: "raise" on a field that is no number, or "drop" such lines."""
+    return parsed(raw_lines(spark.read, path), bad)
+
+
+def parsed(rows: DataFrame, bad: str = "raise") -> DataFrame:
+    """raw_lines -> read_points_csv"""
     if bad == "drop":
         rows = rows.where(" AND ".join(f"try_cast(trim({c}) AS {kind}) IS NOT NULL" for c, kind in FIELDS.items()))
-        return rows.select(*(x.alias(c) for x, c in zip(_casts(), FIELDS, strict=True)))
+        return rows.select(*(x.alias(c) for x, c in zip(_casts(), FIELDS, strict=True)), "run_id")
     told = lambda c: F.raise_error(F.concat(F.lit(f"{c} is no number: "), F.coalesce(c, F.lit("nothing"))))
-    return rows.select(*(F.coalesce(x, told(c).cast(FIELDS[c])).alias(c) for x, c in zip(_casts(), FIELDS, strict=True)))
+    return rows.select(*(F.coalesce(x, told(c).cast(FIELDS[c])).alias(c) for x, c in zip(_casts(), FIELDS, strict=True)), "run_id")
+
+
+def refused(rows: DataFrame) -> DataFrame:
+    """The raw_lines that cannot be read, with the first field that is wrong."""
+    reason = F.coalesce(*(F.when(x.isNull(), F.lit(c)) for x, c in zip(_casts(), FIELDS, strict=True)))
+    return rows.withColumn("reason", reason).where("reason IS NOT NULL")
 
 
 def bad_lines(spark: SparkSession, path: str) -> DataFrame:
     """The lines that ``read_points_csv`` would refuse, with the first field that is wrong."""
-    reason = F.coalesce(*(F.when(x.isNull(), F.lit(c)) for x, c in zip(_casts(), FIELDS, strict=True)))
-    return _raw(spark, path).drop("_bad").withColumn("reason", reason).where("reason IS NOT NULL")
+    return refused(raw_lines(spark.read, path))
 
 
 def export_csv(df: DataFrame, path: str, box: Box) -> int:

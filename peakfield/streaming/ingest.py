@@ -1,4 +1,8 @@
-"""Incremental import: new files arrive as micro-batches, each is kept under its batch id and may be repeated."""
+"""Incremental import: new files arrive as micro-batches, each is kept under its batch id and may be repeated.
+
+Every batch is tiled with the same fan-out, so that its tree can become a part of a larger one: ``joined_tree``
+puts the trees of all batches below common roots.
+"""
 
 from __future__ import annotations
 
@@ -6,26 +10,66 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from peakfield.functions.points import POINT
+from peakfield.operators.boxes import filter_min_intensity, filter_ms_level
 from peakfield.operators.bounds import dataset_summary
-from peakfield.operators.pyramid import build_pyramid
+from peakfield.operators.ordering import index_within
+from peakfield.operators.pyramid import levels, risen
 from peakfield.operators.sampling import summarize
+from peakfield.operators.tiling import largest_run, tile, tree_config
+from peakfield.sources import mzml, text
+
+FAN_OUT = 8
+
+
+def _arriving(spark: SparkSession, source: str, schema: T.StructType | None, kind: str, files_per_batch: int) -> DataFrame:
+    reader = spark.readStream.option("maxFilesPerTrigger", files_per_batch)
+    if kind == "mzml":
+        return mzml.raw_spectra(reader, source)
+    if kind == "csv":
+        return text.raw_lines(reader, source)
+    if kind == "parquet":
+        return reader.schema(schema or POINT).parquet(source).select(*(schema or POINT).names)
+    raise ValueError(f"no kind {kind!r}")
+
 
+def _points(batch: DataFrame, kind: str, least: float) -> tuple[DataFrame, DataFrame | None]:
+    """The points of a batch and what of it cannot be read. A file lies in one batch as a whole, so ids count from 0 within each file."""
+    if kind == "parquet":
+        return batch, None
+    if kind == "csv":
+        rows = index_within(text.parsed(batch, "drop"), ["run_id"], ["rt", "mz", "intensity", "meta1"], "point_id")
+        return rows.select(*POINT.names), text.refused(batch)
+    spectra = filter_ms_level(mzml.parsed(batch))
+    peaks = filter_min_intensity(mzml.decode_spectra(spectra), least)
+    return index_within(peaks, ["run_id"], ["spectrum_index", "position"], "point_id").select(*POINT.names), mzml.quarantine(spectra)
 
-def ingest_stream(spark: SparkSession, source: str, schema: T.StructType, out: str, checkpoint: str, files_per_batch: int = 1, capacity: int | None = None, height: int = 2):
+
+def ingest_stream(
+    spark: SparkSession, source: str, schema: T.StructType | None, out: str, checkpoint: str, files_per_batch: int = 1, capacity: int | None = None,
+    kind: str = "parquet", fan_out: int = FAN_OUT, strategy: str = "IntensityCutoff", least: float = 1.0,
+):
     """Starts a query that appends each batch's points and bounds to ``out`` and stops when the source is read.
 
-    A batch overwrites its own folders, so a batch that is run again after a failure changes nothing.
-    With ``capacity`` each batch is also built into a pyramid of its own.
+    kind: "parquet" (points), "csv" or "mzml" files. A batch overwrites its own folders, so a batch that is run again after a failure
+    changes nothing. With ``capacity`` each batch is also built into a pyramid of its own. What cannot be read is kept
+    under ``out``/quarantine.
     """
 
     def keep(batch: DataFrame, batch_id: int) -> None:
-        points = build_pyramid(batch, capacity, height, "IntensityCutoff") if capacity else batch
+        points, bad = _points(batch, kind, least)
+        if capacity:
+            height, leaves = 0, tree_config(largest_run(points), capacity)[0]
+            while fan_out**height < leaves:
+                height += 1
+            points = levels(tile(points, fan_out, capacity, height), fan_out, capacity, height, strategy)
         points.write.mode("overwrite").parquet(f"{out}/points/batch={batch_id}")
         written = batch.sparkSession.read.parquet(f"{out}/points/batch={batch_id}")
         dataset_summary(written).write.mode("overwrite").parquet(f"{out}/bounds/batch={batch_id}")
+        if bad is not None:
+            bad.write.mode("overwrite").parquet(f"{out}/quarantine/batch={batch_id}")
 
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
-    return stream.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return _arriving(spark, source, schema, kind, files_per_batch).writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def merged_summary(spark: SparkSession, out: str) -> DataFrame:
@@ -38,3 +82,19 @@ def merged_summary(spark: SparkSession, out: str) -> DataFrame:
 def root_summary(spark: SparkSession, out: str, n: int) -> DataFrame:
     """The n points that stand for all batches: chosen from what each batch's root shows."""
     return summarize(spark.read.parquet(f"{out}/points").where("lod = 0"), n, "IntensityCutoff")
+
+
+def joined_tree(spark: SparkSession, out: str, capacity: int, fan_out: int = FAN_OUT, strategy: str = "IntensityCutoff") -> DataFrame:
+    """One pyramid over all batches, as ``build_pyramid`` gives: the batches' roots are the tiles at the depth of the least tree that holds them.
+
+    A batch's number becomes the leading digits of its tile ids, in base ``fan_out``. What the roots show is summarized
+    upwards; no batch is tiled or summarized again.
+    """
+    points = spark.read.parquet(f"{out}/points")
+    batches = (spark.read.parquet(f"{out}/bounds").agg(F.max("batch")).first()[0] or 0) + 1
+    top = 0
+    while fan_out**top < batches:
+        top += 1
+    ids = F.expr(f"batch * cast(power({fan_out}, leaf_depth) as bigint) + tile_id")
+    rows = points.withColumn("tile_id", ids).withColumn("leaf_depth", F.col("leaf_depth") + top).withColumn("lod", F.col("lod") + top).drop("batch")
+    return risen(rows, fan_out, capacity, top, strategy)

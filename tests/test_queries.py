@@ -37,6 +37,5 @@ def test_equals_sql(spark, tables, name):
     assert plain(map(tuple, got.collect())) == plain(want)
 
 
-def test_all_but_one_have_sql():
-    """Runs of the import are files, which Spark cuts; it has a test of its own."""
-    assert set(QUERIES) - set(SQL) == {"import_run"}
+def test_all_have_sql():
+    assert set(QUERIES) == set(SQL)
