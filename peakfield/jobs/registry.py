@@ -168,11 +168,11 @@ def in_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.joined_tree(spark, out, CAPACITY)
 
 
-def stored(pyramid_: DataFrame, fan_out: int) -> DataFrame:
-    """The pyramid, written as a store and opened again."""
+def stored(pyramid_: DataFrame, fan_out: int) -> tuple[DataFrame, DataFrame]:
+    """The points and the tiles of a pyramid, written as a store and opened again."""
     path = scratch_path(pyramid_.sparkSession, "store")
     store.write_store(pyramid_, bounds.tile_bounds_rollup(bounds.tile_bounds(pyramid_), fan_out), path)
-    return store.open_store(pyramid_.sparkSession, path)[0]
+    return store.open_store(pyramid_.sparkSession, path)
 
 
 def ingested(spark: SparkSession, source: str, kind: str, least: float = 1.0) -> DataFrame:
@@ -242,9 +242,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "build_pyramid_weighted": lambda s, d: one_tree(s, d, "WeightedStriding"),
         "query_viewport_weighted": lambda s, d: window(s, d, 300, "WeightedStriding"),
         "query_viewports_weighted": lambda s, d: windows(s, d, "WeightedStriding"),
-        "stored_viewport": lambda s, d: shown(pyramid.query_viewport(stored(*built(s, d)), BOX, 300, "IntensityCutoff")),
+        "stored_viewport": lambda s, d: shown(pyramid.query_viewport(stored(*built(s, d))[0], BOX, 300, "IntensityCutoff")),
         "joined_tree": lambda s, d: in_batches(s, d).select("point_id", "leaf_depth", "lod"),
-        "incremental_viewport": lambda s, d: shown(pyramid.query_viewport(stored(in_batches(s, d), ingest.FAN_OUT), BOX, 300, "IntensityCutoff")),
+        "incremental_viewport": lambda s, d: shown(pyramid.query_viewport(stored(in_batches(s, d), ingest.FAN_OUT)[0], BOX, 300, "IntensityCutoff")),
         "ingest_mzml": lambda s, d: ingested(s, mzml_runs(s, d), "mzml").withColumn("run", run_of("run_id")).drop("run_id"),
         "ingest_csv": lambda s, d: whole_summary(ingested(s, csv_files(s, d), "csv")),
         "decode_spectra_widths": lambda s, d: mzml.decode_spectra(mzml.read_mzml_spectra(s, mzml_files(s, d))).select("spectrum_index", F.col("position").cast("long").alias("position"), "mz", "intensity"),

@@ -45,19 +45,13 @@ def index_within(df: DataFrame, group: list[str], order: list[str], out: str = "
     if not large:
         whole = Window.partitionBy(*group)
         return df.withColumn(out, (F.row_number().over(whole.orderBy(*order)) - 1).cast("long")).withColumn("n", F.count("*").over(whole))
-    return indexed(df, group, order, out)[0]
-
-
-def indexed(df: DataFrame, group: list[str], order: list[str], out: str) -> tuple[DataFrame, DataFrame]:
-    """``index_within`` for groups of any size, and the table that it joins: ``n`` for each group and task that has rows of it."""
     placed = _placed(df, [*group, *order])
-    cells = placed.groupBy(*group, "_part").agg(F.min("_row").alias("_start"), F.count("*").alias("_n"))
-    cells = written(cells, "cells")
     of_group = Window.partitionBy(*group)
+    # a row for each group and task that has rows of it, counted once for all that later reads the result
+    cells = written(placed.groupBy(*group, "_part").agg(F.min("_row").alias("_start"), F.count("*").alias("_n")), "cells")
     cells = cells.join(F.broadcast(_bases(cells)), "_part").withColumn("_first", F.min(F.col("_base") + F.col("_start")).over(of_group))
     cells = cells.select(*group, "_part", (F.col("_base") - F.col("_first")).alias("_shift"), F.sum("_n").over(of_group).alias("n"))
-    rows = placed.join(cells, [*group, "_part"]).withColumn(out, F.col("_row") + F.col("_shift")).select(*df.columns, out, "n")
-    return rows, cells
+    return placed.join(cells, [*group, "_part"]).withColumn(out, F.col("_row") + F.col("_shift")).select(*df.columns, out, "n")
 
 
 def chunk_split(df: DataFrame, group: list[str], order: list[str], k: int, large: bool = True) -> DataFrame:

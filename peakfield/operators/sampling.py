@@ -104,16 +104,14 @@ def stride_weighted(df: DataFrame, n: int | str, group: list[str] | None = None,
     if large:
         earlier = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
         rows = rows.withColumn("_bucket", F.expr(f"_j div {BUCKET}"))
-        sums = written(rows.groupBy(*bucket).agg(F.sum(weight).alias("_part")), "sums")
-        sums = sums.select(*bucket, F.sum("_part").over(whole).alias("_sum"), F.coalesce(F.sum("_part").over(earlier), F.lit(0)).alias("_base"))
+        sums = rows.groupBy(*bucket).agg(F.sum(weight).alias("_part")).select(*bucket, F.sum("_part").over(whole).alias("_sum"), F.coalesce(F.sum("_part").over(earlier), F.lit(0)).alias("_base"))
         rows = rows.join(sums, bucket).withColumn("_s", F.col("_base") + F.sum(weight).over(upto))
     else:
         rows = rows.withColumn("_sum", F.sum(weight).over(whole)).withColumn("_s", F.sum(weight).over(upto))
     rows = rows.withColumn("_behind", reached - at).withColumn("_upto", F.min("_behind").over(upto)).withColumn("_before", F.min("_behind").over(before))
     if large:
         rows = written(rows, "walk")
-        least = written(rows.groupBy(*bucket).agg(F.min("_behind").alias("_least")), "least")
-        least = least.select(*bucket, F.min("_least").over(earlier).alias("_earlier"), F.min("_least").over(whole).alias("_last"))
+        least = rows.groupBy(*bucket).agg(F.min("_behind").alias("_least")).select(*bucket, F.min("_least").over(earlier).alias("_earlier"), F.min("_least").over(whole).alias("_last"))
         rows = rows.join(least, bucket)
     else:
         rows = rows.withColumn("_earlier", F.lit(None).cast("long")).withColumn("_last", F.min("_behind").over(whole))

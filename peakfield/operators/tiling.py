@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from peakfield.functions.scratch import written
-from peakfield.operators.ordering import indexed
+from peakfield.operators.ordering import index_within
 
 CAPACITY, HEIGHT = 8192, 4
 #: What names a leaf tile: its id alone would not, as each level numbers its tiles from 0.
@@ -37,17 +37,16 @@ def tile(df: DataFrame, fan_out: int, capacity: int = CAPACITY, height: int = HE
     from its own, so nothing is counted again. At most ``height`` rounds.
     """
     columns = [*df.columns, "tile_id", "leaf_depth"]
-    runs = written(df.groupBy("run_id").agg(F.count("*").alias("_size")), "runs")
-    largest = runs.agg(F.max("_size")).first()[0] or 0
+    runs, largest = df.groupBy("run_id").agg(F.count("*").alias("_size")), largest_run(df)
     left = df.join(runs, "run_id").withColumn("tile_id", F.lit(0).cast("long")).withColumn("leaf_depth", F.lit(0)).select(*columns, "_size")
     done = []
     for depth in range(height):
         if fan_out < 2 or largest <= capacity:
             break
         done.append(left.where(F.col("_size") <= capacity))
-        split, cells = indexed(left.where(F.col("_size") > capacity), TILE, ["rt" if depth % 2 == 0 else "mz", "point_id"], "_idx")
+        split = index_within(left.where(F.col("_size") > capacity), TILE, ["rt" if depth % 2 == 0 else "mz", "point_id"], "_idx")
         share = F.expr(f"cast(ceil(n / {fan_out}) as bigint)")
-        largest = cells.agg(F.max(share)).first()[0]
+        largest = ceil(largest / fan_out)  # no child is larger than the largest tile's
         split = split.withColumn("_share", share).withColumn("_child", F.expr("_idx div _share")).withColumn("tile_id", F.expr(f"tile_id * {fan_out} + _child"))
         left = split.withColumn("_size", F.expr("least(_share, n - _child * _share)")).withColumn("leaf_depth", F.lit(depth + 1)).select(*columns, "_size")
     return written(reduce(DataFrame.union, [*done, left]).select(*columns), "tiled")

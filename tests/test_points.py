@@ -244,6 +244,70 @@ def test_records(spark, tmp_path):
     assert [r.point_id for r in got] == [0, 1]
 
 
+def test_record_files(spark, cloud, tmp_path):
+    df, path = cloud(500), scratch_path(spark, "records")
+    assert sum(r.n_points for r in records.write_point_records(df, path).collect()) == 500
+    want = sorted((r.point_id, r.meta1, r.mz, r.rt, r.intensity) for r in df.collect())
+    assert sorted(map(tuple, records.read_point_records(spark, path).collect())) == want
+    for name, n in (("a", 3), ("b", 0), ("c", 2)):
+        (tmp_path / f"{name}.bin").write_bytes(struct.pack(">dfdi", 1.0, 2.0, 3.0, n) * n)
+    assert {(r.point_id, r.meta1) for r in records.read_point_records(spark, str(tmp_path)).collect()} == {(0, 3), (1, 3), (2, 3), (3, 2), (4, 2)}
+    (tmp_path / "d.bin").write_bytes(b"x" * 30)
+    with pytest.raises(Exception, match="partial record"):
+        records.read_point_records(spark, str(tmp_path)).collect()
+
+
+def test_stream_of_raw_files(spark, tmp_path):
+    """Files are imported one by one; what cannot be read is kept aside."""
+    (tmp_path / "csv").mkdir(), (tmp_path / "mzml").mkdir()
+    (tmp_path / "csv/a.csv").write_text("m/z,RT,intensity,meta1\n1,2,3,4\n5,1,3,4\nx,2,3,4\n")
+    (tmp_path / "csv/b.csv").write_text("9,9,9,9\n")
+    good = [packed([500.5, 501.5], True, True, mzml.MZ_ARRAY), packed([0.5, 8.0], True, True, mzml.INTENSITY_ARRAY)]
+    spectra = [element(0, 1, good), element(1, 2, good), element(2, 1, good[:1])]
+    (tmp_path / "mzml/a.mzML").write_text("<mzML><run><spectrumList>" + "\n".join(spectra) + "</spectrumList></run></mzML>")
+    got = {}
+    for kind in ("csv", "mzml"):
+        out = scratch_path(spark, "out")
+        ingest.ingest_stream(spark, f"{tmp_path}/{kind}", None, out, scratch_path(spark, "offsets"), kind=kind).awaitTermination()
+        points = spark.read.parquet(f"{out}/points").collect()
+        got[kind] = sorted((r.run_id[-5:], r.point_id, r.mz) for r in points), [r.reason for r in spark.read.parquet(f"{out}/quarantine").collect()]
+    assert got["csv"] == ([("a.csv", 0, 5.0), ("a.csv", 1, 1.0), ("b.csv", 0, 9.0)], ["mz"])
+    assert got["mzml"] == ([(".mzML", 0, 501.5)], ["missing array"])
+    with pytest.raises(ValueError, match="no kind"):
+        ingest.ingest_stream(spark, str(tmp_path), None, "", "", kind="txt")
+
+
+def test_joined_tree(spark, cloud):
+    """Three batches below two common levels: each inner tile shows what it can of what its children show."""
+    source, out, capacity, fan_out = scratch_path(spark, "in"), scratch_path(spark, "out"), 60, 2
+    cloud(900, runs=("a",)).repartitionByRange(3, "point_id").write.parquet(source)
+    ingest.ingest_stream(spark, source, POINT, out, scratch_path(spark, "offsets"), capacity=capacity, fan_out=fan_out).awaitTermination()
+    made = ingest.joined_tree(spark, out, capacity, fan_out)
+    rows = made.collect()
+    assert sorted(r.point_id for r in rows) == list(range(900))
+    for depth in range(max(r.leaf_depth for r in rows)):
+        shown, below = Counter(), Counter()
+        for r in rows:
+            if r.leaf_depth > depth:
+                at = r.tile_id // fan_out ** (r.leaf_depth - depth)
+                shown[at] += r.lod <= depth
+                below[at] += r.lod <= depth + 1
+        assert all(shown[t] == min(capacity, below[t]) for t in below)
+    assert pyramid.query_viewport(made, Box(), 50, "IntensityCutoff").count() == 50
+    tiles = bounds.tile_bounds_rollup(bounds.tile_bounds(made), fan_out).where("depth = 0").collect()
+    assert [(t.tile_id, t.n_points) for t in tiles] == [(0, 900)]
+
+
+def test_whole_run_viewports_meet_each_tile_once(spark, cloud):
+    made = tiling.tile(cloud(2000), 4, 30, 3)
+    leaves = bounds.tile_bounds(made)
+    asked = spark.createDataFrame([(1, "a", 0.0, 0.0, 0.0, 0.0, 0), (2, "a", 200.0, 300.0, 0.0, 0.0, 0), (3, "b", 20.0, 30.0, 5.0, 9.0, 0)], "viewport_id long, run_id string, mz_min double, mz_max double, rt_min float, rt_max float, num_points int")
+    got = Counter((r.viewport_id, r.leaf_depth, r.tile_id) for r in viewports.viewport_tiles(leaves, asked).collect())
+    tiles = leaves.collect()
+    want = {(1, t.leaf_depth, t.tile_id) for t in tiles if t.run_id == "a"} | {(3, t.leaf_depth, t.tile_id) for t in tiles if t.run_id == "b" and t.mz_max >= 20 and t.mz_min <= 30 and t.rt_max >= 5 and t.rt_min <= 9}
+    assert got == Counter(want)
+
+
 def test_stream_is_idempotent(spark, cloud):
     source, out = scratch_path(spark, "in"), scratch_path(spark, "out")
     df = cloud(800, runs=("a",))
