@@ -16,6 +16,11 @@ MODULES = {
     "op2_hidden_markov": "hmm",
     "op8_word_backoff": "langid",
     "op9_spotsigs": "spotsigs",
+    "op11_conversation_repair": "conversations",
+    "op12_ball_tree": "balltree",
+    "op13_annular_codes": "annular",
+    
+    
 }
 
 
