@@ -171,6 +171,16 @@ def sql() -> dict[str, str]:
         "query_viewport": window_sql(300),
         "query_viewports": f"WITH {LEVELS}, {ASKED}, {VIEWED} SELECT viewport_id, point_id, lod FROM seen WHERE num_points = 0 OR pick <= num_points",
         "build_pyramid_weighted": f"WITH {WEIGHTED} SELECT run_id, point_id, tile_id, leaf_depth, lod FROM l",
+        "aggregate_tree": f"""WITH {LEVELS}, d AS (SELECT CAST(unnest(range(0, {HEIGHT + 1})) AS INTEGER) AS depth), n AS (
+  SELECT run_id, depth, CAST(tile_id // CAST(power(k, leaf_depth - depth) AS BIGINT) AS BIGINT) AS tile_id, {", ".join(f"count(*) FILTER (lod <= {x}) AS n{x}" for x in range(HEIGHT + 1))} FROM l, cfg, d WHERE depth <= leaf_depth GROUP BY ALL)
+SELECT run_id, depth, tile_id, n{HEIGHT} AS n_points, array_to_string([{", ".join(f"n{x}" for x in range(HEIGHT + 1))}], ',') AS shown FROM n""",
+        "window_counts": f"WITH {LEVELS}, {ASKED}, {VIEWED} SELECT viewport_id, lod AS depth, CAST(n AS BIGINT) AS n_points FROM upto",
+        "level_counts": f"WITH {LEVELS} SELECT run_id, lod AS depth, CAST(sum(count(*)) OVER (PARTITION BY run_id ORDER BY lod) AS BIGINT) AS n_points FROM l WHERE {IN_BOX} GROUP BY run_id, lod",
+        "walk_viewports": f"WITH {LEVELS}, {ASKED}, {VIEWED} SELECT viewport_id, point_id, lod FROM seen WHERE num_points = 0 OR pick <= num_points",
+        "walk_viewports_weighted": weighted_windows_sql(),
+        "query_runs": f"""WITH {tile_ctes(f"{ITEMS}, p AS (SELECT * FROM items)")}, {level_ctes()}, b AS (SELECT * FROM l WHERE mz >= 20000 AND mz <= 60000 AND rt >= -600 AND rt <= 600),
+u AS (SELECT run_id, lod, sum(count(*)) OVER (PARTITION BY run_id ORDER BY lod) AS n FROM b GROUP BY run_id, lod), e AS (SELECT run_id, min(lod) AS depth FROM u WHERE n >= 400 GROUP BY run_id)
+SELECT {OUT} FROM b LEFT JOIN e USING (run_id) WHERE depth IS NULL OR lod <= depth QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY intensity DESC, point_id DESC) <= 400""",
         "query_viewport_weighted": weighted_window_sql(300),
         "query_viewports_weighted": weighted_windows_sql(),
         "stored_viewport": window_sql(300),

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from peakfield.functions.points import AXES, POINT, VALUE, from_events, from_lineitem, project_axes, round_outward
 from peakfield.functions.scratch import scratch_path, written
 from peakfield.jobs.import_run import import_run, numbered
-from peakfield.operators import bounds, boxes, lookups, ordering, pyramid, sampling, tiling, viewports
+from peakfield.operators import bounds, boxes, lookups, ordering, pyramid, sampling, tiling, viewports, walk
 from peakfield.operators.boxes import Box
 from peakfield.sources import mzml, records, store, text
 from peakfield.streaming import ingest
@@ -27,6 +27,7 @@ BOX = Box(5.0, 60.0, 3600.0, 2_000_000.0)
 CAPACITY, HEIGHT = 512, 2
 N, SEED = 777, 7
 RUNS = 4
+ITEM_BOX = Box(20_000.0, 60_000.0, -600.0, 600.0)
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,6 +235,47 @@ def windows(s: SparkSession, d: str, strategy: str = "IntensityCutoff") -> DataF
     return got.select("viewport_id", "point_id", "lod")
 
 
+def with_tree(s: SparkSession, d: str, strategy: str = "IntensityCutoff") -> tuple[DataFrame, DataFrame, int]:
+    """(stored points, aggregate tree, fan-out) of the pyramid over events."""
+    df, fan_out = built(s, d, strategy)
+    return (*stored_by_level(df, fan_out), fan_out)
+
+
+def stored_by_level(pyramid_: DataFrame, fan_out: int) -> tuple[DataFrame, DataFrame]:
+    path = scratch_path(pyramid_.sparkSession, "store")
+    store.write_store(pyramid_, walk.aggregate_tree(pyramid_, fan_out), path)
+    return store.open_store(pyramid_.sparkSession, path)
+
+
+def walked(s: SparkSession, d: str, strategy: str = "IntensityCutoff") -> DataFrame:
+    df, tree, fan_out = with_tree(s, d, strategy)
+    return walk.walk_viewports(df, tree, asked(s, d), fan_out, strategy).select("viewport_id", "point_id", "lod")
+
+
+def counted(s: SparkSession, d: str) -> DataFrame:
+    df, tree, fan_out = with_tree(s, d)
+    return walk.window_counts(df, tree, asked(s, d), fan_out).select("viewport_id", "depth", "n_points")
+
+
+def level_counts(s: SparkSession, d: str) -> DataFrame:
+    """points_per_level of one window, from the tree."""
+    df, tree, fan_out = with_tree(s, d)
+    sides = s.createDataFrame([("BOX", "events", *vars(BOX).values(), 0)], "viewport_id string, run_id string, mz_min double, mz_max double, rt_min double, rt_max double, num_points int")
+    return walk.window_counts(df, tree, sides, fan_out).select("run_id", "depth", "n_points")
+
+
+def item_windows(s: SparkSession, d: str) -> DataFrame:
+    """A window of each run of lineitem, each at a depth of its own."""
+    df = written(items(s, d), "items")
+    _, fan_out = tiling.tree_config(tiling.largest_run(df), CAPACITY, HEIGHT)
+    levels = pyramid.levels(tiling.tile(df, fan_out, CAPACITY, HEIGHT), fan_out, CAPACITY, HEIGHT, "IntensityCutoff")
+    return shown(walk.query_runs(*stored_by_level(levels, fan_out), fan_out, ITEM_BOX, 400, "IntensityCutoff"))
+
+
+def tree_table(s: SparkSession, d: str) -> DataFrame:
+    return with_tree(s, d)[1].select("run_id", "depth", "tile_id", "n_points", F.concat_ws(",", "shown").alias("shown"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "query_viewport": window,
@@ -242,6 +284,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "build_pyramid_weighted": lambda s, d: one_tree(s, d, "WeightedStriding"),
         "query_viewport_weighted": lambda s, d: window(s, d, 300, "WeightedStriding"),
         "query_viewports_weighted": lambda s, d: windows(s, d, "WeightedStriding"),
+        "aggregate_tree": tree_table,
+        "window_counts": counted,
+        "level_counts": level_counts,
+        "walk_viewports": walked,
+        "walk_viewports_weighted": lambda s, d: walked(s, d, "WeightedStriding"),
+        "query_runs": item_windows,
         "stored_viewport": lambda s, d: shown(pyramid.query_viewport(stored(*built(s, d))[0], BOX, 300, "IntensityCutoff")),
         "joined_tree": lambda s, d: in_batches(s, d).select("point_id", "leaf_depth", "lod"),
         "incremental_viewport": lambda s, d: shown(pyramid.query_viewport(stored(in_batches(s, d), ingest.FAN_OUT)[0], BOX, 300, "IntensityCutoff")),

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from peakfield.functions.points import VALUE
 
 
-def _ranges() -> list[Column]:
+def ranges() -> list[Column]:
     names = (("mz", "mz"), ("rt", "rt"), ("intensity", "int"))
     return [f(axis).alias(f"{short}_{end}") for axis, short in names for end, f in (("min", F.min), ("max", F.max))]
 
 
 def dataset_summary(df: DataFrame) -> DataFrame:
     """Bounds of the three axes and the number of points, a row for each run."""
-    return df.groupBy("run_id").agg(*_ranges(), F.count("*").alias("point_count"))
+    return df.groupBy("run_id").agg(*ranges(), F.count("*").alias("point_count"))
 
 
 def count_points(spectra: DataFrame, least: float = 1.0) -> DataFrame:
@@ -30,7 +30,7 @@ def axis_sums(df: DataFrame) -> DataFrame:
 
 def tile_bounds(df: DataFrame) -> DataFrame:
     """Bounds and number of points of each leaf tile."""
-    return df.groupBy("run_id", "leaf_depth", "tile_id").agg(*_ranges(), F.count("*").alias("n_points"))
+    return df.groupBy("run_id", "leaf_depth", "tile_id").agg(*ranges(), F.count("*").alias("n_points"))
 
 
 def ancestor(depth: int | str, base: int) -> Column:
