@@ -48,6 +48,11 @@ def uniform(seed: int, *keys: str) -> Column:
     return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
+def file_of(path: str = "_metadata.file_path") -> Column:
+    """A file's path in one form, whoever has listed it."""
+    return F.regexp_replace(path, "^file:/+", "file:///")
+
+
 def round_outward(lower: Column, upper: Column, digits: int = 3) -> tuple[Column, Column]:
     """Bounds rounded so that the interval only grows: the lower one down, the upper one up."""
     scale = float(10**digits)

@@ -15,7 +15,7 @@ CAPACITY, HEIGHT, N = 512, 2, 777
 
 SPECTRA = """s AS (
   SELECT run_id, CAST(meta1 AS BIGINT) AS spectrum_index, CAST(meta1 % 3 AS INTEGER) AS ms_level, CAST(min(rt) AS DOUBLE) AS rt, count(*) AS n_peaks,
-    count(*) FILTER (intensity >= 50) AS n_strong
+    count(*) FILTER (intensity >= 50) AS n_strong, max(intensity) AS int_max
   FROM p GROUP BY run_id, meta1
 )"""
 ASKED = """v AS (
@@ -35,6 +35,8 @@ IMPORTED = f"""{P.replace("p AS", "p0 AS", 1)}, s0 AS (SELECT meta1 AS u, min(rt
     CASE WHEN meta1 % 2 = 0 THEN mz ELSE CAST(CAST(mz AS FLOAT) AS DOUBLE) END AS mz, start AS rt, intensity
   FROM p0 JOIN s0 ON meta1 = u WHERE meta1 % 3 IN (0, 1)
 )"""
+#: The points that an import of one mzML file has.
+ONE_RUN = IMPORTED.replace("ORDER BY CAST(meta1 % 4 AS VARCHAR), meta1, point_id", "ORDER BY meta1, point_id")
 #: The points in four batches, each with a tree of its own.
 BATCHES = f"""{P.replace("p AS", "p0 AS", 1)}, p AS (SELECT CAST(point_id % 4 AS VARCHAR) AS run_id, point_id, meta1, mz, rt, intensity FROM p0)"""
 
@@ -171,6 +173,12 @@ def sql() -> dict[str, str]:
         "query_viewport": window_sql(300),
         "query_viewports": f"WITH {LEVELS}, {ASKED}, {VIEWED} SELECT viewport_id, point_id, lod FROM seen WHERE num_points = 0 OR pick <= num_points",
         "build_pyramid_weighted": f"WITH {WEIGHTED} SELECT run_id, point_id, tile_id, leaf_depth, lod FROM l",
+        "mzml_source": f"WITH {P}, {SPECTRA} SELECT spectrum_index, ms_level, rt, 'second' AS rt_unit, n_peaks, int_max FROM s WHERE ms_level IN (0, 1) AND rt > 100",
+        "cut_import": f"WITH {ONE_RUN} SELECT point_id, mz, CAST(rt AS DOUBLE) AS rt, intensity FROM p QUALIFY row_number() OVER (ORDER BY intensity DESC, point_id DESC) <= {CAPACITY}",
+        "cut_import_summary": f"WITH {ONE_RUN} SELECT {RANGES}, count(*) AS point_count FROM p",
+        "cut_records": f"WITH {P} SELECT {RANGES}, count(*) AS point_count FROM p",
+        "joined_tree_weighted": f"""WITH {tile_ctes(BATCHES, FIXED)}, {weighted_level_ctes()}, rootl AS (SELECT * FROM l WHERE lod = 0), {weighted("rootl", "1", CAPACITY, "point_id", "_root")}
+SELECT l.point_id, leaf_depth + 1 AS leaf_depth, CASE WHEN r.point_id IS NULL THEN lod + 1 ELSE 0 END AS lod FROM l LEFT JOIN picked_root r USING (point_id)""",
         "aggregate_tree": f"""WITH {LEVELS}, d AS (SELECT CAST(unnest(range(0, {HEIGHT + 1})) AS INTEGER) AS depth), n AS (
   SELECT run_id, depth, CAST(tile_id // CAST(power(k, leaf_depth - depth) AS BIGINT) AS BIGINT) AS tile_id, {", ".join(f"count(*) FILTER (lod <= {x}) AS n{x}" for x in range(HEIGHT + 1))} FROM l, cfg, d WHERE depth <= leaf_depth GROUP BY ALL)
 SELECT run_id, depth, tile_id, n{HEIGHT} AS n_points, array_to_string([{", ".join(f"n{x}" for x in range(HEIGHT + 1))}], ',') AS shown FROM n""",

@@ -20,7 +20,7 @@ from peakfield.functions.scratch import scratch_path, written
 from peakfield.jobs.import_run import import_run, numbered
 from peakfield.operators import bounds, boxes, lookups, ordering, pyramid, sampling, tiling, viewports, walk
 from peakfield.operators.boxes import Box
-from peakfield.sources import mzml, records, store, text
+from peakfield.sources import mzml, mzml_source, ranges, records, store, text
 from peakfield.streaming import ingest
 
 BOX = Box(5.0, 60.0, 3600.0, 2_000_000.0)
@@ -116,6 +116,29 @@ def mzml_runs(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
+def one_mzml_file(spark: SparkSession, sf_dir: str) -> str:
+    """The events as one mzML file, spectra in the order of their index."""
+    path = scratch_path(spark, "one")
+    rows = spectra(spark, sf_dir).mapInPandas(as_mzml, "run int, value string").withColumn("index", F.regexp_extract("value", 'index="([0-9]+)"', 1).cast("long"))
+    rows.repartition(1).sortWithinPartitions("index").select("value").write.text(path)
+    return path
+
+
+def cut_import(spark: SparkSession, sf_dir: str) -> str:
+    """One mzML file imported in five batches or more, by ranges of its bytes."""
+    source, out = one_mzml_file(spark, sf_dir), scratch_path(spark, "streamed")
+    size = sum(n for _, n in ranges.listed(source)) // 5
+    ingest.ingest_stream(spark, source, None, out, scratch_path(spark, "offsets"), capacity=CAPACITY, kind="mzml", strategy="IntensityCutoff", bytes_per_batch=size).awaitTermination()
+    return out
+
+
+def from_format(spark: SparkSession, path: str) -> DataFrame:
+    """Spectra through the data source, which is handed the filters."""
+    mzml_source.register(spark)
+    found = spark.read.format("mzml").option("bytesPerPartition", 1 << 16).load(path)
+    return boxes.filter_ms_level(found).where("rt > 100").select("spectrum_index", F.col("ms_level").cast("int").alias("ms_level"), F.col("rt").cast("double").alias("rt"), "rt_unit", F.size("mz").cast("long").alias("n_peaks"), F.array_max("intensity").alias("int_max"))
+
+
 def run_of(path: str) -> Column:
     """The run that a file's path names."""
     return F.regexp_extract(path, "run=([0-9]+)", 1)
@@ -151,7 +174,7 @@ def streamed(spark: SparkSession, sf_dir: str, capacity: int | None = None) -> s
     """events, written as one file for each slice of ids, imported file by file."""
     source, out = scratch_path(spark, "incoming"), scratch_path(spark, "streamed")
     points(spark, sf_dir).repartitionByRange(4, "point_id").write.parquet(source)
-    ingest.ingest_stream(spark, source, POINT, out, scratch_path(spark, "offsets"), capacity=capacity).awaitTermination()
+    ingest.ingest_stream(spark, source, POINT, out, scratch_path(spark, "offsets"), capacity=capacity, strategy="IntensityCutoff").awaitTermination()
     return out
 
 
@@ -161,12 +184,12 @@ def imported(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.open_store(spark, out)[0].select(run_of("run_id").alias("run"), "point_id", "mz", F.col("rt").cast("double").alias("rt"), "intensity", "tile_id", "leaf_depth", "lod")
 
 
-def in_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+def in_batches(spark: SparkSession, sf_dir: str, strategy: str = "IntensityCutoff") -> DataFrame:
     """One tree over events that arrive as four files."""
     source, out = scratch_path(spark, "incoming"), scratch_path(spark, "streamed")
     points(spark, sf_dir).withColumn("slice", F.col("point_id") % 4).repartition(4, "slice").write.partitionBy("slice").parquet(source)
-    ingest.ingest_stream(spark, source, POINT, out, scratch_path(spark, "offsets"), capacity=CAPACITY).awaitTermination()
-    return ingest.joined_tree(spark, out, CAPACITY)
+    ingest.ingest_stream(spark, source, POINT, out, scratch_path(spark, "offsets"), capacity=CAPACITY, strategy=strategy).awaitTermination()
+    return ingest.joined_tree(spark, out, CAPACITY, strategy=strategy)
 
 
 def stored(pyramid_: DataFrame, fan_out: int) -> tuple[DataFrame, DataFrame]:
@@ -294,6 +317,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "joined_tree": lambda s, d: in_batches(s, d).select("point_id", "leaf_depth", "lod"),
         "incremental_viewport": lambda s, d: shown(pyramid.query_viewport(stored(in_batches(s, d), ingest.FAN_OUT)[0], BOX, 300, "IntensityCutoff")),
         "ingest_mzml": lambda s, d: ingested(s, mzml_runs(s, d), "mzml").withColumn("run", run_of("run_id")).drop("run_id"),
+        "mzml_source": lambda s, d: from_format(s, mzml_files(s, d)),
+        "cut_import": lambda s, d: ingest.joined_tree(s, cut_import(s, d), CAPACITY, strategy="IntensityCutoff").where("lod = 0").select("point_id", "mz", F.col("rt").cast("double").alias("rt"), "intensity"),
+        "cut_import_summary": lambda s, d: summary_table(ingest.merged_summary(s, cut_import(s, d))).drop("run_id"),
+        "cut_records": lambda s, d: summary_table(whole_summary(ingested(s, record_files(s, d), "records"))),
+        "joined_tree_weighted": lambda s, d: in_batches(s, d, "WeightedStriding").select("point_id", "leaf_depth", "lod"),
         "ingest_csv": lambda s, d: whole_summary(ingested(s, csv_files(s, d), "csv")),
         "decode_spectra_widths": lambda s, d: mzml.decode_spectra(mzml.read_mzml_spectra(s, mzml_files(s, d))).select("spectrum_index", F.col("position").cast("long").alias("position"), "mz", "intensity"),
         "json_rows_back": lambda s, d: json_back(points(s, d)),
@@ -309,7 +337,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "build_incremental": lambda s, d: ingest.root_summary(s, streamed(s, d, CAPACITY), 50).select("run_id", "point_id"),
         "load": lambda s, d: store.load(s, csv_files(s, d), "csv").groupBy("meta1").agg(F.count("*").alias("n_points"), F.sum("intensity").alias("int_sum")),
         "import_run": imported,
-        "numbered_import": lambda s, d: numbered(s, mzml_files(s, d), 50.0).groupBy("run_id").agg(F.count("*").alias("n")).agg(F.sum("n").alias("n_points")),
+        "numbered_import": lambda s, d: numbered(mzml.decoded(boxes.filter_ms_level(mzml.read_mzml_spectra(s, mzml_files(s, d)))), 50.0).groupBy("run_id").agg(F.count("*").alias("n")).agg(F.sum("n").alias("n_points")),
         "filter_min_intensity": lambda s, d: shown(boxes.filter_min_intensity(points(s, d), 50.0)),
         "filter_ms_level": lambda s, d: boxes.filter_ms_level(spectra(s, d)).select("spectrum_index", F.col("ms_level").cast("int").alias("ms_level"), F.size("mz").cast("long").alias("n_peaks")),
         "in_box": lambda s, d: shown(boxes.in_box(points(s, d), BOX)),

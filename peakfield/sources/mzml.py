@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamReader
 
+from peakfield.functions.points import file_of
+
 #: Accessions of the controlled vocabulary.
 MS_LEVEL, SCAN_START = "MS:1000511", "MS:1000016"
 MZ_ARRAY, INTENSITY_ARRAY = "MS:1000514", "MS:1000515"
@@ -38,7 +40,7 @@ def read_mzml_spectra(spark: SparkSession, path: str) -> DataFrame:
 
 def raw_spectra(reader: DataFrameReader | DataStreamReader, path: str) -> DataFrame:
     """(value, run_id): the text up to the end of each spectrum, as a table or as a stream."""
-    return reader.format("text").option("lineSep", "</spectrum>").load(path).select("value", F.col("_metadata.file_path").alias("run_id"))
+    return reader.format("text").option("lineSep", "</spectrum>").load(path).select("value", file_of().alias("run_id"))
 
 
 def parsed(text: DataFrame) -> DataFrame:
@@ -71,25 +73,27 @@ def _values(terms: list[str], text: str | None) -> np.ndarray:
 UNSUPPORTED = {"MS:1002312", "MS:1002313", "MS:1002314", "MS:1002746", "MS:1002747", "MS:1002748"}
 
 
+def peaks_of(arrays: list[dict] | None) -> tuple[np.ndarray | None, np.ndarray | None, str | None]:
+    """(mz, intensity, None) of a spectrum's encoded arrays, or the reason why they cannot be read."""
+    found = {}
+    try:
+        for a in arrays if arrays is not None else ():
+            terms = list(a["terms"])
+            for name, accession in (("mz", MZ_ARRAY), ("intensity", INTENSITY_ARRAY)):
+                if accession in terms:
+                    found[name] = _values(terms, a["binary"])
+    except (ValueError, zlib.error) as e:
+        return None, None, str(e)
+    if len(found) < 2:
+        return None, None, "missing array"
+    if len(found["mz"]) != len(found["intensity"]):
+        return None, None, "arrays of different length"
+    return found["mz"], found["intensity"], None
+
+
 def _decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        out = []
-        for row in frame.itertuples():
-            found, reason = {}, None
-            try:
-                for a in row.arrays if row.arrays is not None else ():
-                    terms = list(a["terms"])
-                    for name, accession in (("mz", MZ_ARRAY), ("intensity", INTENSITY_ARRAY)):
-                        if accession in terms:
-                            found[name] = _values(terms, a["binary"])
-                if len(found) < 2:
-                    reason = "missing array"
-                elif len(found["mz"]) != len(found["intensity"]):
-                    reason = "arrays of different length"
-            except (ValueError, zlib.error) as e:
-                reason = str(e)
-            good = reason is None
-            out.append((row.run_id, row.spectrum_index, row.rt, found["mz"] if good else None, found["intensity"] if good else None, reason))
+        out = [(row.run_id, row.spectrum_index, row.rt, *peaks_of(row.arrays)) for row in frame.itertuples()]
         yield pd.DataFrame(out, columns=["run_id", "spectrum_index", "rt", "mz", "intensity", "reason"])
 
 
@@ -100,10 +104,20 @@ def decoded(spectra: DataFrame) -> DataFrame:
 
 def decode_spectra(spectra: DataFrame) -> DataFrame:
     """(run_id, spectrum_index, position, meta1, mz, rt, intensity), a row for each peak of the spectra that can be read."""
-    peaks = decoded(spectra).where("reason IS NULL").select("run_id", "spectrum_index", "rt", F.posexplode(F.arrays_zip("mz", "intensity")).alias("position", "peak"))
+    return points_of(decoded(spectra))
+
+
+def points_of(found: DataFrame) -> DataFrame:
+    """decoded -> decode_spectra"""
+    peaks = found.where("reason IS NULL").select("run_id", "spectrum_index", "rt", F.posexplode(F.arrays_zip("mz", "intensity")).alias("position", "peak"))
     return peaks.select("run_id", "spectrum_index", "position", F.lit(0).alias("meta1"), F.col("peak.mz").alias("mz"), "rt", F.col("peak.intensity").alias("intensity"))
 
 
+def refused(found: DataFrame) -> DataFrame:
+    """decoded -> quarantine"""
+    return found.where("reason IS NOT NULL").select("run_id", "spectrum_index", "reason")
+
+
 def quarantine(spectra: DataFrame) -> DataFrame:
     """(run_id, spectrum_index, reason) of the spectra that cannot be read."""
-    return decoded(spectra).where("reason IS NOT NULL").select("run_id", "spectrum_index", "reason")
+    return refused(decoded(spectra))

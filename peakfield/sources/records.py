@@ -52,6 +52,24 @@ def read_point_records(spark: SparkSession, path: str) -> DataFrame:
     return ranges.repartition("path", "at").select("path", "at", "n_bytes", "base").mapInPandas(_ranges, POINTS)
 
 
+def records_of(ranges: DataFrame) -> DataFrame:
+    """(uri, start, end), ranges of whole records -> points; run_id is the file, point_id the record's ordinal in it."""
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples():
+                files, path = pa.fs.FileSystem.from_uri(row.uri)
+                with files.open_input_file(path) as source:
+                    data = source.read_at(int(row.end - row.start), int(row.start))
+                if len(data) % RECORD.itemsize:
+                    raise ValueError(f"a partial record at the end of {row.uri}")
+                first = row.start // RECORD.itemsize
+                yield _frame(data, np.arange(first, first + len(data) // RECORD.itemsize)).assign(run_id=row.uri)
+
+    cut = ranges.select("uri", "end", F.explode(F.sequence("start", F.col("end") - 1, F.lit(RANGE).cast("long"))).alias("start"))
+    return cut.select("uri", "start", F.least(F.col("start") + RANGE, F.col("end")).alias("end")).repartition("uri", "start").mapInPandas(read, f"{POINTS}, run_id string")
+
+
 def write_point_records(df: DataFrame, path: str) -> DataFrame:
     """Writes points with ids as record files, range-sorted by point_id, into the folder ``path``, a URI; returns (file, n_points).
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, DataFrameReader, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamReader
 
+from peakfield.functions.points import file_of
 from peakfield.operators.boxes import Box, in_box
 
 FIELDS = {"mz": "double", "rt": "float", "intensity": "double", "meta1": "int"}
@@ -19,7 +20,7 @@ def raw_lines(reader: DataFrameReader | DataStreamReader, path: str) -> DataFram
     schema = ", ".join(f"{c} string" for c in FIELDS) + ", _bad string"
     rows = reader.schema(schema).format("csv").option("columnNameOfCorruptRecord", "_bad").load(path)
     head = F.expr("try_cast(mz AS double)").isNull() & F.lower(F.trim("mz")).isin("m/z", "mz")
-    return rows.where(~F.coalesce(head, F.lit(False))).select(*FIELDS, F.col("_metadata.file_path").alias("run_id"))
+    return rows.where(~F.coalesce(head, F.lit(False))).select(*FIELDS, file_of().alias("run_id"))
 
 
 def _casts() -> list:

@@ -1,4 +1,7 @@
-"""Incremental import: new files arrive as micro-batches, each is kept under its batch id and may be repeated.
+"""Incremental import: new files, or ranges of large files, arrive as micro-batches, each is kept under its batch id and may be repeated.
+
+Files of any size are cut into ranges of bytes, each described by a small file of its own; a stream of these has the byte positions as its
+offsets, so a batch is bounded, and one that is run again reads the same bytes.
 
 Every batch is tiled with the same fan-out, so that its tree can become a part of a larger one: ``joined_tree``
 puts the trees of all batches below common roots.
@@ -17,13 +20,18 @@ from peakfield.operators.ordering import index_within
 from peakfield.operators.pyramid import levels, risen
 from peakfield.operators.sampling import summarize
 from peakfield.operators.tiling import largest_run, tile, tree_config
-from peakfield.sources import mzml, text
+from peakfield.functions.scratch import written
+from peakfield.sources import mzml, ranges, records, text
 
 FAN_OUT = 8
 
 
-def _arriving(spark: SparkSession, source: str, schema: T.StructType | None, kind: str, files_per_batch: int) -> DataFrame:
+def _arriving(spark: SparkSession, source: str, schema: T.StructType | None, kind: str, files_per_batch: int, positions: str | None) -> DataFrame:
     reader = spark.readStream.option("maxFilesPerTrigger", files_per_batch)
+    if positions:
+        if kind not in ("mzml", "records"):
+            raise ValueError(f"files of kind {kind!r} are not cut")
+        return reader.schema(ranges.RANGES).json(positions)
     if kind == "mzml":
         return mzml.raw_spectra(reader, source)
     if kind == "csv":
@@ -33,43 +41,62 @@ def _arriving(spark: SparkSession, source: str, schema: T.StructType | None, kin
     raise ValueError(f"no kind {kind!r}")
 
 
-def _points(batch: DataFrame, kind: str, least: float) -> tuple[DataFrame, DataFrame | None]:
-    """The points of a batch and what of it cannot be read. A file lies in one batch as a whole, so ids count from 0 within each file."""
+def _points(batch: DataFrame, kind: str, least: float, cut: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """The points of a batch and what of it cannot be read; ids count from 0 within what the batch has of each file. Spectra are decoded once."""
     if kind == "parquet":
         return batch, None
     if kind == "csv":
         rows = index_within(text.parsed(batch, "drop"), ["run_id"], ["rt", "mz", "intensity", "meta1"], "point_id")
         return rows.select(*POINT.names), text.refused(batch)
-    spectra = filter_ms_level(mzml.parsed(batch))
-    peaks = filter_min_intensity(mzml.decode_spectra(spectra), least)
-    return index_within(peaks, ["run_id"], ["spectrum_index", "position"], "point_id").select(*POINT.names), mzml.quarantine(spectra)
+    if kind == "records":
+        return records.records_of(batch).select(*POINT.names), None
+    found = written(ranges.spectra_of(batch, 1) if cut else mzml.decoded(filter_ms_level(mzml.parsed(batch))), "decoded")
+    peaks = filter_min_intensity(mzml.points_of(found), least)
+    return index_within(peaks, ["run_id"], ["spectrum_index", "position"], "point_id").select(*POINT.names), mzml.refused(found)
+
+
+def _after(points: DataFrame, out: str, batch_id: int) -> DataFrame:
+    """Ids that go on where the batches before this one, which are complete, have stopped in each file."""
+    if not batch_id:
+        return points
+    bounds = points.sparkSession.read.parquet(f"{out}/bounds").where(F.col("batch") < batch_id)
+    before = bounds.groupBy("run_id").agg(F.sum("point_count").alias("_before"))
+    return points.join(before, "run_id", "left").withColumn("point_id", F.col("point_id") + F.coalesce("_before", F.lit(0))).select(*POINT.names)
 
 
 def ingest_stream(
     spark: SparkSession, source: str, schema: T.StructType | None, out: str, checkpoint: str, files_per_batch: int = 1, capacity: int | None = None,
-    kind: str = "parquet", fan_out: int = FAN_OUT, strategy: str = "IntensityCutoff", least: float = 1.0,
+    kind: str = "parquet", fan_out: int = FAN_OUT, strategy: str = "WeightedStriding", least: float = 1.0, bytes_per_batch: int | None = None,
 ):
     """Starts a query that appends each batch's points and bounds to ``out`` and stops when the source is read.
 
-    kind: "parquet" (points), "csv" or "mzml" files. A batch overwrites its own folders, so a batch that is run again after a failure
+    kind: "parquet" (points), "csv", "mzml" or "records" files. With ``bytes_per_batch``, mzml and records files are cut, and a batch is ``files_per_batch``
+    ranges of so many bytes, however large the files are; files that have come since are added by calling this again. A batch overwrites its own folders, so a batch that is run again after a failure
     changes nothing. With ``capacity`` each batch is also built into a pyramid of its own. What cannot be read is kept
     under ``out``/quarantine.
     """
 
     def keep(batch: DataFrame, batch_id: int) -> None:
-        points, bad = _points(batch, kind, least)
+        points, bad = _points(batch, kind, least, bool(positions))
+        if positions and kind == "mzml":
+            points = _after(points, out, batch_id)
         if capacity:
             height, leaves = 0, tree_config(largest_run(points), capacity)[0]
             while fan_out**height < leaves:
                 height += 1
             points = levels(tile(points, fan_out, capacity, height), fan_out, capacity, height, strategy)
         points.write.mode("overwrite").parquet(f"{out}/points/batch={batch_id}")
-        written = batch.sparkSession.read.parquet(f"{out}/points/batch={batch_id}")
-        dataset_summary(written).write.mode("overwrite").parquet(f"{out}/bounds/batch={batch_id}")
+        kept = batch.sparkSession.read.parquet(f"{out}/points/batch={batch_id}")
+        dataset_summary(kept).write.mode("overwrite").parquet(f"{out}/bounds/batch={batch_id}")
         if bad is not None:
             bad.write.mode("overwrite").parquet(f"{out}/quarantine/batch={batch_id}")
 
-    return _arriving(spark, source, schema, kind, files_per_batch).writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    positions = f"{out}/positions" if bytes_per_batch or kind == "records" else None
+    if positions:
+        record = records.RECORD.itemsize
+        size = bytes_per_batch or ranges.RANGE
+        ranges.split_files(spark, source, positions, size if kind == "mzml" else max(1, size // record) * record)
+    return _arriving(spark, source, schema, kind, files_per_batch, positions).writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def merged_summary(spark: SparkSession, out: str) -> DataFrame:
@@ -84,7 +111,7 @@ def root_summary(spark: SparkSession, out: str, n: int) -> DataFrame:
     return summarize(spark.read.parquet(f"{out}/points").where("lod = 0"), n, "IntensityCutoff")
 
 
-def joined_tree(spark: SparkSession, out: str, capacity: int, fan_out: int = FAN_OUT, strategy: str = "IntensityCutoff") -> DataFrame:
+def joined_tree(spark: SparkSession, out: str, capacity: int, fan_out: int = FAN_OUT, strategy: str = "WeightedStriding") -> DataFrame:
     """One pyramid over all batches, as ``build_pyramid`` gives: the batches' roots are the tiles at the depth of the least tree that holds them.
 
     A batch's number becomes the leading digits of its tile ids, in base ``fan_out``. What the roots show is summarized
