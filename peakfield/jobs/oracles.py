@@ -117,6 +117,33 @@ def weighted_level_ctes() -> str:
 
 
 WEIGHTED = f"{TILES},\n{weighted_level_ctes()}"
+FRACTIONS = f"{P.replace('p AS', 'p0 AS', 1)}, p AS (SELECT * REPLACE (intensity / 7 + mz / 1000 AS intensity) FROM p0)"
+
+
+def limb_sum(value: str, unit: str, over: str = "") -> str:
+    """A sum as whole numbers in units of powers of two."""
+    step = f"({unit} / 2147483648)"
+    high = f"CAST(floor({value} / {step}) AS BIGINT)"
+    low = f"CAST(floor(({value} - floor({value} / {step}) * {step}) / {step} * 2147483648) AS BIGINT)"
+    return f"(CAST(sum({high}){over} AS DOUBLE) * {step} + CAST(sum({low}){over} AS DOUBLE) * ({step} / 2147483648))"
+
+
+def unit(largest: str) -> str:
+    return f"power(2.0::DOUBLE, ceil(log2({largest})) + 1)"
+
+
+def drawn(source: str, group: str, n: str, seed: int = 7) -> str:
+    """The table drawn: n draws of each group by geometric gaps."""
+    u = uniform("j || ':' || point_id", seed)
+    return f"""a AS (SELECT *, CAST({n} AS DOUBLE) AS want, {limb_sum("intensity", "u", f" OVER (PARTITION BY {group})")} AS w FROM (SELECT *, {unit("max(intensity) OVER (PARTITION BY " + group + ")")} AS u FROM {source})),
+b AS (SELECT *, least(1.0::DOUBLE, intensity * want / w / 2) AS pr FROM a),
+c AS (SELECT *, CAST(ceil((want + 8 * sqrt(want) + 20) / sum(pr) OVER (PARTITION BY {group})) AS BIGINT) AS passes FROM b),
+e AS (SELECT *, unnest(range(0, least(passes, CAST(ceil(passes * pr + 12 * sqrt(passes * pr) + 40) AS BIGINT)))) AS j FROM c),
+f AS (SELECT *, CASE WHEN pr >= 1 THEN 0 ELSE CAST(floor(ln({u}) / CASE WHEN pr < 1e-8 THEN -pr ELSE ln(1 - pr) END) AS BIGINT) END AS gap FROM e),
+g AS (SELECT *, CAST(sum(gap + 1) OVER (PARTITION BY {group}, point_id ORDER BY j) - 1 AS BIGINT) AS pass FROM f),
+drawn AS (SELECT * FROM g WHERE pass < passes QUALIFY row_number() OVER (PARTITION BY {group} ORDER BY pass, point_id) <= want)"""
+
+
 FIXED = "cfg AS (SELECT 8 AS k)"
 #: The trees of four batches below one root.
 JOINED = f"""{tile_ctes(BATCHES, FIXED)},
@@ -179,6 +206,13 @@ def sql() -> dict[str, str]:
         "cut_records": f"WITH {P} SELECT {RANGES}, count(*) AS point_count FROM p",
         "joined_tree_weighted": f"""WITH {tile_ctes(BATCHES, FIXED)}, {weighted_level_ctes()}, rootl AS (SELECT * FROM l WHERE lod = 0), {weighted("rootl", "1", CAPACITY, "point_id", "_root")}
 SELECT l.point_id, leaf_depth + 1 AS leaf_depth, CASE WHEN r.point_id IS NULL THEN lod + 1 ELSE 0 END AS lod FROM l LEFT JOIN picked_root r USING (point_id)""",
+        "stride_weighted_fractions": f"WITH {FRACTIONS}, {weighted('p', 'run_id', N, 'run_id, point_id, meta1, mz, CAST(rt AS DOUBLE) AS rt').replace('sum(intensity) OVER (PARTITION BY run_id) AS w', limb_sum('intensity', 'u', ' OVER (PARTITION BY run_id)') + ' AS w').replace('FROM p)', f'FROM (SELECT *, {unit("max(intensity) OVER ()")} AS u FROM p))').replace('sum(intensity) OVER (PARTITION BY run_id ORDER BY j) AS s', limb_sum('intensity', 'u', ' OVER (PARTITION BY run_id ORDER BY j)') + ' AS s')} SELECT * FROM picked",
+        "axis_sums_exact": f"WITH {FRACTIONS}, m AS (SELECT *, {', '.join(f'{unit(f"(SELECT max(CAST({a} AS DOUBLE)) FROM p)")} AS u_{a}' for a in ('mz', 'rt', 'intensity'))} FROM p) SELECT run_id, {', '.join(f'{limb_sum(f"CAST({a} AS DOUBLE)", f"u_{a}")} AS {b}' for a, b in (('mz', 'mz_sum'), ('rt', 'rt_sum'), ('intensity', 'int_sum')))} FROM m GROUP BY run_id, u_mz, u_rt, u_intensity",
+        "draw_weighted": f"WITH {P}, {drawn('p', 'run_id', str(N))} SELECT pass, point_id FROM drawn",
+        "draw_weighted_by_group": f"WITH {P}, {drawn('p', 'meta1', '(meta1 % 9 + 1)')} SELECT meta1, pass, point_id FROM drawn",
+        "summarize_weighted_sampling": f"WITH {P}, {drawn('p', 'run_id', '50')} SELECT {OUT} FROM drawn",
+        "summarize_two_step": first(300, "intensity, point_id"),
+        "merged_reservoirs": first(N, f"ln({uniform('point_id')}) / intensity DESC, point_id"),
         "aggregate_tree": f"""WITH {LEVELS}, d AS (SELECT CAST(unnest(range(0, {HEIGHT + 1})) AS INTEGER) AS depth), n AS (
   SELECT run_id, depth, CAST(tile_id // CAST(power(k, leaf_depth - depth) AS BIGINT) AS BIGINT) AS tile_id, {", ".join(f"count(*) FILTER (lod <= {x}) AS n{x}" for x in range(HEIGHT + 1))} FROM l, cfg, d WHERE depth <= leaf_depth GROUP BY ALL)
 SELECT run_id, depth, tile_id, n{HEIGHT} AS n_points, array_to_string([{", ".join(f"n{x}" for x in range(HEIGHT + 1))}], ',') AS shown FROM n""",

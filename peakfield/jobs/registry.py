@@ -240,6 +240,23 @@ def weakest(pdf: pd.DataFrame, n: int) -> pd.DataFrame:
     return pdf.sort_values(["intensity", "point_id"]).head(n)
 
 
+def weakest_two_step(rows: int) -> sampling.TwoStep:
+    return sampling.TwoStep(weakest, weakest, rows, 4)
+
+
+def fractions(s: SparkSession, d: str) -> DataFrame:
+    """points with weights that are no whole numbers"""
+    return points(s, d).withColumn("intensity", F.col("intensity") / 7 + F.col("mz") / 1000)
+
+
+def reservoirs(s: SparkSession, d: str) -> DataFrame:
+    """A sample by weight of four batches, from what each has kept."""
+    source, out = scratch_path(s, "incoming"), scratch_path(s, "streamed")
+    points(s, d).repartitionByRange(4, "point_id").write.parquet(source)
+    ingest.ingest_stream(s, source, POINT, out, scratch_path(s, "offsets"), reservoir=N, seed=SEED).awaitTermination()
+    return shown(ingest.reservoir_so_far(s, out, N))
+
+
 def by_pick(pick: Callable) -> Callable:
     return lambda s, d: shown(pick(points(s, d)))
 
@@ -377,6 +394,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stride_weighted_items": lambda s, d: sampling.stride_weighted(items(s, d), 5000).groupBy("run_id").agg(F.count("*").alias("n"), F.sum("point_id").alias("id_sum"), F.sum("intensity").alias("int_sum")),
         "sample_uniform": by_pick(lambda p: sampling.sample_uniform(p, N, SEED)),
         "sample_weighted": lambda s, d: sampling.sample_weighted(points(s, d), N, SEED).select("pass", "point_id"),
+        "stride_weighted_fractions": lambda s, d: shown(sampling.stride_weighted(fractions(s, d).repartition(31), N)).drop("intensity"),
+        "axis_sums_exact": lambda s, d: bounds.axis_sums(fractions(s, d)),
+        "draw_weighted": lambda s, d: sampling.draw_weighted(points(s, d), N, SEED).select("pass", "point_id"),
+        "draw_weighted_by_group": lambda s, d: sampling.draw_weighted(points(s, d).withColumn("wanted", F.col("meta1") % 9 + 1), "wanted", SEED, ["run_id", "meta1"]).select("meta1", "pass", "point_id"),
+        "summarize_weighted_sampling": by_pick(lambda p: sampling.summarize(p, 50, "WeightedSampling", ["run_id"], seed=SEED)),
+        "summarize_two_step": by_pick(lambda p: sampling.summarize(p, 300, weakest_two_step(1000))),
+        "merged_reservoirs": reservoirs,
         "sample_reservoir": by_pick(lambda p: sampling.sample_reservoir(p, N, SEED)),
         "summarize": by_pick(lambda p: sampling.summarize(p, N, "IntensityCutoff")),
         "summarize_custom": by_pick(lambda p: sampling.summarize(p, 3, weakest, ["run_id", "meta1"])),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from peakfield.functions.points import VALUE
+from peakfield.functions.sums import exact_sums
 
 
 def ranges() -> list[Column]:
@@ -24,8 +25,8 @@ def count_points(spectra: DataFrame, least: float = 1.0) -> DataFrame:
 
 
 def axis_sums(df: DataFrame) -> DataFrame:
-    """Sums of the axes; rt is summed in double precision."""
-    return df.groupBy("run_id").agg(F.sum("mz").alias("mz_sum"), F.sum(F.col("rt").cast("double")).alias("rt_sum"), F.sum("intensity").alias("int_sum"))
+    """Sums of the axes in double precision, the same in whatever order rows come."""
+    return exact_sums(df, ["run_id"], {"mz_sum": F.col("mz"), "rt_sum": F.col("rt"), "int_sum": F.col("intensity")})
 
 
 def tile_bounds(df: DataFrame) -> DataFrame:

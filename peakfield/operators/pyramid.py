@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from peakfield.functions.scratch import written
 from peakfield.operators.boxes import Box, in_box
 from peakfield.operators.bounds import ancestor
-from peakfield.operators.sampling import summarize
+from peakfield.operators.sampling import REPEATING, summarize
 from peakfield.operators.tiling import CAPACITY, HEIGHT, largest_run, tile, tree_config
 
 
@@ -38,6 +38,8 @@ def risen(rows: DataFrame, fan_out: int, capacity: int, top: int, strategy: str)
     themselves are joined with their lod and written once, at the end. A summary looks at fan_out * capacity
     points at most, so each is one window's partition.
     """
+    if strategy in REPEATING:
+        raise ValueError(f"{strategy} may repeat points, so it summarizes no tiles")
     settings = {"large": False} if "Striding" in strategy else {}
     rose = []
     for depth in reversed(range(top)):

@@ -8,12 +8,15 @@ where a sampler walks through them. ``n`` is a number, or the name of a column t
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from peakfield.functions.points import uniform
 from peakfield.functions.scratch import written
+from peakfield.functions.sums import exact_sums, limbs, total, unit
 from peakfield.operators.ordering import index_within
 
 STRIDE = 43
@@ -27,6 +30,11 @@ def _number(n: int | str) -> Column:
     return F.col(n) if isinstance(n, str) else F.lit(n)
 
 
+def _ids(df: DataFrame, group: list[str]) -> list[str]:
+    """What numbers the points of a group: point_id, after run_id where a group may hold several runs, as ids need not differ between runs."""
+    return ["point_id"] if "run_id" in group or "run_id" not in df.columns else ["run_id", "point_id"]
+
+
 def _first(df: DataFrame, n: int | str, group: list[str], order: list[Column]) -> DataFrame:
     """The first n of each group in the given order; where n is a number Spark keeps n rows for each group and task, not all."""
     rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
@@ -35,12 +43,14 @@ def _first(df: DataFrame, n: int | str, group: list[str], order: list[Column]) -
 
 def top_intensity(df: DataFrame, n: int | str, group: list[str] | None = None) -> DataFrame:
     """The n most intense; among equal ones the later point wins."""
-    return _first(df, n, group or ["run_id"], [F.desc("intensity"), F.desc("point_id")])
+    group = group or ["run_id"]
+    return _first(df, n, group, [F.desc("intensity"), *(F.desc(c) for c in _ids(df, group))])
 
 
 def sample_uniform(df: DataFrame, n: int | str, seed: int = 0, group: list[str] | None = None) -> DataFrame:
     """n points, each with the same chance."""
-    return _first(df, n, group or ["run_id"], [uniform(seed, "point_id"), F.col("point_id")])
+    group = group or ["run_id"]
+    return _first(df, n, group, [uniform(seed, "point_id"), *map(F.col, _ids(df, group))])
 
 
 def sample_reservoir(df: DataFrame, n: int | str, seed: int = 0, group: list[str] | None = None) -> DataFrame:
@@ -48,8 +58,18 @@ def sample_reservoir(df: DataFrame, n: int | str, seed: int = 0, group: list[str
 
     Points of intensity 0 or less come last.
     """
-    key = F.when(F.col("intensity") > 0, F.ln(uniform(seed, "point_id")) / F.col("intensity"))
-    return _first(df, n, group or ["run_id"], [key.desc_nulls_last(), F.col("point_id")])
+    return reservoir_state(df, n, seed, group).drop("key")
+
+
+def reservoir_state(df: DataFrame, n: int | str, seed: int = 0, group: list[str] | None = None) -> DataFrame:
+    """sample_reservoir with the points' keys, which is all that is needed to go on with further points: see ``merged_reservoirs``."""
+    return merged_reservoirs(df.withColumn("key", F.when(F.col("intensity") > 0, F.ln(uniform(seed, "point_id")) / F.col("intensity"))), n, group)
+
+
+def merged_reservoirs(states: DataFrame, n: int | str, group: list[str] | None = None) -> DataFrame:
+    """One state from any number of states of the same seed and of n or more points, which together stand for all points that they have seen."""
+    group = group or ["run_id"]
+    return _first(states, n, group, [F.col("key").desc_nulls_last(), *map(F.col, _ids(states, group))])
 
 
 def sample_weighted(df: DataFrame, n: int, seed: int = 0, passes: int = 4) -> DataFrame:
@@ -69,9 +89,37 @@ def sample_weighted(df: DataFrame, n: int, seed: int = 0, passes: int = 4) -> Da
         passes *= 2
 
 
+def draw_weighted(df: DataFrame, n: int | str, seed: int = 0, group: list[str] | None = None) -> DataFrame:
+    """n draws of each group in passes, as ``sample_weighted`` makes them, without going through passes; adds ``pass``. Points may repeat.
+
+    Between the passes that keep a point lie geometric gaps, so each point's passes follow from as many random numbers as it has draws.
+    How many passes are needed is known before: so many that the draws expected exceed n by eight standard deviations.
+    The first n by (pass, id) are the sample. Groups without any intensity cannot be drawn from, which is an error.
+    """
+    group = group or ["run_id"]
+    wanted = _number(n).cast("double")
+    sums = exact_sums(df, group, {"_sum": F.col("intensity")})
+    none = F.raise_error(F.lit("a group's intensities sum to 0")).cast("double")
+    half = F.col("intensity") * wanted / F.when(F.col("_sum") > 0, F.col("_sum")).otherwise(none) / 2
+    rows = df.join(sums, group).withColumn("_p", F.least(F.lit(1.0), half)).where("_p > 0")
+    means = rows.groupBy(*group).agg(F.ceil((F.max(wanted) + 8 * F.sqrt(F.max(wanted)) + 20) / F.sum("_p")).alias("_passes"))
+    rows = rows.join(means, group)
+    # ln(1 - p), and how many gaps a point has at most but for a chance of 1e-30
+    rate = F.when(F.col("_p") < 1e-8, -F.col("_p")).otherwise(F.ln(1 - F.col("_p")))
+    mean = F.col("_passes") * F.col("_p")
+    most = F.least(F.col("_passes"), F.ceil(mean + 12 * F.sqrt(mean) + 40)).cast("int")
+    gap = lambda j: F.when(F.col("_p") >= 1, 0).otherwise(F.floor(F.ln(uniform(seed, j, "point_id")) / rate))
+    rows = rows.withColumn("_draw", F.lit(0)).withColumn("_gap", gap("_draw")).where("_gap < _passes")  # points with a draw: about as many as there are draws
+    rows = rows.withColumn("_draw", F.explode(F.sequence(F.lit(0), most - 1))).withColumn("_gap", gap("_draw"))
+    own = Window.partitionBy(*group, *_ids(df, group)).orderBy("_draw")
+    rows = rows.withColumn("pass", (F.sum(F.col("_gap") + 1).over(own) - 1).cast("long")).where("pass < _passes")
+    return _first(rows, n, group, [F.col("pass"), *map(F.col, _ids(df, group))]).select(*df.columns, "pass")
+
+
 def stride_uniform(df: DataFrame, n: int | str, group: list[str] | None = None, large: bool = True) -> DataFrame:
     """Every (size div n)-th point, n of them; all if there are no more than n."""
-    rows = index_within(df, group or ["run_id"], ["point_id"], "_idx", large)
+    group = group or ["run_id"]
+    rows = index_within(df, group, _ids(df, group), "_idx", large)
     wanted = f"`{n}`" if isinstance(n, str) else str(n)
     step = f"greatest(1, n div {wanted})"
     return rows.where(f"n <= {wanted} OR (_idx % {step} = 0 AND _idx div {step} < {wanted})").drop("_idx", "n")
@@ -91,23 +139,29 @@ def stride_weighted(df: DataFrame, n: int | str, group: list[str] | None = None,
     for each, the first ones are taken.
 
     Large groups are summed in two levels: windows cover a bucket of rows, and what earlier buckets hold comes
-    from tables with a row for each bucket. There the sum of a bucket adds in no fixed order, so weights that are no
-    whole numbers may move a point that is within rounding of its threshold.
+    from tables with a row for each bucket. Weights are summed as whole numbers (``functions.sums``), so that the points taken do not hang
+    on the order in which rows meet.
     """
     group = group or ["run_id"]
-    rows = index_within(df, group, ["point_id"], "_idx", large).withColumn("_j", _visit("_idx", "n", stride))
+    rows = index_within(df, group, _ids(df, group), "_idx", large).withColumn("_j", _visit("_idx", "n", stride))
     wanted, at = _number(n), F.col("_j") + 1
     reached = F.when(F.col("_sum") > 0, F.least(wanted, F.floor((F.col("_s") + SLACK) * wanted / F.col("_sum")))).otherwise(F.least(wanted, at))
     bucket = [*group, "_bucket"] if large else group
     whole, inside = Window.partitionBy(*group), Window.partitionBy(*bucket).orderBy("_j")
     upto, before = (inside.rowsBetween(Window.unboundedPreceding, end) for end in (0, -1))
+    high, low = limbs(F.col(weight).cast("double"), F.col("_unit"))
+    add = lambda h, l: total(h, l, F.col("_unit"))  # noqa: E731, E741
     if large:
         earlier = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-        rows = rows.withColumn("_bucket", F.expr(f"_j div {BUCKET}"))
-        sums = rows.groupBy(*bucket).agg(F.sum(weight).alias("_part")).select(*bucket, F.sum("_part").over(whole).alias("_sum"), F.coalesce(F.sum("_part").over(earlier), F.lit(0)).alias("_base"))
-        rows = rows.join(sums, bucket).withColumn("_s", F.col("_base") + F.sum(weight).over(upto))
+        units = df.groupBy(*group).agg(unit(F.max(F.abs(F.col(weight).cast("double")))).alias("_unit"))
+        rows = rows.withColumn("_bucket", F.expr(f"_j div {BUCKET}")).join(units, group).withColumn("_high", high).withColumn("_low", low)
+        sums = rows.groupBy(*bucket, "_unit").agg(F.sum("_high").alias("_h"), F.sum("_low").alias("_l"))
+        before_this = [F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_base{c}") for c in ("_h", "_l")]
+        sums = sums.select(*bucket, add(F.sum("_h").over(whole), F.sum("_l").over(whole)).alias("_sum"), *before_this)
+        rows = rows.join(sums, bucket).withColumn("_s", add(F.col("_base_h") + F.sum("_high").over(upto), F.col("_base_l") + F.sum("_low").over(upto)))
     else:
-        rows = rows.withColumn("_sum", F.sum(weight).over(whole)).withColumn("_s", F.sum(weight).over(upto))
+        rows = rows.withColumn("_unit", unit(F.max(F.abs(F.col(weight).cast("double"))).over(whole))).withColumn("_high", high).withColumn("_low", low)
+        rows = rows.withColumn("_sum", add(F.sum("_high").over(whole), F.sum("_low").over(whole))).withColumn("_s", add(F.sum("_high").over(upto), F.sum("_low").over(upto)))
     rows = rows.withColumn("_behind", reached - at).withColumn("_upto", F.min("_behind").over(upto)).withColumn("_before", F.min("_behind").over(before))
     if large:
         rows = written(rows, "walk")
@@ -123,18 +177,59 @@ def stride_weighted(df: DataFrame, n: int | str, group: list[str] | None = None,
     return rows.where((F.col("n") <= wanted) | hit | again).select(*df.columns)
 
 
+@dataclass(frozen=True)
+class TwoStep:
+    """A user's strategy for groups of any size: ``partial`` (pandas frame, n) makes few rows of a part of a group, ``merge`` makes one such result of several.
+
+    Parts have about ``rows`` rows, and up to ``fan_in`` results meet at a time, so no frame grows with its group.
+    Merging has to give the same in any grouping. Frames have the columns of the points; rows come in no order.
+    """
+
+    partial: Callable[[pd.DataFrame, int], pd.DataFrame]
+    merge: Callable[[pd.DataFrame, int], pd.DataFrame]
+    rows: int = 100_000
+    fan_in: int = 16
+
+
+def in_parts(df: DataFrame, n: int | str, strategy: TwoStep, group: list[str]) -> DataFrame:
+    """Parts are dealt by a hash of the ids, then merged in rounds, as many as the largest group needs."""
+    sizes = written(df.groupBy(*group).agg(F.count("*").alias("_size")).withColumn("_parts", F.expr(f"(_size + {strategy.rows - 1}) div {strategy.rows}")), "sizes")
+    parts = sizes.agg(F.max("_parts")).first()[0] or 1
+    said = lambda pdf: int(pdf[n].iloc[0]) if isinstance(n, str) else n
+
+    def applied(rows: DataFrame, function: Callable) -> DataFrame:
+        columns = df.columns
+
+        def one(pdf: pd.DataFrame) -> pd.DataFrame:
+            return function(pdf[columns], said(pdf)).assign(_part=pdf["_part"].iloc[0])[[*columns, "_part"]]
+
+        return rows.groupBy(*group, "_part").applyInPandas(one, rows.select(*columns, "_part").schema)
+
+    part = F.pmod(F.xxhash64(*_ids(df, group)), F.col("_parts")).cast("long")
+    rows = applied(df.join(sizes, group).withColumn("_part", part).select(*df.columns, "_part"), strategy.partial)
+    while parts > 1:
+        parts = -(-parts // strategy.fan_in)
+        rows = applied(written(rows, "parts").withColumn("_part", F.expr(f"_part div {strategy.fan_in}L")), strategy.merge)
+    return rows.select(*df.columns)
+
+
 STRATEGIES: dict[str, Callable] = {
     "IntensityCutoff": top_intensity,
     "UniformStriding": stride_uniform,
     "WeightedStriding": stride_weighted,
     "UniformSampling": sample_uniform,
     "WeightedReservoir": sample_reservoir,
+    "WeightedSampling": lambda df, n, seed=0, group=None: draw_weighted(df, n, seed, group).drop("pass"),
 }
+#: Strategies that may return a point more than once, which a tree cannot show.
+REPEATING = {"WeightedSampling"}
 
 
-def summarize(df: DataFrame, n: int | str, strategy: str | Callable = "WeightedStriding", group: list[str] | None = None, **settings) -> DataFrame:
-    """n points of each group by a named strategy, or by a function of (pandas frame of a group, n)."""
+def summarize(df: DataFrame, n: int | str, strategy: str | Callable | TwoStep = "WeightedStriding", group: list[str] | None = None, **settings) -> DataFrame:
+    """n points of each group by a named strategy, by a TwoStep of a user's own, or by a function of (pandas frame of a whole group, n), for groups with a bound."""
     group = group or ["run_id"]
+    if isinstance(strategy, TwoStep):
+        return in_parts(df, n, strategy, group)
     if callable(strategy):
         return df.groupBy(*group).applyInPandas(lambda pdf: strategy(pdf, int(pdf[n].iloc[0]) if isinstance(n, str) else n), df.schema)
     if strategy not in STRATEGIES:

@@ -18,7 +18,7 @@ from peakfield.operators.boxes import filter_min_intensity, filter_ms_level
 from peakfield.operators.bounds import dataset_summary
 from peakfield.operators.ordering import index_within
 from peakfield.operators.pyramid import levels, risen
-from peakfield.operators.sampling import summarize
+from peakfield.operators.sampling import merged_reservoirs, reservoir_state, summarize
 from peakfield.operators.tiling import largest_run, tile, tree_config
 from peakfield.functions.scratch import written
 from peakfield.sources import mzml, ranges, records, text
@@ -66,13 +66,14 @@ def _after(points: DataFrame, out: str, batch_id: int) -> DataFrame:
 
 def ingest_stream(
     spark: SparkSession, source: str, schema: T.StructType | None, out: str, checkpoint: str, files_per_batch: int = 1, capacity: int | None = None,
-    kind: str = "parquet", fan_out: int = FAN_OUT, strategy: str = "WeightedStriding", least: float = 1.0, bytes_per_batch: int | None = None,
+    kind: str = "parquet", fan_out: int = FAN_OUT, strategy: str = "WeightedStriding", least: float = 1.0, bytes_per_batch: int | None = None, reservoir: int | None = None, seed: int = 0,
 ):
     """Starts a query that appends each batch's points and bounds to ``out`` and stops when the source is read.
 
     kind: "parquet" (points), "csv", "mzml" or "records" files. With ``bytes_per_batch``, mzml and records files are cut, and a batch is ``files_per_batch``
     ranges of so many bytes, however large the files are; files that have come since are added by calling this again. A batch overwrites its own folders, so a batch that is run again after a failure
-    changes nothing. With ``capacity`` each batch is also built into a pyramid of its own. What cannot be read is kept
+    changes nothing. With ``capacity`` each batch is also built into a pyramid of its own,
+    with ``reservoir`` it leaves a sample of so many points by weight, with their keys, under ``out``/reservoir. What cannot be read is kept
     under ``out``/quarantine.
     """
 
@@ -88,6 +89,8 @@ def ingest_stream(
         points.write.mode("overwrite").parquet(f"{out}/points/batch={batch_id}")
         kept = batch.sparkSession.read.parquet(f"{out}/points/batch={batch_id}")
         dataset_summary(kept).write.mode("overwrite").parquet(f"{out}/bounds/batch={batch_id}")
+        if reservoir:
+            reservoir_state(kept.select(*POINT.names), reservoir, seed).write.mode("overwrite").parquet(f"{out}/reservoir/batch={batch_id}")
         if bad is not None:
             bad.write.mode("overwrite").parquet(f"{out}/quarantine/batch={batch_id}")
 
@@ -106,6 +109,11 @@ def merged_summary(spark: SparkSession, out: str) -> DataFrame:
     return bounds.groupBy("run_id").agg(*ends, F.sum("point_count").alias("point_count"))
 
 
+def reservoir_so_far(spark: SparkSession, out: str, n: int) -> DataFrame:
+    """``sample_reservoir`` over all points of all batches, n being no more than each batch has kept; no points are read but those of the batches' samples."""
+    return merged_reservoirs(spark.read.parquet(f"{out}/reservoir").drop("batch"), n).drop("key")
+
+
 def root_summary(spark: SparkSession, out: str, n: int) -> DataFrame:
     """The n points that stand for all batches: chosen from what each batch's root shows."""
     return summarize(spark.read.parquet(f"{out}/points").where("lod = 0"), n, "IntensityCutoff")
