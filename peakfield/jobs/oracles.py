@@ -213,6 +213,7 @@ SELECT l.point_id, leaf_depth + 1 AS leaf_depth, CASE WHEN r.point_id IS NULL TH
         "summarize_weighted_sampling": f"WITH {P}, {drawn('p', 'run_id', '50')} SELECT {OUT} FROM drawn",
         "summarize_two_step": first(300, "intensity, point_id"),
         "merged_reservoirs": first(N, f"ln({uniform('point_id')}) / intensity DESC, point_id"),
+        "compacted": f"WITH {tile_ctes(P, FIXED)}, {weighted_level_ctes()} SELECT point_id, leaf_depth, tile_id, lod FROM l",
         "aggregate_tree": f"""WITH {LEVELS}, d AS (SELECT CAST(unnest(range(0, {HEIGHT + 1})) AS INTEGER) AS depth), n AS (
   SELECT run_id, depth, CAST(tile_id // CAST(power(k, leaf_depth - depth) AS BIGINT) AS BIGINT) AS tile_id, {", ".join(f"count(*) FILTER (lod <= {x}) AS n{x}" for x in range(HEIGHT + 1))} FROM l, cfg, d WHERE depth <= leaf_depth GROUP BY ALL)
 SELECT run_id, depth, tile_id, n{HEIGHT} AS n_points, array_to_string([{", ".join(f"n{x}" for x in range(HEIGHT + 1))}], ',') AS shown FROM n""",

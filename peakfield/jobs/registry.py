@@ -21,7 +21,7 @@ from peakfield.jobs.import_run import import_run, numbered
 from peakfield.operators import bounds, boxes, lookups, ordering, pyramid, sampling, tiling, viewports, walk
 from peakfield.operators.boxes import Box
 from peakfield.sources import mzml, mzml_source, ranges, records, store, text
-from peakfield.streaming import ingest
+from peakfield.streaming import compact, ingest
 
 BOX = Box(5.0, 60.0, 3600.0, 2_000_000.0)
 CAPACITY, HEIGHT = 512, 2
@@ -192,6 +192,14 @@ def in_batches(spark: SparkSession, sf_dir: str, strategy: str = "IntensityCutof
     return ingest.joined_tree(spark, out, CAPACITY, strategy=strategy)
 
 
+def overlapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as four files that overlap in rt throughout, imported one by one and compacted."""
+    source, out = scratch_path(spark, "incoming"), scratch_path(spark, "streamed")
+    points(spark, sf_dir).withColumn("slice", F.pmod(F.xxhash64("point_id"), F.lit(4))).repartition(4, "slice").write.partitionBy("slice").parquet(source)
+    ingest.ingest_stream(spark, source, POINT, out, scratch_path(spark, "offsets"), capacity=CAPACITY).awaitTermination()
+    return compact.compacted(spark, out, CAPACITY)
+
+
 def stored(pyramid_: DataFrame, fan_out: int) -> tuple[DataFrame, DataFrame]:
     """The points and the tiles of a pyramid, written as a store and opened again."""
     path = scratch_path(pyramid_.sparkSession, "store")
@@ -339,6 +347,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "cut_import_summary": lambda s, d: summary_table(ingest.merged_summary(s, cut_import(s, d))).drop("run_id"),
         "cut_records": lambda s, d: summary_table(whole_summary(ingested(s, record_files(s, d), "records"))),
         "joined_tree_weighted": lambda s, d: in_batches(s, d, "WeightedStriding").select("point_id", "leaf_depth", "lod"),
+        "compacted": lambda s, d: overlapping(s, d).select("point_id", "leaf_depth", "tile_id", "lod"),
         "ingest_csv": lambda s, d: whole_summary(ingested(s, csv_files(s, d), "csv")),
         "decode_spectra_widths": lambda s, d: mzml.decode_spectra(mzml.read_mzml_spectra(s, mzml_files(s, d))).select("spectrum_index", F.col("position").cast("long").alias("position"), "mz", "intensity"),
         "json_rows_back": lambda s, d: json_back(points(s, d)),
