@@ -37,6 +37,8 @@ ANCHOR_SHARE = 0.1
 SPARSE, STRETCH = 8, 32
 #: Signatures that joins try last: this many of the most frequent ones, as passages that many texts share have, if they stand in more than this share of the sets.
 FREQUENT, FREQUENT_SHARE = 20_000, 1e-4
+#: Sets under a signature that one task compares with the others.
+LOT = 2_000
 #: Longs of parity bits for every set, and for those of pairs that the first do not rule out.
 WORDS, MORE_WORDS = 4, 32
 
@@ -144,19 +146,23 @@ def marked(sets: DataFrame, words: int) -> DataFrame:
     return rows.groupBy("doc_id", "size").agg(*(F.bit_xor(F.when(F.pmod("x", F.lit(words)) == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"bits{k}") for k in range(words)))
 
 
+def not_ruled_out(words: int, similarity: float) -> Column:
+    """Whether sizes and parities, in columns that end in _a and _b, leave it open that two sets are that similar."""
+    bits = sum((F.bit_count(F.col(f"bits{k}_a").bitwiseXOR(F.col(f"bits{k}_b"))) for k in range(words)), F.lit(0))
+    differ = F.greatest(bits, F.abs(F.col("size_a") - F.col("size_b")))
+    return differ <= unlike(F.col("size_a"), F.col("size_b"), similarity) + 1e-6
+
+
 def possible(pairs: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) that their sizes and parities, the table ``marks``, do not rule out."""
-    words = len(marks.columns) - 2
     left, right = (marks.select(*(F.col(c).alias(f"{c}_{k}") for c in marks.columns)) for k in "ab")
     joined = pairs.join(left, F.col("a") == F.col("doc_id_a")).join(right, F.col("b") == F.col("doc_id_b"))
-    bits = sum((F.bit_count(F.col(f"bits{k}_a").bitwiseXOR(F.col(f"bits{k}_b"))) for k in range(words)), F.lit(0))
-    differ = F.greatest(bits, F.abs(F.col("size_a") - F.col("size_b")))
-    return joined.where(differ <= unlike(F.col("size_a"), F.col("size_b"), similarity) + 1e-6).select("a", "b")
+    return joined.where(not_ruled_out(len(marks.columns) - 2, similarity)).select("a", "b")
 
 
-def links(pairs: DataFrame, marks: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) that are that similar. ``marks``, of few bits, rule out most; for what is left, often of long sets, more bits are counted."""
-    pairs = written(possible(pairs, marks, similarity), "possible")
+def links(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) that are that similar, of those that few bits have left, often of long sets: more bits are counted, then sets are compared."""
+    pairs = written(pairs, "possible")
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
     few = written(sets.join(ids, "doc_id", "left_semi"), "few")
     return alike(possible(pairs, marked(few, MORE_WORDS), similarity), few, similarity)
@@ -180,7 +186,7 @@ def similar(spots: DataFrame, similarity: float = 0.8) -> DataFrame:
     A row for each text with a word. Equal fingerprints count once. Sets of that similarity share one of their first
     size - ceil(similarity * size) + 1 signatures, in any order that is the same for all; here the most frequent ones
     come last, so that what many texts share seldom brings them together. Their sizes are in equal or neighbouring
-    partitions. All sets under a signature are first compared with the smallest doc_id there, which
+    partitions. Sets carry their parity bits into the join, which gives only pairs that these leave possible. All sets under a signature are first compared with the smallest doc_id there, which
     joins up hot groups of copies with a link for each; then pairs from different groups are.
     """
     sets = spots.where("size(fp) > 0").select("doc_id", "fp")
@@ -198,22 +204,26 @@ def similar(spots: DataFrame, similarity: float = 0.8) -> DataFrame:
     hubs = keyed.groupBy("sig", "part").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n"))
     shared = hubs.groupBy("sig").agg(F.map_from_entries(F.collect_list(F.struct("part", "hub"))).alias("hubs"), F.sum("n").alias("n")).where("n > 1")  # a hub for each part
     # most signatures stand in one set alone
-    keyed = written(keyed.join(shared, "sig").select("sig", "part", "size", "doc_id", F.col("hubs")[F.col("part")].alias("hub")), "prefixes")
+    keyed = written(keyed.join(shared, "sig").select("sig", "part", "size", "doc_id", "n", F.col("hubs")[F.col("part")].alias("hub")), "prefixes")
     starred = keyed.where("doc_id != hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
-    stars = written(links(starred, marks, distinct, similarity), "stars")
+    stars = written(links(possible(starred, marks, similarity), distinct, similarity), "stars")
     groups = connected_components(stars)
     release(spots.sparkSession)
-    labelled = keyed.join(groups, F.col("doc_id") == F.col("id"), "left").select("sig", "part", "size", "doc_id", F.coalesce("component", "doc_id").alias("star"))
+    labelled = keyed.join(groups, F.col("doc_id") == F.col("id"), "left").select("sig", "part", "n", "doc_id", F.coalesce("component", "doc_id").alias("star"))
     several = labelled.groupBy("sig").agg((F.min("star") != F.max("star")).alias("several")).where("several").select("sig")
-    labelled = written(labelled.join(several, "sig"), "labelled")
-    upper = labelled.select("sig", F.col("part").alias("at"), F.col("size").alias("other_size"), F.col("doc_id").alias("other"), F.col("star").alias("other_star"))
-    lower = labelled.select("sig", "part", F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("at"), "size", "doc_id", "star")
-    pairs = lower.join(upper, ["sig", "at"]).where("star != other_star AND (at != part OR doc_id < other)")
+    labelled = written(labelled.join(several, "sig").join(marks, "doc_id"), "labelled")
+    own = ["doc_id", "star", "part", "size", *(f"bits{k}" for k in range(WORDS))]
+    # a frequent signature's sets are dealt over lots, and meet a copy of all its sets in each
+    lots = F.ceil(F.col("n") / LOT)
+    lower = labelled.select("sig", F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("at"), F.pmod(F.xxhash64("doc_id"), lots).alias("lot"), *(F.col(c).alias(f"{c}_a") for c in own))
+    upper = labelled.select("sig", F.col("part").alias("at"), F.explode(F.sequence(F.lit(0).cast("long"), lots - 1)).alias("lot"), *(F.col(c).alias(f"{c}_b") for c in own))
+    apart = (F.col("star_a") != F.col("star_b")) & ((F.col("part_a") != F.col("part_b")) | (F.col("doc_id_a") < F.col("doc_id_b")))
+    pairs = lower.join(upper, ["sig", "at", "lot"]).where(apart & not_ruled_out(WORDS, similarity)).select(F.col("doc_id_a").alias("doc_id"), F.col("doc_id_b").alias("other"), F.col("size_a").alias("size"), F.col("size_b").alias("other_size"))
     pairs = pairs.groupBy(F.col("doc_id").alias("a"), F.col("other").alias("b"), "size", "other_size").agg(F.count("*").alias("common"))
     # what two sets share and have not both in their prefixes lies behind the prefix of one of them
     least = (F.col("size") + F.col("other_size") - unlike(F.col("size"), F.col("other_size"), similarity)) / 2 - F.greatest(behind(F.col("size")), behind(F.col("other_size")))
     pairs = pairs.where(F.col("common") >= least - 1e-6).select("a", "b")
-    found = connected_components(links(pairs, marks, distinct, similarity).union(stars))
+    found = connected_components(links(pairs, distinct, similarity).union(stars))
     firsts = firsts.join(found, F.col("first_id") == F.col("id"), "left").select("key", "key2", "times", F.coalesce("component", "first_id").alias("component_id"))
     out = written(join_groups(named_by, written(firsts, "classes"), ["key", "key2"], "times").select("doc_id", "component_id"), "components")
     for table in (distinct, marks, keyed, stars, labelled):
