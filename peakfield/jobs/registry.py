@@ -321,7 +321,9 @@ def item_windows(s: SparkSession, d: str) -> DataFrame:
 
 
 def tree_table(s: SparkSession, d: str) -> DataFrame:
-    return with_tree(s, d)[1].select("run_id", "depth", "tile_id", "n_points", F.concat_ws(",", "shown").alias("shown"))
+    """A tree that is lower than HEIGHT shows all points from its own height on."""
+    upto = F.transform(F.sequence(F.lit(0), F.lit(HEIGHT)), lambda d: F.coalesce(F.try_element_at("shown", d + 1), "n_points"))
+    return with_tree(s, d)[1].select("run_id", "depth", "tile_id", "n_points", F.concat_ws(",", upto).alias("shown"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
