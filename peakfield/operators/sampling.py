@@ -219,10 +219,11 @@ STRATEGIES: dict[str, Callable] = {
     "WeightedStriding": stride_weighted,
     "UniformSampling": sample_uniform,
     "WeightedReservoir": sample_reservoir,
-    "WeightedSampling": lambda df, n, seed=0, group=None: draw_weighted(df, n, seed, group).drop("pass"),
 }
 #: Strategies that may return a point more than once, which a tree cannot show.
-REPEATING = {"WeightedSampling"}
+REPEATING: dict[str, Callable] = {
+    "WeightedSampling": lambda df, n, seed=0, group=None: draw_weighted(df, n, seed, group).drop("pass"),
+}
 
 
 def summarize(df: DataFrame, n: int | str, strategy: str | Callable | TwoStep = "WeightedStriding", group: list[str] | None = None, **settings) -> DataFrame:
@@ -232,6 +233,7 @@ def summarize(df: DataFrame, n: int | str, strategy: str | Callable | TwoStep =
         return in_parts(df, n, strategy, group)
     if callable(strategy):
         return df.groupBy(*group).applyInPandas(lambda pdf: strategy(pdf, int(pdf[n].iloc[0]) if isinstance(n, str) else n), df.schema)
-    if strategy not in STRATEGIES:
-        raise ValueError(f"no strategy {strategy!r}; there are {', '.join(STRATEGIES)}")
-    return STRATEGIES[strategy](df, n, group=group, **settings)
+    known = STRATEGIES | REPEATING
+    if strategy not in known:
+        raise ValueError(f"no strategy {strategy!r}; there are {', '.join(known)}")
+    return known[strategy](df, n, group=group, **settings)

@@ -92,7 +92,7 @@ def test_draws_by_group_and_by_name(spark):
     df = cloud(spark, range(1, 200)).withColumn("wanted", F.col("meta1") + 1)
     got = sampling.summarize(df, "wanted", "WeightedSampling", ["meta1"]).groupBy("meta1").count().collect()
     assert {r["meta1"]: r["count"] for r in got} == {m: m + 1 for m in range(5)}
-    assert set(sampling.STRATEGIES) == {"IntensityCutoff", "UniformStriding", "WeightedStriding", "UniformSampling", "WeightedReservoir", "WeightedSampling"}
+    assert set(sampling.STRATEGIES) | set(sampling.REPEATING) == {"IntensityCutoff", "UniformStriding", "WeightedStriding", "UniformSampling", "WeightedReservoir", "WeightedSampling"}
     with pytest.raises(ValueError, match="repeat"):
         pyramid.build_pyramid(df.select(*POINT.names), 20, 2, "WeightedSampling")
 
