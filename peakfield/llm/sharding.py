@@ -3,16 +3,19 @@
 Documents are linked if their texts are equal. A group of equal texts is a clique, so what a document
 sees of its neighbours is how many of its group lie in each shard: one aggregation stands for all
 its edges, and no edge is written out. In each round documents ask to move to the shard that most of
-their group is in; a shard admits as many as leave it, plus what it has to spare up to a quota a
-little over its even share, and a hash of the group decides who, drawn anew in each round. Rounds go on until one
-lowers the number of cut edges by less than ``LEAST_FALL`` of it, however many that takes. A last pass
-moves just enough documents, those without neighbours first, to make the sizes even.
+their group is in; a shard admits as many as leave it, plus what it has to spare up to its even share,
+and a hash of the group decides who, drawn anew in each round. Documents without neighbours take up no quota, as they
+give way in the last pass at no cost; where nearly all have neighbours, quotas are a little over the even share. Rounds go on until
+``PATIENCE`` of them in a row have each lowered the number of cut edges by less than ``LEAST_FALL`` of it, as one
+unlucky draw mends little. A last pass moves just enough documents, those without neighbours first, to make the
+sizes even.
 
 Law ``rows``: shards hold the same number of documents, give or take one. A group that no shard can
 hold is cut by a hash into pieces that fill a shard each, and one for the rest. Such pieces, and groups
-of over an eighth of a shard, are a bounded number; they are dealt whole, the largest first to the
-emptiest shard, so a group begins a shard only after it has filled another, which cuts the fewest of
-its edges. There they stay: all that they could ask for is where they are, or full of their own.
+of over an eighth of a shard, are a bounded number; the first round finds each of them whole in one shard, dealt
+the largest first to the emptiest, as propagation from scattered seeds can't tell two of them apart that fill the same
+shard. From there they take part in every round, under the same quotas, like all others; their documents are
+admitted one by one, as a shard may have room for a part of them only.
 
 Nulls: a null text is an empty one, of size 1; rows without a doc_id are left out. Repeated rows are
 linked like any equal texts, and each is placed. Texts of any length count by their bytes. Ties between
@@ -30,9 +33,9 @@ from pyspark.sql import functions as F
 from peakfield.llm.common import documents, hashed_buckets, named, running, written
 
 SHARDS = 16
-#: The part of the cut edges that a round has to mend for another one to follow.
-LEAST_FALL = 0.01
-#: How far a shard may be over its even share until the last pass.
+#: The part of the cut edges that a round has to mend to count as a gain, and the rounds without one after which propagation ends.
+LEAST_FALL, PATIENCE = 0.01, 4
+#: How far linked documents may be over their even share of a shard until the last pass.
 SLACK = 0.05
 
 
@@ -93,18 +96,25 @@ def seeded(nodes: DataFrame, shards: int) -> DataFrame:
 
 
 def asked(nodes: DataFrame, turn: int) -> DataFrame:
-    """Adds ``wish``: the shard where most of the document's team is; of equal ones the same for the whole team, another draw each turn."""
-    moving = F.col("team").isNotNull() & ~F.col("large")
-    seats = nodes.where(moving).groupBy("team", "shard").agg(F.count("*").alias("n"))
-    wishes = seats.groupBy(F.col("team").alias("_key")).agg(F.max_by("shard", F.struct("n", F.xxhash64(F.lit(turn), "shard", "team"))).alias("wish"))
-    # documents that ask for nothing get a key of their own, as nulls, and large teams, would all meet in one task
-    keyed = nodes.withColumn("_key", F.when(moving, F.col("team")).otherwise(F.xxhash64(F.lit("alone"), "doc_id"))).join(wishes, "_key", "left")
-    return keyed.withColumn("wish", F.coalesce(F.when(moving, F.col("wish")), "shard")).drop("_key")
+    """Adds ``wish``: the shard where most of the document's team is; of equal ones the same for the whole team, another draw each turn.
+
+    Wishes of large teams, of which there are about nine for each shard at most, are broadcast, so that no task meets a whole one.
+    """
+    seats = nodes.where("team IS NOT NULL").groupBy("team", "shard", "large").agg(F.count("*").alias("n"))
+    wishes = seats.groupBy(F.col("team").alias("_key"), "large").agg(F.max_by("shard", F.struct("n", F.xxhash64(F.lit(turn), "shard", "team"))).alias("wish"))
+    wishes = written(wishes, "wishes")
+    few, many = wishes.where("large").select("_key", F.col("wish").alias("_few")), wishes.where("NOT large").select("_key", F.col("wish").alias("_many"))
+    large = F.col("team").isNotNull() & F.col("large")
+    nodes = nodes.join(F.broadcast(few), F.when(large, F.col("team")) == F.col("_key"), "left").drop("_key")
+    # documents of no team get a key of their own, as nulls, and large teams, would all meet in one task
+    keyed = nodes.withColumn("_key", F.when(F.col("team").isNotNull() & ~F.col("large"), F.col("team")).otherwise(F.xxhash64(F.lit("alone"), "doc_id"))).join(many, "_key", "left")
+    wish = F.when(large, F.col("_few")).when(F.col("team").isNotNull(), F.col("_many"))
+    return keyed.withColumn("wish", F.coalesce(wish, "shard")).drop("_key", "_few", "_many")
 
 
 def cut_of(nodes: DataFrame) -> int:
-    """Pairs of a team in different shards, of the teams that move."""
-    seats = nodes.where("team IS NOT NULL AND NOT large").groupBy("team", "shard").agg(F.count("*").alias("n"))
+    """Pairs of a team in different shards."""
+    seats = nodes.where("team IS NOT NULL").groupBy("team", "shard").agg(F.count("*").alias("n"))
     teams = seats.groupBy("team").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"))
     return int(teams.agg(F.sum((F.col("n") * F.col("n") - F.col("squares")).cast("decimal(38,0)"))).first()[0] or 0) // 2
 
@@ -126,23 +136,26 @@ def quotas(flow: dict[tuple[int, int], int], load: list[int], room: float) -> li
 
 
 def admitted(moves: DataFrame, shards: int, turn: int) -> DataFrame:
-    """The wishes that come true in a round, by a hash of the group under the shards' quotas."""
+    """The wishes that come true in a round under the shards' quotas, by a hash of the group, or of the document where the group is large."""
     flow = {(r["shard"], r["wish"]): r["n"] for r in moves.where("wish != shard").groupBy("shard", "wish").agg(F.count("*").alias("n")).collect()}  # shards x shards
-    load = _counts(moves, shards)
-    share = quotas(flow, load, sum(load) / shards * (1 + SLACK))
-    luck = F.pmod(F.xxhash64(F.lit(turn), "team", "shard"), F.lit(1 << 20)) / (1 << 20)
+    load = _counts(moves.where("team IS NOT NULL"), shards)
+    share = quotas(flow, load, max(moves.count() / shards, sum(load) / shards * (1 + SLACK)))
+    draw = F.when(F.col("large"), F.xxhash64(F.lit(turn), "doc_id")).otherwise(F.xxhash64(F.lit(turn), "team", "shard"))
+    luck = F.pmod(draw, F.lit(1 << 20)) / (1 << 20)
     goes = (F.col("wish") != F.col("shard")) & (luck < _pick(share, F.col("wish")))
     return moves.withColumn("shard", F.when(goes, F.col("wish")).otherwise(F.col("shard"))).drop("wish")
 
 
-def propagated(nodes: DataFrame, shards: int, least_fall: float = LEAST_FALL) -> DataFrame:
+def propagated(nodes: DataFrame, shards: int, least_fall: float = LEAST_FALL, patience: int = PATIENCE) -> DataFrame:
     """Rounds of propagation until the cut stops falling; each is written, so lineage stays one round long."""
-    cut, turn = math.inf, 0
+    best, idle, turn = math.inf, 0, 0
     while True:
         moves = written(asked(nodes, turn), "round")
-        before, cut = cut, cut_of(moves)
-        if not cut or cut > before * (1 - least_fall):
+        cut = cut_of(moves)
+        idle = 0 if cut < best * (1 - least_fall) else idle + 1
+        if not cut or idle == patience or moves.where("wish != shard").isEmpty():
             return moves.drop("wish")
+        best = min(best, cut)
         nodes, turn = admitted(moves, shards, turn), turn + 1
 
 
