@@ -244,7 +244,8 @@ def compared(docs: DataFrame) -> DataFrame:
     release(docs.sparkSession)
     tail = F.floor(F.col("n_chars") / 3).cast("int")
     asks = with_next_id(spots.select("doc_id", tail.alias("need"))).select(F.col("doc_id").alias("asker"), F.col("next_id").alias("doc_id"), "need")
-    both = texts.join(spots, "doc_id").select("doc_id", "text", "n_chars", "fp")
+    # the same columns on either side of the join below, so that texts and fingerprints are shuffled once for both
+    both = texts.join(spots.select("doc_id", "fp"), "doc_id").withColumn("n_chars", F.char_length("text").cast("long"))
     given = both.join(asks, "doc_id").select(F.col("asker").alias("doc_id"), F.substring("text", F.lit(1), F.col("need")).alias("head"), F.col("fp").alias("next_fp"))
     rows = both.join(given, "doc_id")
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - tail).cast("int")), "head"))
