@@ -19,8 +19,6 @@ MODULES = {
     "op11_conversation_repair": "conversations",
     "op12_ball_tree": "balltree",
     "op13_annular_codes": "annular",
-    
-    
 }
 
 
