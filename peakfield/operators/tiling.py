@@ -37,7 +37,8 @@ def tile(df: DataFrame, fan_out: int, capacity: int = CAPACITY, height: int = HE
     from its own, so nothing is counted again. At most ``height`` rounds.
     """
     columns = [*df.columns, "tile_id", "leaf_depth"]
-    runs, largest = df.groupBy("run_id").agg(F.count("*").alias("_size")), largest_run(df)
+    runs = written(df.groupBy("run_id").agg(F.count("*").alias("_size")), "runs")  # a row for each run, counted once
+    largest = runs.agg(F.max("_size")).first()[0] or 0
     left = df.join(runs, "run_id").withColumn("tile_id", F.lit(0).cast("long")).withColumn("leaf_depth", F.lit(0)).select(*columns, "_size")
     done = []
     for depth in range(height):
