@@ -275,6 +275,7 @@ SELECT {OUT} FROM b LEFT JOIN e USING (run_id) WHERE depth IS NULL OR lod <= dep
         "chunk_split": f"WITH {P} SELECT point_id, (row_number() OVER (ORDER BY mz, point_id) - 1) // CAST(ceil((SELECT count(*) FROM p) / 7.0) AS BIGINT) AS chunk FROM p",
         "fixed_chunks": f"WITH {P}, x AS (SELECT *, (row_number() OVER (ORDER BY rt, point_id) - 1) // 300 AS chunk FROM p) SELECT chunk, count(*) AS n, min(point_id) AS first_id, max(mz) AS mz_max FROM x GROUP BY chunk",
         "tile": f"WITH {TILES} SELECT point_id, leaf_depth, tile_id FROM t",
+        "tile_sketched": f"WITH {TILES} SELECT point_id, leaf_depth, tile_id FROM t",
         "tree_config": f"WITH {P}, {CFG} SELECT 'events' AS run_id, leaves, k AS fan_out FROM cfg",
         "sort_points": f"WITH {P} SELECT {OUT} FROM p ORDER BY mz, point_id",
         "limit_points": f"WITH {P} SELECT {OUT} FROM p ORDER BY rt, point_id LIMIT 100",

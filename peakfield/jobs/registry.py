@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from peakfield.functions.points import AXES, POINT, VALUE, from_events, from_lineitem, project_axes, round_outward
 from peakfield.functions.scratch import scratch_path, written
 from peakfield.jobs.import_run import import_run, numbered
-from peakfield.operators import bounds, boxes, lookups, ordering, pyramid, sampling, tiling, viewports, walk
+from peakfield.operators import bounds, boxes, lookups, ordering, pyramid, sampling, sketched, tiling, viewports, walk
 from peakfield.operators.boxes import Box
 from peakfield.sources import mzml, mzml_source, ranges, records, store, text
 from peakfield.streaming import compact, ingest
@@ -59,6 +59,13 @@ def tiled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     return tiling.tile(df, fan_out, CAPACITY, HEIGHT), fan_out
 
 
+def tile_sketched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tiles of ``tile``: large ones cut by sketches, the others after the one exchange."""
+    df = points(spark, sf_dir)
+    _, fan_out = tiling.tree_config(tiling.largest_run(df), CAPACITY, HEIGHT)
+    return sketched.tile_sketched(df, fan_out, CAPACITY, HEIGHT, 4 * CAPACITY).select("point_id", "leaf_depth", "tile_id")
+
+
 def tiles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int]:
     """(points, tiles table, fan-out)"""
     df, fan_out = tiled(spark, sf_dir)
@@ -393,6 +400,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "assign_point_ids": lambda s, d: shown(items(s, d)),
         "chunk_split": lambda s, d: ordering.chunk_split(points(s, d), ["run_id"], ["mz", "point_id"], 7).select("point_id", "chunk"),
         "fixed_chunks": lambda s, d: ordering.fixed_chunks(points(s, d), ["rt", "point_id"], 300).groupBy("chunk").agg(F.count("*").alias("n"), F.min("point_id").alias("first_id"), F.max("mz").alias("mz_max")),
+        "tile_sketched": tile_sketched,
         "tile": lambda s, d: tiled(s, d)[0].select("point_id", "leaf_depth", "tile_id"),
         "tree_config": lambda s, d: config(s, d),
         "sort_points": lambda s, d: shown(ordering.sort_points(points(s, d), "mz")),

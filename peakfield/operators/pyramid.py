@@ -16,13 +16,17 @@ from peakfield.functions.scratch import written
 from peakfield.operators.boxes import Box, in_box
 from peakfield.operators.bounds import ancestor
 from peakfield.operators.sampling import REPEATING, summarize
+from peakfield.operators.sketched import tile_sketched
 from peakfield.operators.tiling import CAPACITY, HEIGHT, largest_run, tile, tree_config
 
 
-def build_pyramid(df: DataFrame, capacity: int = CAPACITY, height: int = HEIGHT, strategy: str = "WeightedStriding") -> DataFrame:
-    """df: points with ids -> the points with tile_id, leaf_depth and lod. Tiles are digits in base ``fan_out`` (tree_config of the largest run)."""
+def build_pyramid(df: DataFrame, capacity: int = CAPACITY, height: int = HEIGHT, strategy: str = "WeightedStriding", sketched: bool = False) -> DataFrame:
+    """df: points with ids -> the points with tile_id, leaf_depth and lod. Tiles are digits in base ``fan_out`` (tree_config of the largest run).
+
+    ``sketched``: the same tiles by ``tile_sketched``, for a stored table of which reading costs less than sorting.
+    """
     _, fan_out = tree_config(largest_run(df), capacity, height)
-    tiled = tile(df, fan_out, capacity, height)
+    tiled = (tile_sketched if sketched else tile)(df, fan_out, capacity, height)
     return levels(tiled, fan_out, capacity, height, strategy)
 
 
