@@ -35,8 +35,12 @@ LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 LONGEST = 5
 #: Words that a worker remembers.
 REMEMBERED = 200_000
-#: The posterior that a language needs for a document to be taken as written in it.
+#: The posterior that a language needs for a document to be taken as written in it, and the share of the text's letters that has to look like it.
 LEAST_SCORE = 0.5
+LEAST_FAMILIAR = 0.3
+#: The n-grams by which a word that a language lacks looks like it or not, and the letters that each text is granted, as a short one tells little.
+SHAPE = 3
+GRANTED = 8
 
 
 def words_of(text: str) -> list[str]:
@@ -79,15 +83,18 @@ class Model:
 
     def __init__(self, langs: list[str], priors: np.ndarray, entries: pa.Table, shape: dict[tuple[str, int], tuple[int, int]]):
         """entries: (kind, gram, by_lang: counts in the order of langs); shape: for (lang, kind) how many tokens and different entries there are."""
-        self.langs, self.priors, self.at, self.logs = langs, priors, [], []
+        self.langs, self.priors, self.at, self.logs, self.seen = langs, priors, [], [], []
         kinds, grams_, counts = entries["kind"].to_numpy(), entries["gram"].combine_chunks(), entries["by_lang"].combine_chunks().flatten().to_numpy().reshape(len(entries), len(langs))
         for kind in range(LONGEST + 1):
             rows = np.flatnonzero(kinds == kind)
             self.at.append(dict(zip(grams_.take(pa.array(rows)).to_pylist(), range(len(rows)), strict=True)))
             total, different = (np.array([shape.get((lang, kind), (0, 0))[k] for lang in langs], float) for k in range(2))
             self.logs.append(np.log((counts[rows] + 0.5) / (total + 0.5 * different + 1)))
+            self.seen.append(counts[rows] > 0 if kind in (0, SHAPE) else None)
+            if kind == SHAPE:  # the share of new text's n-grams that a language has, by Good and Turing: all but what was met once
+                self.covered = 1 - (counts[rows] == 1).sum(axis=0) / np.maximum(total, 1)
         self.known: dict[str, int] = {}
-        self.parts = np.empty((1024, len(langs)))
+        self.parts = np.empty((1024, 2 * len(langs) + 1))
 
     def part(self, word: str) -> np.ndarray:
         """What ``word`` adds for each language: nothing if the model has none of its characters."""
@@ -101,20 +108,35 @@ class Model:
                 return self.logs[k][found].mean(axis=0)
         return np.zeros(len(self.langs))
 
+    def familiar(self, word: str) -> np.ndarray:
+        """How much of ``word`` looks like each language: all of a word that the language has, else the share of its n-grams that it has."""
+        i, have = self.at[0].get(word), self.at[SHAPE]
+        cut = grams(word, SHAPE)
+        of = self.seen[SHAPE][[have[g] for g in cut if g in have]].sum(axis=0) / len(cut)
+        return of if i is None else np.where(self.seen[0][i], 1.0, of)
+
+    def _row(self, word: str) -> np.ndarray:
+        """``part``, the familiar letters by language, and the letters."""
+        return np.concatenate([self.part(word), len(word) * self.familiar(word), [len(word)]])
+
     def _remembered(self, word: str) -> int | None:
         n = len(self.known)
         if n == REMEMBERED:
             return None
         if n == len(self.parts):
             self.parts = np.concatenate([self.parts, np.empty_like(self.parts)])
-        self.parts[n] = self.part(word)
+        self.parts[n] = self._row(word)
         self.known[word] = n
         return n
 
     def predict(self, text: str | None) -> tuple[str, float]:
+        return self.judge(text)[:2]
+
+    def judge(self, text: str | None) -> tuple[str, float, float]:
+        """The language, its posterior, and the share of the text's letters that look like it, measured by what clean text would reach: 1 at most."""
         words = words_of(text or "")
         if not words or not self.langs:
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, 0.0
         at = list(map(self.known.get, words))
         beyond = []
         if None in at:
@@ -126,10 +148,15 @@ class Model:
                         at[i] = 0
         parts = self.parts[at]
         for i in beyond:
-            parts[i] = self.part(words[i])
-        total = self.priors + parts.sum(axis=0)
+            parts[i] = self._row(words[i])
+        sums, width = parts.sum(axis=0), len(self.langs)
+        total = self.priors + sums[:width]
         best = int(np.argmax(total))
-        return self.langs[best], float(1 / np.exp(total - total[best]).sum())
+        return self.langs[best], float(1 / np.exp(total - total[best]).sum()), self._likeness(best, sums[width + best], sums[-1])
+
+    def _likeness(self, lang: int, familiar: float, letters: float) -> float:
+        share = (familiar + GRANTED) / (letters + GRANTED)
+        return float(share / self.covered[lang]) if share < self.covered[lang] else 1.0
 
 
 class Learned:
@@ -165,37 +192,39 @@ def _predictor(shared) -> Callable:
         m = shared.value
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            found = [m.predict(t) for t in texts]
+            found = [m.judge(t) for t in texts]
             lettered = pa.array([bool(LETTERS.search(t)) for t in texts] if not m.langs else [x[0] != UNKNOWN for x in found], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), lettered], ["doc_id", "held_out", "lang_pred", "score", "lettered"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[2] for x in found], pa.float64()), lettered], ["doc_id", "held_out", "lang_pred", "score", "familiar", "lettered"])
 
     return run
 
 
 def _predictions(docs: DataFrame) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score, lettered); lettered: the text has a letter, whether or not a language was learned."""
+    """(doc_id, held_out, lang_pred, score, familiar, lettered); familiar: the share of the letters that look like the language; lettered: the text has a letter, whether or not a language was learned."""
     spark = docs.sparkSession
     bounded_batches(spark)
     held_out = F.pmod(crc_of_id(), F.lit(3)) == 1
     model = spark.sparkContext.broadcast(learn(docs.where("doc_id IS NOT NULL").where(~held_out)))
-    return named(docs).select("doc_id", "text", held_out.alias("held_out")).mapInArrow(_predictor(model), "doc_id long, held_out boolean, lang_pred string, score double, lettered boolean")
+    return named(docs).select("doc_id", "text", held_out.alias("held_out")).mapInArrow(_predictor(model), "doc_id long, held_out boolean, lang_pred string, score double, familiar double, lettered boolean")
 
 
 def predicted(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score), learned from the labelled rows that are not held out."""
-    return _predictions(docs).drop("lettered")
+    return _predictions(docs).drop("familiar", "lettered")
 
 
-def identified(docs: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
+def identified(docs: DataFrame, least_score: float = LEAST_SCORE, least_familiar: float = LEAST_FAMILIAR) -> DataFrame:
     """``docs`` in a language that the model knows, with ``lang`` filled in where it is null.
 
-    Rejected are texts without a letter, and those for which no language reaches ``least_score``. A row without a label
+    Rejected are texts without a letter, those for which no language reaches ``least_score``, and those that look like none: where less than
+    ``least_familiar`` of the letters are in words of the best language or in its trigrams. That share is measured by what new text of
+    the language would reach, told by the trigrams met once, so a language of which little was learned rejects little. A row without a label
     gets the predicted one; labels that are there stay. Where no language was learned nothing can be told, so texts
     with a letter stay as they are. Of rows that share a doc_id the one with the greatest text stands for it; rows
     without a doc_id go. An empty table stays empty, and columns stay as they are, whatever their names.
     """
     docs = one_row_per_id(docs)
-    told = _predictions(docs).where(F.col("lettered") & ((F.col("score") >= least_score) | (F.col("lang_pred") == UNKNOWN)))
+    told = _predictions(docs).where(F.col("lettered") & (((F.col("score") >= least_score) & (F.col("familiar") >= least_familiar)) | (F.col("lang_pred") == UNKNOWN)))
     told = told.select(F.col("doc_id").alias("_told_id"), F.col("lang_pred").alias("_told"))
     kept = apart(docs).join(told, F.col("_row.doc_id").cast("long") == F.col("_told_id"))
     lang = F.coalesce(F.col("_row.lang"), F.nullif("_told", F.lit(UNKNOWN)))
