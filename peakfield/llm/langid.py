@@ -94,7 +94,10 @@ class Model:
             if kind == SHAPE:  # the share of new text's n-grams that a language has, by Good and Turing: all but what was met once
                 self.covered = 1 - (counts[rows] == 1).sum(axis=0) / np.maximum(total, 1)
         self.known: dict[str, int] = {}
-        self.parts = np.empty((1024, 2 * len(langs) + 1))
+        self.parts = np.empty((1024, self._width()))
+
+    def _width(self) -> int:
+        return len(self.langs)
 
     def part(self, word: str) -> np.ndarray:
         """What ``word`` adds for each language: nothing if the model has none of its characters."""
@@ -108,16 +111,9 @@ class Model:
                 return self.logs[k][found].mean(axis=0)
         return np.zeros(len(self.langs))
 
-    def familiar(self, word: str) -> np.ndarray:
-        """How much of ``word`` looks like each language: all of a word that the language has, else the share of its n-grams that it has."""
-        i, have = self.at[0].get(word), self.at[SHAPE]
-        cut = grams(word, SHAPE)
-        of = self.seen[SHAPE][[have[g] for g in cut if g in have]].sum(axis=0) / len(cut)
-        return of if i is None else np.where(self.seen[0][i], 1.0, of)
-
     def _row(self, word: str) -> np.ndarray:
-        """``part``, the familiar letters by language, and the letters."""
-        return np.concatenate([self.part(word), len(word) * self.familiar(word), [len(word)]])
+        """What is added up over a text's words; languages first."""
+        return self.part(word)
 
     def _remembered(self, word: str) -> int | None:
         n = len(self.known)
@@ -129,14 +125,10 @@ class Model:
         self.known[word] = n
         return n
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        return self.judge(text)[:2]
-
-    def judge(self, text: str | None) -> tuple[str, float, float]:
-        """The language, its posterior, and the share of the text's letters that look like it, measured by what clean text would reach: 1 at most."""
+    def _sums(self, text: str | None) -> np.ndarray | None:
         words = words_of(text or "")
         if not words or not self.langs:
-            return UNKNOWN, 0.0, 0.0
+            return None
         at = list(map(self.known.get, words))
         beyond = []
         if None in at:
@@ -149,24 +141,63 @@ class Model:
         parts = self.parts[at]
         for i in beyond:
             parts[i] = self._row(words[i])
-        sums, width = parts.sum(axis=0), len(self.langs)
-        total = self.priors + sums[:width]
+        return parts.sum(axis=0)
+
+    def _told(self, sums: np.ndarray) -> tuple[int, float]:
+        total = self.priors + sums[: len(self.langs)]
         best = int(np.argmax(total))
-        return self.langs[best], float(1 / np.exp(total - total[best]).sum()), self._likeness(best, sums[width + best], sums[-1])
+        return best, float(1 / np.exp(total - total[best]).sum())
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        sums = self._sums(text)
+        if sums is None:
+            return UNKNOWN, 0.0
+        best, score = self._told(sums)
+        return self.langs[best], score
 
-    def _likeness(self, lang: int, familiar: float, letters: float) -> float:
-        share = (familiar + GRANTED) / (letters + GRANTED)
-        return float(share / self.covered[lang]) if share < self.covered[lang] else 1.0
+    def judge(self, text: str | None) -> tuple[str, float, float | None]:
+        return *self.predict(text), None
+
+
+class Judge(Model):
+    """A model that also tells how much of a text looks like its language, which takes more time for each new word."""
+
+    def _width(self) -> int:
+        return 2 * len(self.langs) + 1
+
+    def familiar(self, word: str) -> np.ndarray:
+        """How much of ``word`` looks like each language: all of a word that the language has, else the share of its n-grams that it has."""
+        i, have = self.at[0].get(word), self.at[SHAPE]
+        if i is not None and self.seen[0][i].all():
+            return np.ones(len(self.langs))
+        cut = grams(word, SHAPE)
+        of = self.seen[SHAPE][[have[g] for g in cut if g in have]].sum(axis=0) / len(cut)
+        return of if i is None else np.where(self.seen[0][i], 1.0, of)
+
+    def _row(self, word: str) -> np.ndarray:
+        """``part``, the familiar letters by language, and the letters."""
+        return np.concatenate([self.part(word), len(word) * self.familiar(word), [len(word)]])
+
+    def judge(self, text: str | None) -> tuple[str, float, float | None]:
+        """The language, its posterior, and the share of the text's letters that look like it, measured by what clean text would reach: 1 at most."""
+        sums = self._sums(text)
+        if sums is None:
+            return UNKNOWN, 0.0, 0.0
+        best, score = self._told(sums)
+        share = (sums[len(self.langs) + best] + GRANTED) / (sums[-1] + GRANTED)
+        return self.langs[best], score, float(share / self.covered[best]) if share < self.covered[best] else 1.0
 
 
 class Learned:
-    """What a ``Model`` is made of, as Arrow columns; sent to a worker, it arrives as the model."""
+    """What a ``Model`` is made of, as Arrow columns; sent to a worker, it arrives as the model, or as what ``made`` says."""
+
+    made = Model
 
     def __init__(self, *parts):
         self.parts = parts
 
     def __reduce__(self):
-        return Model, self.parts
+        return self.made, self.parts
 
 
 def learn(docs: DataFrame, rows_per_lang: int = 1000) -> Learned:
@@ -199,12 +230,14 @@ def _predictor(shared) -> Callable:
     return run
 
 
-def _predictions(docs: DataFrame) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score, familiar, lettered); familiar: the share of the letters that look like the language; lettered: the text has a letter, whether or not a language was learned."""
+def _predictions(docs: DataFrame, made: type[Model] = Model) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score, familiar, lettered); familiar, null but for a ``Judge``: the share of the letters that look like the language; lettered: the text has a letter, whether or not a language was learned."""
     spark = docs.sparkSession
     bounded_batches(spark)
     held_out = F.pmod(crc_of_id(), F.lit(3)) == 1
-    model = spark.sparkContext.broadcast(learn(docs.where("doc_id IS NOT NULL").where(~held_out)))
+    learned = learn(docs.where("doc_id IS NOT NULL").where(~held_out))
+    learned.made = made
+    model = spark.sparkContext.broadcast(learned)
     return named(docs).select("doc_id", "text", held_out.alias("held_out")).mapInArrow(_predictor(model), "doc_id long, held_out boolean, lang_pred string, score double, familiar double, lettered boolean")
 
 
@@ -224,7 +257,7 @@ def identified(docs: DataFrame, least_score: float = LEAST_SCORE, least_familiar
     without a doc_id go. An empty table stays empty, and columns stay as they are, whatever their names.
     """
     docs = one_row_per_id(docs)
-    told = _predictions(docs).where(F.col("lettered") & (((F.col("score") >= least_score) & (F.col("familiar") >= least_familiar)) | (F.col("lang_pred") == UNKNOWN)))
+    told = _predictions(docs, Judge).where(F.col("lettered") & (((F.col("score") >= least_score) & (F.col("familiar") >= least_familiar)) | (F.col("lang_pred") == UNKNOWN)))
     told = told.select(F.col("doc_id").alias("_told_id"), F.col("lang_pred").alias("_told"))
     kept = apart(docs).join(told, F.col("_row.doc_id").cast("long") == F.col("_told_id"))
     lang = F.coalesce(F.col("_row.lang"), F.nullif("_told", F.lit(UNKNOWN)))

@@ -54,7 +54,7 @@ def test_junk_goes_and_clean_documents_stay(frame, spark):
 def test_likeness_by_brute_force(frame, monkeypatch, remembered):
     monkeypatch.setattr(langid, "REMEMBERED", remembered)
     rows = corpus(60)
-    model = langid.Model(*langid.learn(frame(rows)).parts)
+    model = langid.Judge(*langid.learn(frame(rows)).parts)
     for text in [*junk(3), *(t for _, t, _, _ in rows[:5]), *(t[::-1] for _, t, _, _ in rows[5:10])]:
         lang, score, found = model.judge(text)
         assert (lang, score) == model.predict(text) and found == pytest.approx(likeness(text, lang, rows))
@@ -64,5 +64,5 @@ def test_likeness_by_brute_force(frame, monkeypatch, remembered):
 def test_little_learned_rejects_little(frame):
     """One row for each language: every trigram was met once, so nothing can be told from those that are lacking."""
     rows = [(i, t, lang, "s") for i, (t, lang) in enumerate([("abc", "x"), ("def", "y")] * 3)]
-    model = langid.Model(*langid.learn(frame(rows[:2])).parts)
+    model = langid.Judge(*langid.learn(frame(rows[:2])).parts)
     assert model.judge("qqq www zzz vvv")[2] == 1.0
