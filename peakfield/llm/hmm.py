@@ -10,7 +10,8 @@ Each Baum-Welch round runs over all training documents; expected counts are summ
 partitions, so that the driver sees emissions x states numbers. Rounds end once one raises the mean log
 likelihood of a token by less than ``LEAST_GAIN``, however many that takes.
 
-Texts of any length are trained on and scored whole, in bounded memory: a text is cut into windows,
+Words are told apart in pieces of a few MB of text, cut at white space; of a longer text only two bytes
+for each token are held. Texts of any length are trained on and scored whole, in bounded memory: a text is cut into windows,
 each window's transfer matrix (states x states) is found for all windows side by side, a chain over
 these matrices gives what enters each window from both ends, and then the recursions run inside the
 windows. This equals the recursions over the whole text.
@@ -23,7 +24,7 @@ training rows the model is uniform and the base score 0.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peakfield.llm.common import bounded_batches, crc_of_id, documents, named, one_row_per_id, written
+from peakfield.llm.common import SPACES, bounded_batches, crc_of_id, documents, named, one_row_per_id, written
 
 #: States; words that a state emits directly; classes by hash for all other words. Emission 0 is the end of a text, then come the classes, then the words.
 STATES, OWN, HASHED = 8, 12_287, 4096
@@ -40,6 +41,8 @@ STATES, OWN, HASHED = 8, 12_287, 4096
 WINDOW, WIDE = 256, 1024
 #: Words whose counts are broadcast, at most.
 HEAD = 500_000
+#: Bytes of text whose words are told apart at a time; a longer word is not cut.
+PIECE = 8 << 20
 #: Rounds end when one gains less than this for a token, in log10.
 LEAST_GAIN = 0.01
 
@@ -54,6 +57,35 @@ def hashed_class(h: np.ndarray) -> np.ndarray:
     return 1 + h % HASHED
 
 
+IS_SPACE = np.isin(np.arange(256), list(SPACES.encode()))
+
+
+def cut_text(text: pa.Array) -> Iterator[pa.Array]:
+    """One text, in pieces of about ``PIECE`` bytes that end with white space, so that every word is whole in one of them."""
+    data, at = np.frombuffer(text[0].as_buffer(), np.uint8), 0
+    while at < len(data):
+        end = at + PIECE
+        before = np.flatnonzero(IS_SPACE[data[at:end]])
+        if end < len(data) and len(before):
+            end = at + before[-1] + 1
+        while end < len(data) and not len(before):
+            before = np.flatnonzero(IS_SPACE[data[end : end + PIECE]])
+            end += before[0] + 1 if len(before) else PIECE
+        yield pa.array([data[at:end].tobytes()], pa.binary()).cast(pa.string())
+        at = end
+
+
+def pieces_of(text: pa.Array) -> Iterator[tuple[int, int, Iterable[pa.Array]]]:
+    """A batch of texts in (first row, row after the last, pieces): rows of ``PIECE`` bytes together at most are one piece, a longer text has several."""
+    n = pc.binary_length(text).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, i = np.cumsum(n), 0
+    while i < len(n):
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] - n[i] + PIECE, side="right")))
+        rows = text.slice(i, j - i)
+        yield i, j, cut_text(rows) if n[i] > PIECE else [rows]
+        i = j
+
+
 def words_of(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of a batch of texts: the hashes of its distinct words, for each word which of them it is, and the text it stands in."""
     parts = pc.ascii_split_whitespace(pc.ascii_lower(text))
@@ -75,10 +107,11 @@ def _word_counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(n, pa.int64())], ["h", "n"])
 
     for batch in batches:
-        h, words, _ = words_of(batch.column("text"))
-        held.append((h, np.bincount(words, minlength=len(h))))
-        if sum(len(x) for x, _ in held) > 1_000_000:
-            yield out()
+        for piece in (p for _, _, pieces in pieces_of(batch.column("text")) for p in pieces):
+            h, words, _ = words_of(piece)
+            held.append((h, np.bincount(words, minlength=len(h))))
+            if sum(len(x) for x, _ in held) > 1_000_000:
+                yield out()
     yield out()
 
 
@@ -117,27 +150,40 @@ def _tokeniser(frequent) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, own = frequent.value
         logs = np.log10(np.append(counts, 0) + 1.0)
-        for batch in batches:
-            h, words, at = words_of(batch.column("text"))
+
+        def of_rows(batch: pa.RecordBatch, pieces: Iterable[pa.Array]) -> pa.RecordBatch:
             rows = batch.num_rows
-            place = np.searchsorted(keys, h)
-            place[(place == len(keys)) | (np.append(keys, 0)[place] != h)] = len(keys)
-            has = place < len(keys)
-            mine = np.append(own, 0)[place]
-            classes = np.where(mine > 0, mine, hashed_class(h))[words]
-            n = np.bincount(at, minlength=rows)
+            n, known, sums, listed = (np.zeros(rows, t) for t in (np.int64, np.int64, np.float64, np.int64))
+            classes, rare, often = [np.zeros(0, "<u2")], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for piece in pieces:
+                h, words, at = words_of(piece)
+                place = np.searchsorted(keys, h)
+                place[(place == len(keys)) | (np.append(keys, 0)[place] != h)] = len(keys)
+                has = place < len(keys)
+                mine = np.append(own, 0)[place]
+                classes.append(np.where(mine > 0, mine, hashed_class(h)).astype("<u2")[words])
+                n += np.bincount(at, minlength=rows)
+                known += np.bincount(at, has[words], rows).astype(np.int64)
+                sums += np.bincount(at, logs[place][words], rows)
+                # the other words: each once for a text (or a piece of one), with how often it stands there
+                other = ~has[words]
+                pairs, times = np.unique(at[other] * len(h) + words[other], return_counts=True)
+                listed += np.bincount(pairs // max(1, len(h)), minlength=rows)
+                rare.append(h[pairs % max(1, len(h))])
+                often.append(times)
             ends = np.cumsum(n + 1)
-            flat = np.zeros(len(words) + rows, "<u2")
-            flat[np.arange(len(words)) + at] = classes
+            flat, word = np.zeros(ends[-1], "<u2"), np.ones(ends[-1], bool)
+            word[ends - 1] = False
+            flat[word] = np.concatenate(classes)
             tokens = pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(np.append(0, 2 * ends).astype(np.int32)), pa.py_buffer(flat)])
-            # the other words: each once for a text, with how often it stands there
-            other = ~has[words]
-            pairs, times = np.unique(at[other] * len(h) + words[other], return_counts=True)
-            offsets = pa.array(np.append(0, np.cumsum(np.bincount(pairs // max(1, len(h)), minlength=rows))), pa.int32())
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int64())) for x in (h[pairs % max(1, len(h))], times)]
-            long = pa.int64()
-            added = [tokens, pa.array(n + 1, long), pa.array(np.bincount(at, has[words], rows).astype(np.int64), long), pa.array(np.bincount(at, logs[place][words], rows), pa.float64()), *lists]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *added], ["doc_id", "held_out", "classes", "n_tokens", "n_known", "logs", "rare", "times"])
+            offsets = pa.array(np.append(0, np.cumsum(listed)), pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x), pa.int64())) for x in (rare, often)]
+            added = [tokens, pa.array(n + 1, pa.int64()), pa.array(known, pa.int64()), pa.array(sums, pa.float64()), *lists]
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *added], ["doc_id", "held_out", "classes", "n_tokens", "n_known", "logs", "rare", "times"])
+
+        for batch in batches:
+            for first, last, pieces in pieces_of(batch.column("text")):
+                yield of_rows(batch.slice(first, last - first), pieces)
 
     return run
 

@@ -4,10 +4,13 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -123,6 +126,44 @@ def small_model(states=3, classes=7, seed=1):
     return norm(rnd.random(states), 0), norm(rnd.random((states, states)), 1), norm(rnd.random((classes, states)), 0)
 
 
+def tokenised(text):
+    """Its row from the hidden Markov model's tokeniser, which knows the words a and bc, and the counted words."""
+    keys = np.sort(np.array([hmm.word_hash(w) for w in (b"a", b"bc")]))
+    shared = SimpleNamespace(value=(keys, np.array([3, 4]), np.array([1 + hmm.HASHED, 0])))
+    batch = lambda: iter([pa.RecordBatch.from_arrays([pa.array([1]), pa.array([False]), pa.array([text])], ["doc_id", "held_out", "text"])])
+    [row] = [r for b in hmm._tokeniser(shared)(batch()) for r in b.to_pylist()]
+    words, rare = Counter(), Counter()
+    for b in hmm._word_counter(batch()):
+        words.update({r["h"]: r["n"] for r in b.to_pylist()})
+    for h, n in zip(row.pop("rare"), row.pop("times"), strict=True):
+        rare[h] += n
+    return row, rare, words
+
+
+def test_words_of_a_text_in_pieces(monkeypatch):
+    """Cut anywhere, no word is cut, lost or counted twice."""
+    for text in ("", " ", "a", "a bc éa\x0bÉ语 语 語語 A\n\n bc\tlong-word-here ", " a" * 40, "x" * 90 + " a", "x" * 90):
+        monkeypatch.setattr(hmm, "PIECE", 1 << 20)
+        row, rare, words = tokenised(text)
+        assert words.total() + 1 == row["n_tokens"] == len(text.split()) + 1
+        for piece in (1, 3, 7, 20):
+            monkeypatch.setattr(hmm, "PIECE", piece)
+            cut = tokenised(text)
+            assert cut[0].pop("logs") == pytest.approx(row["logs"])
+            assert cut == ({k: v for k, v in row.items() if k != "logs"}, rare, words)
+
+
+def test_memory_of_a_long_text_is_bounded():
+    """Of a text of many pieces only its classes are held: two bytes a token, some more while they are put together."""
+    text = "a bc d " * 9_000_000  # 63 MB, 27 million words
+    tracemalloc.start()
+    row, _, words = tokenised(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert row["n_tokens"] == 27_000_001 and sorted(words.values()) == [9_000_000] * 3
+    assert peak < 8 * len(text)
+
+
 def test_forward_and_expected_counts():
     start, move, emit = small_model()
     rnd = np.random.default_rng(2)
