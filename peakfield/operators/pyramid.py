@@ -19,6 +19,9 @@ from peakfield.operators.sampling import REPEATING, summarize
 from peakfield.operators.sketched import tile_sketched
 from peakfield.operators.tiling import CAPACITY, HEIGHT, largest_run, tile, tree_config
 
+#: Rows that a summary looks at in one window's partition; beyond that it is dealt over tasks.
+WINDOW_ROWS = 1 << 20
+
 
 def build_pyramid(df: DataFrame, capacity: int = CAPACITY, height: int = HEIGHT, strategy: str = "WeightedStriding", sketched: bool = False) -> DataFrame:
     """df: points with ids -> the points with tile_id, leaf_depth and lod. Tiles are digits in base ``fan_out`` (tree_config of the largest run).
@@ -30,24 +33,26 @@ def build_pyramid(df: DataFrame, capacity: int = CAPACITY, height: int = HEIGHT,
     return levels(tiled, fan_out, capacity, height, strategy)
 
 
-def levels(tiled: DataFrame, fan_out: int, capacity: int, height: int, strategy: str) -> DataFrame:
+def levels(tiled: DataFrame, fan_out: int, capacity: int, height: int, strategy: str, leaf: int = 0) -> DataFrame:
     """Adds lod, from the leaves up: of the points that an inner tile's children show, its summary rises a level."""
-    return risen(tiled.withColumn("lod", F.col("leaf_depth")), fan_out, capacity, height, strategy)
+    return risen(tiled.withColumn("lod", F.col("leaf_depth")), fan_out, capacity, height, strategy, leaf)
 
 
-def risen(rows: DataFrame, fan_out: int, capacity: int, top: int, strategy: str) -> DataFrame:
+def risen(rows: DataFrame, fan_out: int, capacity: int, top: int, strategy: str, leaf: int = 0) -> DataFrame:
     """rows: points with a lod, which summaries of the depths above ``top`` lessen.
 
     Only what rose to a depth is carried on and written, a part of what rose to the one below; the points
     themselves are joined with their lod and written once, at the end. A summary looks at fan_out * capacity
-    points at most, so each is one window's partition.
+    points at most, so each is one window's partition; where a height was given that leaves ``leaf`` points, more than
+    the capacity, in the tiles at ``top``, the summaries above these look at fan_out * leaf.
     """
     if strategy in REPEATING:
         raise ValueError(f"{strategy} may repeat points, so it summarizes no tiles")
-    settings = {"large": False} if "Striding" in strategy else {}
     rose = []
     for depth in reversed(range(top)):
         shown = rows.where(F.col("lod") == depth + 1)
+        most = fan_out * max(capacity, leaf if depth == top - 1 else 0)
+        settings = {"large": most > max(WINDOW_ROWS, fan_out * capacity)} if "Striding" in strategy else {}
         shown = shown.unionByName(rose[-1]) if rose else shown
         best = summarize(shown.withColumn("_up", ancestor(depth, fan_out)), capacity, strategy, ["run_id", "_up"], **settings)
         rose.append(written(best.drop("_up").withColumn("lod", F.lit(depth)), "risen"))

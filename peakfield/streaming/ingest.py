@@ -19,7 +19,7 @@ from peakfield.operators.bounds import dataset_summary
 from peakfield.operators.ordering import index_within
 from peakfield.operators.pyramid import levels, risen
 from peakfield.operators.sampling import merged_reservoirs, reservoir_state, summarize
-from peakfield.operators.tiling import largest_run, tile, tree_config
+from peakfield.operators.tiling import height_for, largest_run, tile
 from peakfield.functions.scratch import written
 from peakfield.sources import mzml, ranges, records, text
 
@@ -66,13 +66,13 @@ def _after(points: DataFrame, out: str, batch_id: int) -> DataFrame:
 
 def ingest_stream(
     spark: SparkSession, source: str, schema: T.StructType | None, out: str, checkpoint: str, files_per_batch: int = 1, capacity: int | None = None,
-    kind: str = "parquet", fan_out: int = FAN_OUT, strategy: str = "WeightedStriding", least: float = 1.0, bytes_per_batch: int | None = None, reservoir: int | None = None, seed: int = 0,
+    kind: str = "parquet", fan_out: int = FAN_OUT, strategy: str = "WeightedStriding", least: float = 1.0, bytes_per_batch: int | None = None, reservoir: int | None = None, seed: int = 0, height: int | None = None,
 ):
     """Starts a query that appends each batch's points and bounds to ``out`` and stops when the source is read.
 
     kind: "parquet" (points), "csv", "mzml" or "records" files. With ``bytes_per_batch``, mzml and records files are cut, and a batch is ``files_per_batch``
     ranges of so many bytes, however large the files are; files that have come since are added by calling this again. A batch overwrites its own folders, so a batch that is run again after a failure
-    changes nothing. With ``capacity`` each batch is also built into a pyramid of its own,
+    changes nothing. With ``capacity`` each batch is also built into a pyramid of its own, of ``height`` levels below its roots at most if that is given (leaves then hold what is left),
     with ``reservoir`` it leaves a sample of so many points by weight, with their keys, under ``out``/reservoir. What cannot be read is kept
     under ``out``/quarantine.
     """
@@ -82,10 +82,8 @@ def ingest_stream(
         if positions and kind == "mzml":
             points = _after(points, out, batch_id)
         if capacity:
-            height, leaves = 0, tree_config(largest_run(points), capacity)[0]
-            while fan_out**height < leaves:
-                height += 1
-            points = levels(tile(points, fan_out, capacity, height), fan_out, capacity, height, strategy)
+            tall, leaf = height_for(largest_run(points), capacity, fan_out, height)
+            points = levels(tile(points, fan_out, capacity, tall), fan_out, capacity, tall, strategy, leaf)
         points.write.mode("overwrite").parquet(f"{out}/points/batch={batch_id}")
         kept = batch.sparkSession.read.parquet(f"{out}/points/batch={batch_id}")
         dataset_summary(kept).write.mode("overwrite").parquet(f"{out}/bounds/batch={batch_id}")
