@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from peakfield.functions.points import POINT
 from peakfield.functions.scratch import written
 from peakfield.operators.pyramid import levels, risen
-from peakfield.operators.tiling import tile
+from peakfield.operators.tiling import height_for, tile
 from peakfield.streaming.ingest import FAN_OUT
 
 TREE = ["tile_id", "leaf_depth", "lod"]
@@ -40,8 +40,11 @@ def parts_of(sliced: DataFrame) -> DataFrame:
     return written(numbered.select("run_id", "batch", "slice", "part", F.count("*").over(whole).alias("n_slices"), F.sum("n").over(whole).alias("n_points")), "parts")
 
 
-def compacted(spark: SparkSession, out: str, capacity: int, fan_out: int = FAN_OUT, strategy: str = "WeightedStriding") -> DataFrame:
-    """One pyramid over all batches below ``out``, in which no two parts of a run overlap in rt by more than an edge; nothing below ``out`` is changed."""
+def compacted(spark: SparkSession, out: str, capacity: int, fan_out: int = FAN_OUT, strategy: str = "WeightedStriding", height: int | None = None) -> DataFrame:
+    """One pyramid over all batches below ``out``, in which no two parts of a run overlap in rt by more than an edge; nothing below ``out`` is changed.
+
+    ``height``: levels below the root of a part that is built anew at most, as ``ingest_stream`` has it for batches.
+    """
     sliced = slices_of(spark.read.parquet(f"{out}/points"), fan_out)
     parts = parts_of(sliced)
     n_parts, largest = parts.agg(F.max("part"), F.max(F.when(F.col("n_slices") > 1, F.col("n_points")))).first()
@@ -52,12 +55,10 @@ def compacted(spark: SparkSession, out: str, capacity: int, fan_out: int = FAN_O
     kept = kept.withColumn("leaf_depth", F.greatest(F.lit(0), F.col("leaf_depth") - 1)).withColumn("lod", F.greatest(F.lit(0), F.col("lod") - 1)).select(*POINT.names, *TREE, "part")
     both = kept
     if largest:
-        height, leaves = 0, -(-largest // capacity)
-        while fan_out**height < leaves:
-            height += 1
+        tall, leaf = height_for(largest, capacity, fan_out, height)
         # a part is a run of its own while it is tiled
         loose = placed.where("n_slices > 1").select(F.concat("part", F.lit(":"), "run_id").alias("run_id"), *POINT.names[1:], "part", F.col("run_id").alias("_run"))
-        again = levels(tile(loose, fan_out, capacity, height), fan_out, capacity, height, strategy)
+        again = levels(tile(loose, fan_out, capacity, tall), fan_out, capacity, tall, strategy, leaf)
         both = kept.unionByName(again.withColumn("run_id", F.col("_run")).select(*POINT.names, *TREE, "part"))
     top = 0
     while fan_out**top < (n_parts or 0) + 1:
