@@ -15,13 +15,10 @@ from pyspark.sql import functions as F
 from peakfield.functions.scratch import written
 from peakfield.operators.boxes import Box, in_box
 from peakfield.operators.bounds import ancestor
-from peakfield.operators.sampling import REPEATING, summarize
+from peakfield.operators.sampling import REPEATING, WINDOW_ROWS, summarize
 from peakfield.operators.sketched import tile_sketched
 from peakfield.operators.tiling import CAPACITY, HEIGHT, largest_run, tile, tree_config
 
-#: Rows that a summary looks at in one window's partition; beyond that it is dealt over tasks.
-WINDOW_ROWS = 1 << 20
-
 
 def build_pyramid(df: DataFrame, capacity: int = CAPACITY, height: int = HEIGHT, strategy: str = "WeightedStriding", sketched: bool = False) -> DataFrame:
     """df: points with ids -> the points with tile_id, leaf_depth and lod. Tiles are digits in base ``fan_out`` (tree_config of the largest run).

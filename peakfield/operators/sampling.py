@@ -22,6 +22,8 @@ from peakfield.operators.ordering import index_within
 STRIDE = 43
 #: Rows in a bucket of a two-level running sum or minimum.
 BUCKET = 1 << 16
+#: Rows that a summary looks at in one window's partition; larger groups are dealt over tasks.
+WINDOW_ROWS = 1 << 20
 #: Slack of the running total against its threshold.
 SLACK = 1e-5
 
@@ -35,16 +37,17 @@ def _ids(df: DataFrame, group: list[str]) -> list[str]:
     return ["point_id"] if "run_id" in group or "run_id" not in df.columns else ["run_id", "point_id"]
 
 
-def _first(df: DataFrame, n: int | str, group: list[str], order: list[Column]) -> DataFrame:
-    """The first n of each group in the given order; where n is a number Spark keeps n rows for each group and task, not all."""
+def _first(df: DataFrame, n: int | str, group: list[str], order: list[Column], most: int | None = None) -> DataFrame:
+    """The first n of each group in the given order; where n is a number, or has ``most`` as its greatest value, Spark keeps so many rows for each group and task, not all."""
     rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
-    return df.withColumn("_rank", rank).where(F.col("_rank") <= _number(n)).drop("_rank")
+    first = F.col("_rank") <= _number(n)
+    return df.withColumn("_rank", rank).where(first if most is None else first & (F.col("_rank") <= most)).drop("_rank")
 
 
-def top_intensity(df: DataFrame, n: int | str, group: list[str] | None = None) -> DataFrame:
+def top_intensity(df: DataFrame, n: int | str, group: list[str] | None = None, most: int | None = None) -> DataFrame:
     """The n most intense; among equal ones the later point wins."""
     group = group or ["run_id"]
-    return _first(df, n, group, [F.desc("intensity"), *(F.desc(c) for c in _ids(df, group))])
+    return _first(df, n, group, [F.desc("intensity"), *(F.desc(c) for c in _ids(df, group))], most)
 
 
 def sample_uniform(df: DataFrame, n: int | str, seed: int = 0, group: list[str] | None = None) -> DataFrame:
@@ -237,3 +240,21 @@ def summarize(df: DataFrame, n: int | str, strategy: str | Callable | TwoStep =
     if strategy not in known:
         raise ValueError(f"no strategy {strategy!r}; there are {', '.join(known)}")
     return known[strategy](df, n, group=group, **settings)
+
+
+def summarize_sized(df: DataFrame, n: str, strategy: str | Callable | TwoStep, group: list[str], sizes: DataFrame) -> DataFrame:
+    """``summarize``, told by ``sizes`` (group, n's column, rows) how many rows each group has at most; ``df`` is not looked at for it.
+
+    Strides walk a group in one window's partition if it has ``WINDOW_ROWS`` at most, which is one exchange of the rows; only larger ones need
+    a range sort and tables of buckets.
+    """
+    if strategy == "IntensityCutoff":
+        return summarize(df, n, strategy, group, most=sizes.agg(F.max(n)).first()[0] or 0)
+    if not isinstance(strategy, str) or "Striding" not in strategy:
+        return summarize(df, n, strategy, group)
+    large = written(sizes.where(F.col("rows") > WINDOW_ROWS).select(*group), "large")
+    if large.isEmpty():
+        return summarize(df, n, strategy, group, large=False)
+    df = written(df, "sized")
+    small = summarize(df.join(large, group, "left_anti"), n, strategy, group, large=False)
+    return small.unionByName(summarize(df.join(large, group, "left_semi"), n, strategy, group))
